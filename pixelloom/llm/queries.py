@@ -29,8 +29,28 @@ def op7_warc(spark, sf_dir):
     return warc_report(spark, table(spark, sf_dir, "pages"), min_bytes=1000)
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; the folder is a parameter of the environment, the files stay where they are."""
+    import os
+
+    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+
+
+def op3_token_store(spark, sf_dir):
+    from pixelloom.llm.common import scratch
+    from pixelloom.llm.tokenstore import store_report
+
+    return store_report(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
+def op9_simhash(spark, sf_dir):
+    from pixelloom.llm.simhash import simhash_report
+
+    return simhash_report(table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op7_warc)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op7_warc, op9_simhash)}
 
 
 OP1 = """
