@@ -49,8 +49,14 @@ def op9_simhash(spark, sf_dir):
     return simhash_report(table(spark, sf_dir, "documents"), words=3, distance=3)
 
 
+def op10_lm_score(spark, sf_dir):
+    from pixelloom.llm.lm import lm_report
+
+    return lm_report(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op7_warc, op9_simhash)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op7_warc, op9_simhash, op10_lm_score)}
 
 
 OP1 = """
