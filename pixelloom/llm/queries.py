@@ -55,8 +55,20 @@ def op10_lm_score(spark, sf_dir):
     return lm_report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark, sf_dir):
+    from pixelloom.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op4_decontamination(spark, sf_dir):
+    from pixelloom.llm.decontam import contaminated_pairs
+
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op7_warc, op9_simhash, op10_lm_score)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op4_decontamination, op5_quality, op7_warc, op9_simhash, op10_lm_score)}
 
 
 OP1 = """
