@@ -67,8 +67,14 @@ def op4_decontamination(spark, sf_dir):
     return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_secrets(spark, sf_dir):
+    from pixelloom.llm.secrets import secrets_report
+
+    return secrets_report(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op4_decontamination, op5_quality, op7_warc, op9_simhash, op10_lm_score)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op4_decontamination, op5_quality, op7_warc, op8_secrets, op9_simhash, op10_lm_score)}
 
 
 OP1 = """
