@@ -73,8 +73,14 @@ def op8_secrets(spark, sf_dir):
     return secrets_report(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark, sf_dir):
+    from pixelloom.llm.spiece import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op4_decontamination, op5_quality, op7_warc, op8_secrets, op9_simhash, op10_lm_score)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op4_decontamination, op5_quality, op6_sentencepiece, op7_warc, op8_secrets, op9_simhash, op10_lm_score)}
 
 
 OP1 = """
