@@ -30,9 +30,13 @@ from pyspark.sql import functions as F
 from pixelloom.llm.common import removed, text_or_empty
 
 WINDOW, MEAN_IDS, LEAST_IDS, MOST_IDS = 12, 256, 64, 4096
-CACHE_UNITS = 400_000
-#: A unit starts where white space follows other text; no token of a byte-level BPE reaches over such a place.
-_UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+CACHE_UNITS = 1_500_000  # about 250 MB in a worker
+#: Letters and signs on which all patterns agree.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", "!-/:-@\\[-`{-~"
+#: A unit starts where white space follows other text, after a single newline before text, and where a sign follows a
+#: letter; no token of a byte-level BPE of words, numbers and signs reaches over such a place.
+_UNIT = re.compile(rf"\n(?=[^ \n])|[ \n]*[{_LETTERS}]+(?![^ \n{_SIGNS}])|[ \n]*[^ \n]+|[ \n]+")
+_SPACED_WORD = re.compile(rf" [{_LETTERS}]+")
 #: Other characters that some pattern may hold for white space; texts with them are encoded whole.
 _OTHER_BLANKS = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 _cached: dict = {}
@@ -51,14 +55,25 @@ class Encoder:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, new: set[str]) -> None:
+        """Encodes units; words after a space go in one text, whose tokens know their word."""
+        words = [u for u in new if _SPACED_WORD.fullmatch(u)]
+        for a in range(0, len(words), 1000):
+            some = words[a : a + 1000]
+            found = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            data, width = np.array(found.ids, self.kind).tobytes(), int(self.kind[-1])
+            ends = [*((np.flatnonzero(np.diff(found.word_ids)) + 1) * width).tolist(), len(data)]
+            self.units.update(zip(some, (data[x:y] for x, y in zip([0, *ends], ends, strict=False)), strict=True))
+        other = list(new.difference(words))
+        for a in range(0, len(other), 4096):
+            self.units.update(zip(other[a : a + 4096], self._direct(other[a : a + 4096]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if _OTHER_BLANKS.search(t) or any(s in t for s in self.special)]
         split = {i: _UNIT.findall(t) for i, t in enumerate(texts) if i not in set(whole)}
         if len(self.units) > CACHE_UNITS:
             self.units.clear()
-        new = list({u for units in split.values() for u in units if u not in self.units})
-        for a in range(0, len(new), 4096):
-            self.units.update(zip(new[a : a + 4096], self._direct(new[a : a + 4096]), strict=True))
+        self._learn(set().union(*split.values()).difference(self.units))
         out = dict(zip(whole, self._direct([texts[i] for i in whole]), strict=True))
         get = self.units.__getitem__
         out.update((i, b"".join(map(get, units))) for i, units in split.items())
@@ -72,8 +87,11 @@ def encoder(path: str, width: int) -> Encoder:
     return _cached[path, width]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one stream of ids."""
+def cuts(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """Ends of the chunks of each of several streams that lie on end in ids.
+
+    A chunk has LEAST_IDS ids at least, more than the window, so that the stream before has no say in a stream's cuts.
+    """
     n = len(ids)
     with np.errstate(over="ignore"):
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -83,15 +101,20 @@ def cuts(ids: np.ndarray) -> list[int]:
             weight = weight * np.uint64(0xBF58476D1CE4E5B9)
             rolled[back:] += mixed[:-back] * weight
     wanted = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN_IDS) == 0) + 1
-    ends, last = [], 0
-    for end in [*wanted.tolist(), n]:
-        while end - last > MOST_IDS:
-            last += MOST_IDS
-            ends.append(last)
-        if end - last >= LEAST_IDS or end == n and end > last:
-            ends.append(end)
-            last = end
-    return ends
+    out, begin = [], 0
+    for size in sizes:
+        a, b = np.searchsorted(wanted, (begin, begin + size))
+        ends, last = [], 0
+        for end in [*(wanted[a:b] - begin).tolist(), size]:
+            while end - last > MOST_IDS:
+                last += MOST_IDS
+                ends.append(last)
+            if end - last >= LEAST_IDS or end == size and end > last:
+                ends.append(end)
+                last = end
+        out.append(ends)
+        begin += size
+    return out
 
 
 def digest(data: bytes) -> bytes:
@@ -118,10 +141,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
-                rows = []
-                for doc_id, data in zip(batch.column(0).to_pylist(), encoding.encode(batch.column(1).to_pylist()), strict=True):
-                    data += end
-                    ends = cuts(np.frombuffer(data, f"<u{width}"))
+                rows, streams = [], [x + end for x in encoding.encode(batch.column(1).to_pylist())]
+                cut = cuts(np.frombuffer(b"".join(streams), f"<u{width}"), [len(x) // width for x in streams])
+                for doc_id, data, ends in zip(batch.column(0).to_pylist(), streams, cut, strict=True):
                     parts = [data[b * width : e * width] for b, e in zip([0, *ends], ends, strict=False)]
                     hashes = [digest(x) for x in parts]
                     rows.append((doc_id, len(data) // width, merkle(hashes), hashes, parts))
@@ -242,7 +264,97 @@ def read_store(spark: SparkSession, path: str, width: int = 2, fold=None, schema
     return lined.mapInArrow(assemble, f"doc_id long, start long, n_tokens long, {schema}")
 
 
+def crc_shift(length: int, known: dict[int, list[int]] = {}) -> list[int]:  # noqa: B006
+    """What each bit of a CRC-32 becomes when length zero bytes follow."""
+    if length not in known:
+        if length == 0:
+            return [1 << i for i in range(32)]
+        half = crc_shift(length // 2)
+        columns = [_apply(half, x) for x in half]
+        if length & 1:
+            columns = [_apply(_BYTE, x) for x in columns]
+        known[length] = columns
+    return known[length]
+
+
+def _apply(columns: list[int], crc: int) -> int:
+    out, i = 0, 0
+    while crc:
+        if crc & 1:
+            out ^= columns[i]
+        crc >>= 1
+        i += 1
+    return out
+
+
+def _zero_byte(crc: int) -> int:
+    for _ in range(8):
+        crc = crc >> 1 ^ (0xEDB88320 if crc & 1 else 0)
+    return crc
+
+
+_BYTE = [_zero_byte(1 << i) for i in range(32)]
+
+
+def crc_joined(first: int, second: int, length: int) -> int:
+    """CRC-32 of two byte strings on end, from theirs and the second one's length."""
+    return _apply(crc_shift(length), first) ^ second
+
+
+def read_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of 32-bit ids) as read from the store.
+
+    Each distinct chunk is read, checked and summed once; documents put their chunks' sums together by their recipes, so
+    that no ids move.
+    """
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if any(digest(x) != h for h, x in zip(hashes, rows, strict=True)):
+                raise ValueError("a chunk is damaged")
+            crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array([len(x) // width for x in rows], pa.int32())], names=["hash", "crc", "n"])
+
+    chunks = spark.read.parquet(f"{path}/chunks").select("hash", "ids").mapInArrow(summed, "hash binary, crc long, n int")
+    wanted = recipes_with_starts(spark, path).select("doc_id", "start", "n_tokens", "root", F.posexplode("hashes").alias("seq", "hash"))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lined = wanted.join(chunks, "hash", "left").select("doc_id", "start", "n_tokens", "root", "seq", "hash", "crc", "n").repartition(n_parts, "start").sortWithinPartitions("start", "seq")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, hashes, crc, ids = [], None, [], 0, 0
+
+        def closed():
+            if merkle(hashes) != now[3] or ids != now[2]:
+                raise ValueError(f"document {now[0]} differs from its recipe")
+            out.append((*now[:3], crc))
+
+        def flushed():
+            columns = [pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+        for batch in batches:
+            for doc_id, start, n_tokens, root, _, name, part, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or now[1] != start:
+                    if now is not None:
+                        closed()
+                    now, hashes, crc, ids = (doc_id, start, n_tokens, root), [], 0, 0
+                if part is None:
+                    raise ValueError(f"a chunk of document {doc_id} is missing")
+                hashes.append(name)
+                crc, ids = crc_joined(crc, part, 4 * n), ids + n
+            if len(out) >= 5000:
+                yield flushed()
+        if now is not None:
+            closed()
+        if out:
+            yield flushed()
+
+    return lined.mapInArrow(fold, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def store_report(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Writes the store and reads it back: doc_id, start, n_tokens, ids_crc32 (of 32-bit ids)."""
     write_store(docs, path, tokenizer, end_id)
-    return read_store(docs.sparkSession, path, fold=lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),), schema="ids_crc32 long")
+    return read_checksums(docs.sparkSession, path)
