@@ -142,7 +142,7 @@ def _content(spark, d):
     return e.groupBy(F.substring(F.sha2(F.concat_ws(":", "event_type", (F.col("user_id") % 100).cast("string")), 256), 1, 32).alias("digest")).agg(F.min("event_id").alias("first"), F.count("*").alias("n"))
 
 
-@query("snk11_recent_files", "WITH f AS (SELECT user_id, event_type, max(ts) AS at, max(event_id) AS id FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at DESC, id DESC) AS n FROM f) SELECT user_id, event_type, n::INT AS n FROM r WHERE n <= 3")
+@query("snk11_recent_files", "WITH f AS (SELECT user_id, event_type, max(ts) AS seen, max(event_id) AS id FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, id DESC) AS n FROM f) SELECT user_id, event_type, n::INT AS n FROM r WHERE n <= 3")
 def _recent(spark, d):
     seen = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("at"), F.max("event_id").alias("id"))
     return seen.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("id")))).where("n <= 3").select("user_id", "event_type", "n")
