@@ -132,7 +132,7 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         fs, _ = file_system(self.path)
-        for name in partition.paths:
+        for name in partition.paths if partition else []:  # a plan without partitions is read once, with none
             with fs.open_input_file(name) as raw:
                 packed = name.endswith(".gz")
                 f = gzip.GzipFile(fileobj=raw) if packed else raw
