@@ -447,3 +447,12 @@ def _palette_diffusion(spark, d):
 def _raster_order(spark, d):
     return event_raster(spark, d).select("gx", "gy", F.row_number().over(Window.partitionBy("gy").orderBy("gx")).alias("n"))
 
+
+
+@query("plan_filter_stack", f"WITH {S.E} SELECT gx, gy, " + ", ".join(f"round({S.clamp(f'{S.clamp(f"({c} - {S.n(0.5)}) + {S.n(0.5)} + {S.n(0.1)}")} * (CASE WHEN gy % 3 < 1 THEN {S.n(0.6)} ELSE 1{D} END) * (CASE WHEN gx % 3 <> {i} THEN {S.n(0.7)} ELSE 1{D} END)')}, 6) AS {c}" for i, c in enumerate(RGB)) + ", round(a, 6) AS a FROM p WHERE a > 0")
+def _stack(spark, d):
+    """Two filters of a layer: the later of the list runs first."""
+    from pixelloom.plans.document import Filter, apply_filters
+
+    stack = [Filter("crt", {"period": 3, "strength": 0.4, "mask": 0.3}), Filter("adjust", {"brightness": 0.1})]
+    return out(apply_filters(event_raster(spark, d).where("a > 0"), stack))

@@ -182,3 +182,28 @@ def test_paths_stay_inside(tmp_path):
     for bad in (str(tmp_path / "a.exe"), "/etc/a.png"):
         with pytest.raises(PermissionError):
             allowed(bad, root=str(tmp_path))
+
+
+def test_document_edits_and_filter_order(spark):
+    from pixelloom.plans import document as doc
+
+    px, df = image(spark)
+    nodes = doc.add_layer((), "one", opacity=2.0, mode="nonsense")
+    assert nodes[0].opacity == 1.0 and nodes[0].mode == "normal"
+    nodes = doc.add_filter(nodes, 1, doc.Filter("crt", {"period": 3}))
+    nodes = doc.add_filter(nodes, 1, doc.Filter("adjust", {"brightness": 0.2}))
+    assert [f.kind for f in nodes[0].filters] == ["crt", "adjust"]
+    want = point.crt(point.adjust(df, brightness=0.2), 3)
+    got = doc.apply_filters(df, nodes[0].filters)
+    assert np.allclose(grid(got, 20, 13), grid(want, 20, 13))
+    nodes = doc.update_filter(nodes, 1, 1, {"contrast": 0.1})
+    assert nodes[0].filters[1].params == {"brightness": 0.2, "contrast": 0.1}
+    pal = ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0))
+    nodes = doc.add_filter(nodes, 1, doc.Filter("palette_quantize", {"palette": pal}))
+    with pytest.raises(ValueError):
+        doc.remove_palette(nodes, pal)
+    assert [f.kind for f in doc.delete_palette(nodes, pal)[0].filters] == ["crt", "adjust"]
+    nodes = doc.move_layer(doc.add_layer(nodes, "two", visible=False), 1, 9)
+    assert [n.id for n in nodes] == [2, 1]
+    assert doc.render(nodes, {1: df, 2: df}).count() == 260
+    assert doc.remove_layer(nodes, 1)[0].id == 2
