@@ -84,11 +84,12 @@ def own_features(w: bytes) -> list[tuple]:
     ]
 
 
-def context_features(side: str, w: bytes) -> list[tuple]:
+def context_features(side: str, w: bytes, shape: bytes | None = None) -> list[tuple]:
     if w == BOUNDARY:
         return [(side, "edge")]
     lowered = w.lower().strip(b"\"'.,;:=()")[:24]
-    return [(side, lowered), (side, "s", _REPEATS.sub(rb"\1", w.translate(_SHAPE))[:8])]
+    shape = _REPEATS.sub(rb"\1", w.translate(_SHAPE)) if shape is None else shape
+    return [(side, lowered), (side, "s", shape[:8])]
 
 
 def file_features(raw: bytes) -> list[tuple]:
@@ -101,12 +102,14 @@ class Field:
 
     def __init__(self, rows: dict, weights: np.ndarray, transitions: np.ndarray):
         self.rows, self.weights, self.transitions = rows, weights, transitions
+        self.triples = weights.tolist()
         self.margin = 2 * float(transitions.max() - transitions.min()) + 1e-6 if len(rows) else -np.inf
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.table = np.zeros((1024, 9))
+        self.plain: dict[int, tuple] = {}
 
     def __getstate__(self):
         return self.rows, self.weights, self.transitions
@@ -114,20 +117,42 @@ class Field:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def _sum(self, features: list[tuple]) -> np.ndarray:
-        return self.weights[[i for f in features if (i := self.rows.get(f)) is not None]].sum(0)
+    def _add(self, features) -> tuple[float, float, float]:
+        a = b = c = 0.0
+        for f in features:
+            if (i := self.rows.get(f)) is not None:
+                x, y, z = self.triples[i]
+                a, b, c = a + x, b + y, c + z
+        return a, b, c
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Rows of the table of word scores: as itself, as the word before, as the word after."""
         if len(self.index) > CACHE_WORDS:
             self.clear()
+        values, known = [], len(self.index)
         for w in set(words).difference(self.index):
-            i = self.index[w] = len(self.index)
-            if i == len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[i, :3] = self._sum(own_features(w)) if w != BOUNDARY else 0
-            self.table[i, 3:6] = self._sum(context_features("b", w))
-            self.table[i, 6:] = self._sum(context_features("a", w))
+            self.index[w] = known + len(values)
+            shape = w.translate(_SHAPE)
+            if w and shape.count(b"a") == len(w):
+                # most words: letters alone, whose scores depend on their length but for words that training has seen
+                size, core = min(len(w) // 4, 12), w[:24]
+                seen = ("b", core) in self.rows or ("a", core) in self.rows
+                if seen or size not in self.plain:
+                    scores = (*self._add(own_features(w)), *self._add(context_features("b", w)), *self._add(context_features("a", w)))
+                    if not seen:
+                        self.plain[size] = scores
+                else:
+                    scores = self.plain[size]
+                values.append(scores)
+                continue
+            shape = _REPEATS.sub(rb"\1", shape)
+            own = (0.0, 0.0, 0.0) if w == BOUNDARY else self._add(own_features(w))
+            values.append((*own, *self._add(context_features("b", w, shape)), *self._add(context_features("a", w, shape))))
+        if values:
+            end = known + len(values)
+            if end > len(self.table):
+                self.table = np.concatenate((self.table, np.zeros((max(end, len(self.table)), 9))))
+            self.table[known:end] = values
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def scores(self, docs: list[tuple[bytes, list[bytes]]]) -> list[np.ndarray]:
@@ -140,7 +165,7 @@ class Field:
         e = self.table[ids[1:-1], :3] + self.table[ids[:-2], 3:6] + self.table[ids[2:], 6:] if len(ids) > 2 else np.zeros((0, 3))
         out, at = [], 0
         for raw, words in docs:
-            out.append(e[at : at + len(words)] + self._sum(file_features(raw)))
+            out.append(e[at : at + len(words)] + np.array(self._add(file_features(raw))))
             at += len(words) + 1
         return out
 
