@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.color import distance2, gamut_clip, linear_to_oklab, oklab_to_linear, oklab_to_oklch, oklch_to_oklab
 from pixelloom.operators.point import RGB, columns
+from pixelloom.plans.running import running_sum
 
 
 def distinct_colors(pixels: DataFrame) -> DataFrame:
@@ -32,21 +33,14 @@ def channel_ranges(pixels: DataFrame) -> DataFrame:
 
 
 def weighted_cdf(pixels: DataFrame, chroma_weight: float, contrast_weight: float) -> DataFrame:
-    """idx, weight and the running sum of weights by idx.
-
-    Sums run inside ranges of idx and are carried over by the ranges' totals, so that no task sees all pixels.
-    """
+    """idx, weight and the running sum of weights by idx."""
     l, c, _ = oklab_to_oklch(linear_to_oklab(columns(*RGB)))
     marked = pixels.select("idx", l.alias("l"), c.alias("c"))
     facts = marked.agg(F.max("c").alias("mc"), F.avg("l").alias("ml"))
     spread = marked.crossJoin(F.broadcast(facts)).agg(F.max(F.abs(F.col("l") - F.col("ml"))).alias("md"))
     one = marked.crossJoin(F.broadcast(facts.crossJoin(spread)))
     w = F.lit(1.0) + F.when(F.col("mc") > 0, F.col("c") / F.col("mc") * chroma_weight).otherwise(0.0) + F.when(F.col("md") > 0, F.abs(F.col("l") - F.col("ml")) / F.col("md") * contrast_weight).otherwise(0.0)
-    one = one.select("idx", w.alias("weight")).withColumn("part", F.floor(F.col("idx") / 4096))
-    inside = Window.partitionBy("part").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = one.groupBy("part").agg(F.sum("weight").alias("t"))
-    before = totals.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before"))
-    return one.withColumn("own", F.sum("weight").over(inside)).join(before, "part").select("idx", "weight", (F.col("own") + F.col("before")).alias("cdf"))
+    return running_sum(one.select("idx", w.alias("weight")), ["idx"], F.col("weight"), "cdf")
 
 
 def median_cut(pixels: DataFrame, k: int) -> DataFrame:
@@ -63,7 +57,7 @@ def median_cut(pixels: DataFrame, k: int) -> DataFrame:
         half = facts[b]["n"] // 2
         # the value at the cut, then the order among its ties: two aggregates in place of a sort in one task
         counts = bins.where(F.col("bin") == b).groupBy(axis).agg(F.count("*").alias("n"))
-        cut = counts.withColumn("upto", F.sum("n").over(Window.orderBy(axis))).where(F.col("upto") > half).orderBy(axis).limit(1).first()
+        cut = running_sum(counts, [axis], F.col("n"), "upto").where(F.col("upto") > half).orderBy(axis).limit(1).first()
         tie = half - (cut["upto"] - cut["n"])
         ties = bins.where((F.col("bin") == b) & (F.col(axis) == cut[axis])).select("idx").orderBy("idx").limit(tie)
         low = bins.where((F.col("bin") == b) & (F.col(axis) < cut[axis])).select("idx").unionByName(ties).withColumn("__low", F.lit(True))

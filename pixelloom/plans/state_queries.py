@@ -11,6 +11,7 @@ from pixelloom.functions import color as C
 from pixelloom.operators import diffuse, palettes
 from pixelloom.plans import raster_sql as S
 from pixelloom.plans import viewport
+from pixelloom.plans.running import running_sum
 from pixelloom.sources import palette_files, rasters
 from pixelloom.sources.rasters import PALETTE5, event_raster, table
 from pixelloom.streaming import changes
@@ -201,7 +202,7 @@ def _orphans(spark, d):
 @query("j12_id_remap", "WITH m AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS new_id FROM (SELECT DISTINCT user_id FROM events)) SELECT event_id, new_id FROM events JOIN m USING (user_id)")
 def _remap(spark, d):
     e = table(spark, d, "events")
-    ids = e.select("user_id").distinct().withColumn("new_id", F.row_number().over(Window.orderBy("user_id")).cast("long"))
+    ids = running_sum(e.select("user_id").distinct(), ["user_id"], F.lit(1).cast("long"), "new_id")
     return e.join(ids, "user_id").select("event_id", "new_id")
 
 
