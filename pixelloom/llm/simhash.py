@@ -33,6 +33,7 @@ from pixelloom.llm.common import removed, scratch, stored, text_or_empty
 SEED = 42
 SAMPLE = 2048
 LIMIT = 8192
+ROW_COST = 400  # a row that is written, sent and sorted costs about as much as so many comparisons
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -101,7 +102,7 @@ def thresholds(sample: np.ndarray, parts: list[list[int]], distance: int, n: int
         for x in a:
             seen += np.bincount(np.minimum(np.bitwise_count((x ^ b) & mask), most + 1), minlength=most + 2)[: most + 1]
         near = np.maximum(seen.cumsum() / pairs, [_ball(len(part), r) / 2.0 ** len(part) for r in range(most + 1)])
-        cost.append([0.0, *(n * _ball(len(part), r) * 20 + n * (n / 2) * near[r] for r in range(most + 1))])
+        cost.append([0.0, *(n * _ball(len(part), r) * ROW_COST + n * (n / 2) * near[r] for r in range(most + 1))])
     best: list[dict[int, tuple[float, list[int]]]] = [{0: (0.0, [])}]
     for row in cost:  # by the number of errors that the partitions so far account for
         step: dict[int, tuple[float, list[int]]] = {}
