@@ -3,7 +3,7 @@
 Each document becomes a stream of token ids, ended by an end id. A rolling hash over the last WINDOW ids cuts the stream
 into chunks at places that depend on content alone, so that copies and near copies cut alike. A folder holds
 
-- chunks/: every distinct chunk once, under its BLAKE2b-128 digest, ids as little-endian integers of ``width`` bytes;
+- rows/kind=1/: every distinct chunk once, under its BLAKE2b-128 digest, ids as little-endian integers of ``width`` bytes;
 - recipes/: in ascending doc_id order, each document's list of digests, number of ids, and the Merkle root of its list;
 - manifest/: one row per recipe file: documents, ids, and the Merkle root of the documents' roots.
 
@@ -130,14 +130,26 @@ def merkle(nodes: list[bytes]) -> bytes:
     return level[0]
 
 
-_ENCODED = "doc_id long, n_tokens long, root binary, hashes array<binary>, chunks array<binary>"
+_ROWS = "kind int, key long, hash binary, ids binary, doc_id long, n_tokens long, root binary, hashes array<binary>"
+_SEEN = 500_000
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2) -> None:
+    """Texts are encoded once: recipes and chunks leave the tasks as rows of two kinds and go through one shuffle.
+
+    A task sends a chunk once as long as it remembers it, so that a chunk that many documents share has about a row a task.
+    """
     spark = docs.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
+    names = [x.split()[0] for x in _ROWS.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, end = encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
+        encoding, end, seen = encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), set()
+        key = lambda h: int.from_bytes(h[:8], "little", signed=True)
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
@@ -146,17 +158,33 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
                 for doc_id, data, ends in zip(batch.column(0).to_pylist(), streams, cut, strict=True):
                     parts = [data[b * width : e * width] for b, e in zip([0, *ends], ends, strict=False)]
                     hashes = [digest(x) for x in parts]
-                    rows.append((doc_id, len(data) // width, merkle(hashes), hashes, parts))
+                    root = merkle(hashes)
+                    rows.append((0, key(digest(root + str(doc_id).encode())), None, None, doc_id, len(data) // width, root, hashes))
+                    for h, x in zip(hashes, parts, strict=True):
+                        if h not in seen:
+                            seen.add(h)
+                            rows.append((1, key(h), h, x, None, None, None, None))
+                if len(seen) > _SEEN:
+                    seen.clear()
                 if rows:
-                    columns = list(zip(*rows, strict=True))
-                    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_tokens", "root", "hashes", "chunks"])
+                    yield batch_of(rows)
 
-    docs.select(F.col("doc_id").cast("long"), text_or_empty()).mapInArrow(encode, _ENCODED).write.parquet(f"{path}/encoded")
-    encoded = spark.read.schema(_ENCODED).parquet(f"{path}/encoded")
-    pairs = encoded.select(F.explode(F.arrays_zip("hashes", "chunks")).alias("x")).select(F.col("x.hashes").alias("hash"), F.col("x.chunks").alias("ids"))
-    pairs.dropDuplicates(["hash"]).write.parquet(f"{path}/chunks")
-    ordered = encoded.select("doc_id", "n_tokens", "root", "hashes").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "root").sortWithinPartitions("doc_id", "root")
+    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of chunks in order of their digests the first of each; recipes as they come."""
+        last = None
+        for batch in batches:
+            kept = []
+            for i, h in enumerate(batch.column(2).to_pylist()):
+                if h is None or h != last:
+                    kept.append(i)
+                last = h
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    sent = docs.select(F.col("doc_id").cast("long"), text_or_empty()).mapInArrow(encode, _ROWS)
+    sorted_rows = sent.repartition(n_parts, "key").sortWithinPartitions("kind", "hash")
+    sorted_rows.mapInArrow(unique, _ROWS).drop("key").write.partitionBy("kind").parquet(f"{path}/rows")
+    recipes = _rows(spark, path, 0).select("doc_id", "n_tokens", "root", "hashes")
+    ordered = recipes.repartitionByRange(n_parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the file's number and the ids before each document in that file."""
@@ -171,7 +199,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
 
     ordered.mapInArrow(numbered, "part int, start_in_part long, doc_id long, n_tokens long, root binary, hashes array<binary>").write.parquet(f"{path}/recipes")
     _manifest(spark, path).write.parquet(f"{path}/manifest")
-    removed(spark, f"{path}/encoded")
+    removed(spark, f"{path}/rows/kind=0")
+
+
+def _rows(spark: SparkSession, path: str, kind: int) -> DataFrame:
+    return spark.read.schema("hash binary, ids binary, doc_id long, n_tokens long, root binary, hashes array<binary>, kind int").parquet(f"{path}/rows").where(F.col("kind") == kind)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return _rows(spark, path, 1).select("hash", "ids")
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -227,7 +263,7 @@ def read_store(spark: SparkSession, path: str, width: int = 2, fold=None, schema
     fold = fold or (lambda ids: (ids.tolist(),))
     recipes = recipes_with_starts(spark, path)
     wanted = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("hashes").alias("seq", "hash"))
-    found = wanted.join(spark.read.parquet(f"{path}/chunks"), "hash", "left")
+    found = wanted.join(read_chunks(spark, path), "hash", "left")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lined = found.select("doc_id", "start", "n_tokens", "root", "seq", "hash", "ids").repartition(n, "start").sortWithinPartitions("start", "seq")
     names = [x.split()[0] for x in schema.split(", ")]
@@ -316,7 +352,7 @@ def read_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array([len(x) // width for x in rows], pa.int32())], names=["hash", "crc", "n"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").select("hash", "ids").mapInArrow(summed, "hash binary, crc long, n int")
+    chunks = read_chunks(spark, path).mapInArrow(summed, "hash binary, crc long, n int")
     wanted = recipes_with_starts(spark, path).select("doc_id", "start", "n_tokens", "root", F.posexplode("hashes").alias("seq", "hash"))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lined = wanted.join(chunks, "hash", "left").select("doc_id", "start", "n_tokens", "root", "seq", "hash", "crc", "n").repartition(n_parts, "start").sortWithinPartitions("start", "seq")
