@@ -323,36 +323,30 @@ def simhash_report(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFr
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, words: int = 5, distance: int = 7, distance2: int = 13) -> DataFrame:
+def one_per_group(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs without near copies: of each group the document with the smallest id stays.
 
-    Candidates are within distance bits over distinct words, which an edited word moves far less than it moves shingles;
-    links are also within distance2 bits over shingles of five words, which stands for a similarity of about 0.8. Of rows
-    that repeat the smallest id, one stays; a group whose ids are all null keeps one row.
+    A link is a counted Jaccard similarity of at least 0.8 of the distinct shingles; fingerprints spread too far at 0.8 to
+    find all pairs, so jaccard.similar searches in their place. Of rows that repeat the smallest id, one stays; a group
+    whose ids are all null keeps one row.
     """
-    groups = near_groups(docs, words, distance, True, distance2)
-    keep = groups.select("doc_id", "component_id").groupBy("component_id").agg(F.min("doc_id").alias("__first"))
+    from pixelloom.llm import jaccard
+
+    classes, found = jaccard.similar(docs, words)
+    named = classes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component_id"))
+    keep = named.groupBy("component_id").agg(F.min("first").alias("__first"), F.min("node").alias("__node"))
     first = docs.join(keep.where(F.col("__first").isNotNull()).select("__first"), F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
     first = first.select(*docs.columns, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text_or_empty()))).alias("__n")).where("__n = 1").drop("__n")
     if docs.where("doc_id IS NULL").limit(1).count() == 0:
         return first
-    nulls = docs.where("doc_id IS NULL")
-    alone = keep.where(F.col("__first").isNull()).select(F.col("component_id").alias("__c"))
-    prints = with_fingerprints(nulls, words, True).select(F.xxhash64("fp", "fp2").alias("__c")).distinct().join(alone, "__c", "left_semi")
-    rows = _text_prints(nulls, words).join(prints, "__c", "left_semi")
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__c").orderBy(F.xxhash64(text_or_empty())))).where("__n = 1")
-    return first.unionByName(rows.select(*docs.columns))
-
 
-def _text_prints(docs: DataFrame, words: int) -> DataFrame:
-    """docs with __c, the name that near_groups gives to a class of null ids."""
-
-    def both(text):
+    def nodes(texts):
         import pandas as pd
 
-        f = [(fingerprint(list(set(shingles(t, 1)))), fingerprint(shingles(t, words))) for t in text]
-        a = np.array(f, "<u8").reshape(-1, 2).view("<i8")
-        return pd.DataFrame({"fp": a[:, 0], "fp2": a[:, 1]})
+        sets = jaccard.Sets(words)
+        return pd.Series([jaccard._node(sets(t)) for t in texts], dtype="int64")
 
-    marked = docs.withColumn("__p", F.pandas_udf(both, "fp long, fp2 long")(text_or_empty()))
-    return marked.withColumn("__c", F.xxhash64("__p.fp", "__p.fp2")).drop("__p")
+    alone = keep.where(F.col("__first").isNull()).select("__node")
+    rows = docs.where("doc_id IS NULL").withColumn("__node", F.pandas_udf(nodes, "long")(text_or_empty())).join(alone, "__node", "left_semi")
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__node").orderBy(F.xxhash64(text_or_empty())))).where("__n = 1")
+    return first.unionByName(rows.select(*docs.columns))

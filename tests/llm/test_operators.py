@@ -321,6 +321,37 @@ def test_simhash_search_loses_no_link(spark, monkeypatch, distance, limit):
     assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps, distance)
 
 
+@pytest.mark.parametrize("most", [8, 1])
+def test_near_copies_are_counted(spark, monkeypatch, most):
+    from pixelloom.llm import jaccard
+    from pixelloom.llm.simhash import one_per_group
+
+    monkeypatch.setattr(jaccard, "NEXT", most)
+    rng = np.random.default_rng(3)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    rows = []
+    for _ in range(25):
+        w = some(int(rng.integers(60, 400)))
+        rows += [w, w[: len(w) - len(w) * 15 // 100], w + some(len(w) * 15 // 100), w[: len(w) * 7 // 10]]
+        for share in (1, 2, 4, 6):
+            v = list(w)
+            for at in rng.choice(len(v), len(v) * share // 100 + 1, False):
+                v[at] = "edited"
+            rows.append(v)
+    base = some(100)
+    rows += [[*base, *some(int(rng.integers(1, 40)))] for _ in range(60)] + [[], [], ["a", "b"], ["a", "b"], ["b", "a"]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in rows]
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for b in range(len(rows)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in one_per_group(docs).collect()) == [i for i, r in enumerate(root) if i == r]
+
+
 def test_language_model(spark, docs, nothing, monkeypatch):
     from pixelloom.llm import lm
 
