@@ -74,7 +74,11 @@ CHANGES = f"c AS (SELECT (user_id % 3)::BIGINT AS doc, (user_id % 5)::BIGINT AS
 @query("src2_blank", f"WITH {S.E}, s AS (SELECT max(gx) + 1 AS w, max(gy) + 1 AS h FROM p) SELECT (i % w)::INT AS gx, (i // w)::INT AS gy, 1{D} AS r, 1{D} AS g, 1{D} AS b, 1{D} AS a FROM s, (SELECT unnest(range(w * h)) AS i FROM s)")
 def _blank(spark, d):
     size = event_raster(spark, d).agg(F.max("gx"), F.max("gy")).first()
-    return rasters.blank(spark, size[0] + 1, size[1] + 1, "white")
+    wide, tall, found = size[0] + 1, size[1] + 1, None
+    for top in range(0, tall, rasters.SIDE):  # canvases of bounded size, one below the other
+        one = rasters.blank(spark, wide, min(rasters.SIDE, tall - top), "white").withColumn("gy", (F.col("gy") + top).cast("int"))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query("src3_import_layer", f"WITH {S.E}, g AS (SELECT (i % 320)::INT AS gx, (i // 320)::INT AS gy FROM range(320 * 30) t(i)) SELECT gx, gy, " + ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in "rgba") + " FROM g LEFT JOIN p USING (gx, gy)")
@@ -89,7 +93,11 @@ def event_colors(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     unit = lambda x: F.pmod(x, F.lit(256)).cast("int")
     day = F.date_format("ts", "yyyy-MM-dd")
-    return e.select(day.alias("name"), (F.row_number().over(Window.partitionBy(day).orderBy("event_id")) - 1).alias("i"), unit(F.floor(F.col("value") * 100.0 + 0.5)).alias("r"), unit(F.col("user_id") * 37).alias("g"), unit(F.col("event_id") * 11).alias("b"))
+    one = F.lit(1).cast("long")
+    e = running_sum(e.select(day.alias("name"), "event_id", "value", "user_id"), ["name", "event_id"], one, "n")
+    before = e.groupBy("name").agg(F.min("n").alias("first"))
+    e = e.join(F.broadcast(before), "name")
+    return e.select("name", (F.col("n") - F.col("first")).cast("int").alias("i"), unit(F.floor(F.col("value") * 100.0 + 0.5)).alias("r"), unit(F.col("user_id") * 37).alias("g"), unit(F.col("event_id") * 11).alias("b"))
 
 
 _COLORS = f"""k AS (SELECT strftime(ts, '%Y-%m-%d') AS name, (row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) - 1)::INT AS i,
@@ -97,8 +105,17 @@ _COLORS = f"""k AS (SELECT strftime(ts, '%Y-%m-%d') AS name, (row_number() OVER
 
 
 def _round_trip(kind: str):
-    """Palettes written in a format and parsed again."""
-    return lambda spark, d: palette_files.parsed(palette_files.encoded(event_colors(spark, d), kind))
+    """Palettes written in a format and parsed again, a day as files of as many colours as the format takes."""
+
+    def run(spark, d):
+        colors, most = event_colors(spark, d), palette_files.A_FILE
+        block = F.floor(F.col("i") / most).cast("string")
+        files = colors.select(F.concat_ws("/", "name", block).alias("name"), (F.col("i") % most).alias("i"), *RGB)
+        at = F.split("name", "/")
+        found = palette_files.parsed(palette_files.encoded(files, kind))
+        return found.select(at[0].alias("name"), (at[1].cast("int") * most + F.col("i")).cast("int").alias("i"), *RGB)
+
+    return run
 
 
 for _id, _kind in (("src7", "ase"), ("src8", "aco"), ("src10", "pal"), ("src11", "csv"), ("src12", "json"), ("snk8", "gpl")):

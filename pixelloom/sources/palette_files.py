@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST = 65536
+#: As many colours as a file of any kind takes: ACO and RIFF PAL count them in 16 bits.
+A_FILE = 65535
 Byte3 = tuple[int, int, int]
 
 

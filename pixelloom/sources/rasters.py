@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pixelloom.functions.color import clamp
 
 WIDTH = 300
+#: The longest side of a canvas.
+SIDE = 8192
 #: A literal palette: black, white, red, blue, green.
 PALETTE5 = [(0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.0, 1.0, 0.0)]
 
@@ -50,8 +52,8 @@ def mirrored(pixels: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def blank(spark: SparkSession, width: int, height: int, fill: str = "transparent") -> DataFrame:
-    if not (1 <= width <= 8192 and 1 <= height <= 8192):
-        raise ValueError("width and height are 1 to 8192")
+    if not (1 <= width <= SIDE and 1 <= height <= SIDE):
+        raise ValueError(f"width and height are 1 to {SIDE}")
     v = {"transparent": 0.0, "white": 1.0}[fill]
     n = spark.range(width * height)
     return n.select((F.col("id") % width).cast("int").alias("gx"), F.floor(F.col("id") / width).cast("int").alias("gy"), *(F.lit(v).alias(c) for c in "rgba"))

@@ -38,6 +38,20 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DATA).limit(5).count() > 0
 
 
+@pytest.mark.parametrize("name", ["src7_palette_ase", "src8_palette_aco", "src10_palette_pal", "src11_palette_csv", "src12_palette_json", "snk8_palette_gpl"])
+def test_palettes_beyond_a_format_limit(spark, monkeypatch, name):
+    events = spark.range(70000).selectExpr("id AS event_id", "TIMESTAMP '2024-01-01 00:00:00' AS ts", "id % 7 / 10.0D AS value", "id % 50 AS user_id")
+    monkeypatch.setattr(state_queries, "table", lambda *a: events)
+    found = QUERIES[name](spark, DATA).collect()
+    assert sorted((r.i, r.b) for r in found) == [(i, i * 11 % 256) for i in range(70000)]
+
+
+def test_canvas_beyond_a_side_limit(spark, monkeypatch):
+    monkeypatch.setattr(state_queries, "event_raster", lambda spark, d: spark.createDataFrame([(1, 9000)], "gx int, gy int"))
+    found = QUERIES["src2_blank"](spark, DATA)
+    assert found.distinct().count() == 2 * 9001 and found.agg({"gy": "max"}).first()[0] == 9000
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
