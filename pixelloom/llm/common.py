@@ -17,9 +17,11 @@ WORD = re.compile("[^" + BLANKS + "]+")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is set only where none is, as in tests."""
+    """The folder that driver and executors share. A local one is set only where none is and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pixelloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     context = spark.sparkContext
@@ -40,6 +42,24 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Held:
+    """Stored results of a job that are removed together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        path = scratch(self.spark, what)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+        self.paths = []
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate result of this run that no later read needs."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -57,6 +77,29 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def wrapped(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs in one column, row, beside helper columns, so that no name of the caller's meets a helper's."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *more)
+
+
+def unwrapped(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of wrapped rows as they came, but for the changed ones."""
+    return df.select(*(changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns))
+
+
+def identity(id_column: Column, text: Column) -> list[Column]:
+    """What tells documents apart: the id (0 for null), whether it is null, and the text's hash, as __id, __no_id and __th."""
+    return [F.coalesce(id_column.cast("long"), F.lit(0).cast("long")).alias("__id"), id_column.isNull().alias("__no_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__th")]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -6,11 +6,12 @@ document: of all unmarked common runs the longest is marked in both, again and a
 left; Karp-Rabin hashes of runs, halved in length whenever none is left, find the long ones first. A document is
 contaminated by an item if tiles cover at least ``coverage`` of the item's words, in whatever order they stand.
 
-The benchmark goes to the tasks in blocks of at most ``block_words`` words (a larger benchmark takes more passes over the
-documents), so that what is sent is bounded and documents are never shuffled; a task works on one document at a time.
+The benchmark goes to the tasks in blocks of at most ``block_words`` words and one item, one block after the other (a larger
+benchmark takes more passes over the documents), so that what is sent is bounded and documents are never shuffled; a task
+works on one document at a time.
 
 Defined cases: null and empty texts match nothing, and items without words take no part; items shorter than ``least``
-words must stand whole; repeated item rows give a row each; a null doc_id or item_id is carried through; other columns are
+words must stand whole; a text of any length is searched whole; repeated item rows are searched once and give a row each; a null doc_id or item_id is carried through; other columns are
 not read; an empty table gives an empty result.
 """
 
@@ -20,12 +21,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import stored, text_or_empty
+from pixelloom.llm.common import Held, scratch, stored, text_or_empty
+from pixelloom.plans.running import running_sum
 
 LEAST, COVERAGE, BLOCK_WORDS = 5, 0.6, 2_000_000
 _WORD = re.compile(r"[^\W_]+")
@@ -124,10 +128,10 @@ class Items:
     """A block of the benchmark and the index of its seeds."""
 
     def __init__(self, rows: list[tuple], least: int):
-        self.items = [(item_id, w) for item_id, text in rows if len(w := word_hashes(text or ""))]
+        self.items = [(item_id, w, copies) for item_id, text, copies in rows if len(w := word_hashes(text or ""))]
         self.least = least
         keys: dict[int, list] = {}
-        for no, (_, w) in enumerate(self.items):
+        for no, (_, w, _) in enumerate(self.items):
             k = min(least, len(w))
             h = run_hashes(w, k)
             keys.setdefault(k, []).append((h, np.full(len(h), no), np.arange(len(h))))
@@ -162,44 +166,92 @@ class Items:
 _SCHEMA = "doc_id long, item_id long, item_words int, covered_words int, coverage double, tiles int, longest_tile int"
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row per document and item that it covers: doc_id, item_id, words of the item, covered words, their share, tiles."""
-    spark = docs.sparkSession
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).withColumn("words", F.size(F.split("text", r"\s+")).cast("long"))
+def _blocks(benchmark: DataFrame, least: int, block_words: int) -> Iterator[Broadcast]:
+    """The benchmark's distinct items in blocks of at most block_words words and one item, one sent at a time."""
+    spark = benchmark.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [sum(1 for _ in _WORD.finditer(t.lower())) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.int64())], names=["item_id", "text", "copies", "words"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).groupBy("item_id", "text").agg(F.count("*").alias("copies"))
+    held = Held(spark)
+    sized = held.stored(items.mapInArrow(count, "item_id long, text string, copies long, words long").where("words > 0"), "items")
     total = sized.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    if total > block_words:  # blocks by hash, half full on average
-        n = -(-2 * total // block_words)
-        sized = stored(sized.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "items")
+    if total > block_words:
+        keyed = sized.withColumn("h", F.xxhash64("item_id", "text"))
+        upto = running_sum(keyed, ["h", "item_id", "text"], F.col("words"), "upto")
+        sized = held.stored(upto.withColumn("block", F.floor((F.col("upto") - F.col("words")) / block_words)).drop("h", "upto"), "blocks")
+        n = -(-total // block_words)
     else:
         n, sized = 1, sized.withColumn("block", F.lit(0).cast("long"))
-    pairs = None
     for b in range(n):
-        rows = [(r["item_id"], r["text"]) for r in sized.where(F.col("block") == b).select("item_id", "text").collect()]
-        items = spark.sparkContext.broadcast(Items(sorted(rows, key=lambda r: (r[0] is None, r)), least))
+        rows = [(r["item_id"], r["text"], r["copies"]) for r in sized.where(F.col("block") == b).select("item_id", "text", "copies").collect()]
+        if rows:
+            yield spark.sparkContext.broadcast(Items(sorted(rows, key=lambda r: (r[0] is None, r)), least))
+    held.close()
+
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            block = items.value
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row per document and item that it covers: doc_id, item_id, words of the item, covered words, their share, tiles."""
+    spark = docs.sparkSession
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
+    path, first = None, None
+    for block in _blocks(benchmark, least, block_words):
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            items = block.value
             for batch in batches:
                 out = []
                 for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for item, found in block.matches(word_hashes(text), coverage):
-                        item_id, w = block.items[item]
+                    for item, found in items.matches(word_hashes(text), coverage):
+                        item_id, w, copies = items.items[item]
                         covered = sum(x for _, _, x in found)
-                        out.append((doc_id, item_id, len(w), covered, covered / len(w), len(found), found[0][2]))
+                        out += [(doc_id, item_id, len(w), covered, covered / len(w), len(found), found[0][2])] * copies
                 if out:
                     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
                     names = [x.split()[0] for x in _SCHEMA.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(run, _SCHEMA)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; columns as they came. Rows of one doc_id go together; null ids stay."""
-    bad = contaminated_pairs(docs, benchmark).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")
+        found = asked.mapInArrow(run, _SCHEMA)
+        if first is None:
+            first = (found, block)
+            continue
+        if path is None:  # of several blocks each is written before the next is sent
+            path = scratch(spark, "pairs")
+            first[0].write.parquet(path)
+            first[1].unpersist()
+        found.write.mode("append").parquet(path)
+        block.unpersist()
+    if first is None:
+        return spark.createDataFrame([], _SCHEMA)
+    return first[0] if path is None else spark.read.schema(_SCHEMA).parquet(path)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the contaminated ones; columns as they came.
+
+    Each row is judged by its own text, so that rows that share an id, and rows without one, stay or go by themselves, and
+    nothing is shuffled. Of several blocks each but the last is written before the next is sent.
+    """
+
+    def clean(block):
+        def run(batches):
+            items = block.value
+            for texts in batches:
+                yield pd.Series([next(items.matches(word_hashes(t), coverage), None) is None for t in texts], dtype=bool)
+
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(run, "boolean")
+
+    left, before = docs, None
+    for block in _blocks(benchmark, least, block_words):
+        if before is not None:
+            left = stored(left, "clean")
+            before.unpersist()
+        left, before = left.where(clean(block)(text_or_empty())), block
+    return left
 
 
 def worst_items(pairs: DataFrame, k: int = 1) -> DataFrame:

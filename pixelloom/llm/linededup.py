@@ -6,7 +6,8 @@ need, and sorted inside each partition. A stream over each partition decides all
 inside it; of the runs at its two ends it reports counts, which are summed over partitions (two rows a partition at most)
 and settle the rest. What comes back is one compressed keep bitmap per document that loses lines, never text.
 
-Defined cases: a null or empty text is one empty line; empty keys are never repeated lines; a document is a row, so rows
+Defined cases: a null or empty text is one empty line; a text of any length is split whole (a row a line, so that only
+lines, never texts, are sorted); empty keys are never repeated lines; a document is a row, so rows
 that repeat doc_id with other text are other documents, while exact repeats of a row are one document (each row keeps its
 place in the result); a null doc_id is an id like any other; other columns pass through untouched; an empty table gives an
 empty result.
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import BLANKS, LOWER, UPPER, removed, scratch, text_or_empty
+from pixelloom.llm.common import BLANKS, LOWER, UPPER, scratch, text_or_empty, unwrapped, wrapped
 
-#: Names of the helper columns; they begin with two underscores so as not to meet a caller's columns.
+#: Names of the helper columns beside a caller's row.
 ID, TEXT_HASH, MAP = "__id", "__text_hash", "__keep"
 _FOUND = "kind int, h1 long, h2 long, id long, th long, pos int, part int, n_docs long, last_id long, last_th long"
 
@@ -180,11 +181,11 @@ def _kept_lines(text: str, packed: bytes | None) -> tuple[str, int, int]:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the column __keep, null for documents that lose nothing."""
-    keyed = docs.withColumn(ID, F.col("doc_id").cast("long")).withColumn(TEXT_HASH, F.xxhash64(text_or_empty()))
+    """docs as the column row, beside __keep, null for documents that lose nothing."""
+    keyed = wrapped(docs, F.col("doc_id").cast("long").alias(ID), F.xxhash64(text_or_empty()).alias(TEXT_HASH))
     other = bitmaps.select(F.col(ID).alias("__id2"), F.col(TEXT_HASH).alias("__th2"), MAP)
     joined = keyed.join(other, F.col(ID).eqNullSafe(F.col("__id2")) & (F.col(TEXT_HASH) == F.col("__th2")), "left")
-    return joined.drop(ID, TEXT_HASH, "__id2", "__th2")
+    return joined.select("row", MAP)
 
 
 def _kept_text(text, packed):
@@ -196,8 +197,8 @@ def _kept_text(text, packed):
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """docs with their repeated lines gone from text; columns as they came."""
     marked = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, keep_first))
-    kept = F.when(F.col(MAP).isNull(), F.col("text")).otherwise(F.pandas_udf(_kept_text, "string")(text_or_empty(), F.col(MAP)))
-    return marked.withColumn("text", kept).select(*docs.columns)
+    kept = F.when(F.col(MAP).isNull(), F.col("row.text")).otherwise(F.pandas_udf(_kept_text, "string")(text_or_empty("row.text"), F.col(MAP)))
+    return unwrapped(marked, docs.columns, text=kept)
 
 
 def line_report(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -211,4 +212,4 @@ def line_report(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
         rows = [_kept_lines(t, k) for t, k in zip(text, packed, strict=True)]
         return pd.DataFrame([(n, d, hashlib.sha256(t.encode()).hexdigest()) for t, n, d in rows], columns=["n_lines", "n_dropped", "kept_sha256"])
 
-    return marked.select("doc_id", digest(text_or_empty(), F.col(MAP)).alias("x")).select("doc_id", "x.*")
+    return marked.select("row.doc_id", digest(text_or_empty("row.text"), F.col(MAP)).alias("x")).select("doc_id", "x.*")

@@ -5,7 +5,7 @@ sample of labelled rows whose bound is a parameter: the rows with the smallest h
 the same on every run. Numbers are binned at quantiles of the sample; a tree grows level by level from sums of gradients
 a bin. Fitted trees are complete and flat: arrays of features and thresholds, walked for all rows of a batch at once.
 
-Defined cases: null text is empty and is scored like any other; a null doc_id counts as empty text in the split; rows that
+Defined cases: null text is empty and is scored like any other; a text of any length is scored whole; a null doc_id counts as empty text in the split; rows that
 repeat are scored alike; labels that are null or have no document are left out; without labels of both kinds every score
 is the share of label 1 (one half without any); other columns are not read; an empty table gives an empty result.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import held_in, text_or_empty
+from pixelloom.llm.common import free_name, held_in, text_or_empty
 
 _CLASSES = ["lower", "upper", "digit", "space", "newline", "end", "bar", "bang", "mark", "other_ascii", "high"]
 _CLASS_OF = np.full(256, _CLASSES.index("other_ascii"))
@@ -118,7 +118,8 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, bins: in
 def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of up to most labelled rows outside the held-out fifth."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_in(0)).select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__y"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__y").limit(most)
+    ids = docs.select(F.col("doc_id").cast("long").alias("__id"))  # a label without a document takes no place in the sample
+    chosen = ids.join(chosen, "__id").distinct().orderBy(F.xxhash64("__id"), "__id", "__y").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,13 +128,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.nda
 
     # at most `most` ids are sent to all tasks, whatever the size of the tables
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "__id").select("__id", "text", "__y")
-    found = rows.mapInArrow(run, "id long, x array<double>, y int").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    made = rows.mapInArrow(run, "id long, x array<double>, y int").orderBy(F.xxhash64("id"), "id", "y", "x").limit(most)
+    found = made.toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     x = np.array(found["x"].to_pylist(), float).reshape(-1, N_FEATURES)
     return x, (found["y"].to_numpy() == 1).astype(float)
 
 
-def scored(docs: DataFrame, labels: DataFrame, most: int = 20000) -> DataFrame:
-    """docs with the column score, 0 to 1."""
+def scored(docs: DataFrame, labels: DataFrame, most: int = 20000, name: str = "score") -> DataFrame:
+    """docs with the column ``name``, 0 to 1."""
     trees = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, labels, most)))
 
     def score(batches):
@@ -148,7 +150,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = 20000) -> DataFrame:
     import pandas as pd
 
     score.__annotations__ = {"batches": Batches[pd.Series], "return": Batches[pd.Series]}
-    return docs.withColumn("score", F.pandas_udf(score, "double")(text_or_empty()))
+    return docs.withColumn(name, F.pandas_udf(score, "double")(text_or_empty()))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -159,4 +161,5 @@ def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents whose score reaches the threshold; columns as they came."""
-    return scored(docs.withColumnsRenamed({"score": "__own_score"}), labels).where(F.col("score") >= threshold).drop("score").withColumnsRenamed({"__own_score": "score"}).select(*docs.columns)
+    name = free_name(docs, "score")
+    return scored(docs, labels, name=name).where(F.col(name) >= threshold).drop(name)

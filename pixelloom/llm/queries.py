@@ -30,10 +30,10 @@ def op7_warc(spark, sf_dir):
 
 
 def tokenizer_path(name: str) -> str:
-    """Place of a public vocabulary file; the folder is a parameter of the environment, the files stay where they are."""
-    import os
+    """Place of a public vocabulary file; the files stay where they are."""
+    import public_tokenizers
 
-    return os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
+    return str(public_tokenizers.path(name))
 
 
 def op3_token_store(spark, sf_dir):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import removed, scratch, stored, text_or_empty
+from pixelloom.llm.common import Held, identity, removed, scratch, stored, text_or_empty, unwrapped, wrapped
 
 SEED = 42
 SAMPLE = 2048
@@ -276,8 +276,11 @@ def near_edges(classes: DataFrame, distance: int, distance2: int = 64) -> DataFr
     return edges
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of an edge reaches, by large-star and small-star steps."""
+def components(edges: DataFrame, results: Held | None = None) -> DataFrame:
+    """(node, component): the smallest node that each node of an edge reaches, by large-star and small-star steps.
+
+    The last step's table stays, or is left to results to remove.
+    """
     spark = edges.sparkSession
     kept: list[str] = []
 
@@ -303,6 +306,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = held(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+    if results is not None:
+        results.paths += kept
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
@@ -324,29 +329,21 @@ def simhash_report(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFr
 
 
 def one_per_group(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs without near copies: of each group the document with the smallest id stays.
+    """docs without near copies: of each group the document with the smallest id stays (of those, the smallest text hash).
 
     A link is a counted Jaccard similarity of at least 0.8 of the distinct shingles; fingerprints spread too far at 0.8 to
-    find all pairs, so jaccard.similar searches in their place. Of rows that repeat the smallest id, one stays; a group
-    whose ids are all null keeps one row.
+    find all pairs, so jaccard.similar searches in their place. A document is its id and its text: two texts under one id
+    are two documents, and of rows that repeat both, one stays. Null ids come after all others. Texts of any length are
+    compared whole; texts without words are equal to each other; an empty table gives an empty result.
     """
     from pixelloom.llm import jaccard
 
-    classes, found = jaccard.similar(docs, words)
-    named = classes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component_id"))
-    keep = named.groupBy("component_id").agg(F.min("first").alias("__first"), F.min("node").alias("__node"))
-    first = docs.join(keep.where(F.col("__first").isNotNull()).select("__first"), F.col("doc_id").cast("long") == F.col("__first"), "left_semi")
-    first = first.select(*docs.columns, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text_or_empty()))).alias("__n")).where("__n = 1").drop("__n")
-    if docs.where("doc_id IS NULL").limit(1).count() == 0:
-        return first
-
-    def nodes(texts):
-        import pandas as pd
-
-        sets = jaccard.Sets(words)
-        return pd.Series([jaccard._node(sets(t)) for t in texts], dtype="int64")
-
-    alone = keep.where(F.col("__first").isNull()).select("__node")
-    rows = docs.where("doc_id IS NULL").withColumn("__node", F.pandas_udf(nodes, "long")(text_or_empty())).join(alone, "__node", "left_semi")
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__node").orderBy(F.xxhash64(text_or_empty())))).where("__n = 1")
-    return first.unionByName(rows.select(*docs.columns))
+    held = Held(docs.sparkSession)
+    classes, found, _ = jaccard.similar(docs, words, held)
+    named = classes.join(found, "node", "left").select("first", F.coalesce("component", "node").alias("component_id"))
+    keep = stored(named.groupBy("component_id").agg(F.min("first").alias("first")).select("first.*"), "keep")
+    held.close()
+    rows = wrapped(docs, *identity(F.col("doc_id"), F.col("text"))).join(keep, jaccard.ID, "left_semi")
+    plain = [F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind]
+    order = Window.partitionBy(*jaccard.ID).orderBy(F.xxhash64(*plain))
+    return unwrapped(rows.withColumn("__n", F.row_number().over(order)).where("__n = 1"), docs.columns)

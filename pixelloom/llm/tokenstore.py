@@ -5,18 +5,20 @@ into chunks at places that depend on content alone, so that copies and near copi
 
 - rows/kind=1/: every distinct chunk once, under its BLAKE2b-128 digest, ids as little-endian integers of ``width`` bytes;
 - recipes/: in ascending doc_id order, each document's list of digests, number of ids, and the Merkle root of its list;
-- manifest/: one row per recipe file: documents, ids, and the Merkle root of the documents' roots.
+- manifest/: one row per recipe file: documents, ids, and the root of a Merkle tree over the documents' roots.
 
 Reading joins recipes to chunks by digest, checks every chunk against its digest and every list against its root, and takes
 the places of files from the manifest; verify_manifest checks the files themselves against it.
 
-Defined cases: null text is empty (the end id alone); a null doc_id sorts first; rows that repeat a doc_id are documents
+Defined cases: null text is empty (the end id alone); a text of any length is one document, held whole in its task; a null
+doc_id sorts first; rows that repeat a doc_id are documents
 each, in the order of their roots; other columns are not read; an empty table gives an empty store.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -30,61 +32,138 @@ from pyspark.sql import functions as F
 from pixelloom.llm.common import removed, text_or_empty
 
 WINDOW, MEAN_IDS, LEAST_IDS, MOST_IDS = 12, 256, 64, 4096
-CACHE_UNITS = 1_500_000  # about 250 MB in a worker
+CACHE_PIECES = 1_500_000  # about 300 MB in a worker
 #: Letters and signs on which all patterns agree.
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", "!-/:-@\\[-`{-~"
 #: A unit starts where white space follows other text, after a single newline before text, and where a sign follows a
 #: letter; no token of a byte-level BPE of words, numbers and signs reaches over such a place.
 _UNIT = re.compile(rf"\n(?=[^ \n])|[ \n]*[{_LETTERS}]+(?![^ \n{_SIGNS}])|[ \n]*[^ \n]+|[ \n]+")
-_SPACED_WORD = re.compile(rf" [{_LETTERS}]+")
-#: Other characters that some pattern may hold for white space; texts with them are encoded whole.
-_OTHER_BLANKS = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+_WORD = re.compile(f"[{_LETTERS}]+")
+#: Other characters that some pattern may hold for white space, and the mark of exact keys; texts with them are encoded whole.
+_OTHER_BLANKS = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+EXACT = "\0"  # a key that begins so stands for the rest of it; any other for itself after a space
 _cached: dict = {}
 
 
+class _Places(dict):
+    """key -> its number; a new key gets the next one and is listed in new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
 class Encoder:
-    """Ids of whole texts, as bytes, with a bounded cache of the units that texts are made of."""
+    """Ids of whole texts, with a bounded cache of the pieces (words between blanks) that texts are made of.
+
+    Pieces are put together only for a byte-level BPE with its own split into words, and only in texts without characters
+    that such a split may treat otherwise; any other tokenizer or text is encoded whole.
+    """
 
-    def __init__(self, path: str, width: int):
+    def __init__(self, path: str, width: int, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.units = Tokenizer.from_file(path), f"<u{width}", {}
+        self.tokenizer, self.kind, self.end_id = Tokenizer.from_file(path), f"<u{width}", end_id
+        if max(self.tokenizer.get_vocab_size() - 1, end_id) >= 1 << 8 * width:
+            raise ValueError(f"the ids of {path} need more than {width} bytes")
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        self.by_pieces = made["model"]["type"] == "BPE" and made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.places, self.units = _Places(), {}
+        self.first, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, self.kind), 0
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        """Encodes units; words after a space go in one text, whose tokens know their word."""
-        words = [u for u in new if _SPACED_WORD.fullmatch(u)]
-        for a in range(0, len(words), 1000):
+    def keys(self, text: str) -> list[str] | None:
+        """Pieces that stand for the text, or None if it is to be encoded whole."""
+        if not self.by_pieces or _OTHER_BLANKS.search(text) or any(s in text for s in self.special):
+            return None
+        marked = text.replace("\n", " \n")
+        if "  " in marked or "\n " in marked or marked[:1] == " " or marked[-1:] in (" ", "\n"):
+            return [EXACT + u for u in _UNIT.findall(text)]  # runs of blanks
+        return (EXACT + marked).split(" ")
+
+    def _learn(self) -> None:
+        """Ids of new pieces: most are a word after a space, or such a word and signs that are known by themselves."""
+        new, self.places.new = self.places.new, []
+        width, letters = int(self.kind[-1]), _WORD.fullmatch
+        split = {k: _UNIT.findall(k[1:] if k[0] == EXACT else k if k[0] == "\n" else " " + k) for k in new if not letters(k)}
+        words = [" " + k for k in new if k not in split]
+        known = set(words).union(self.units)
+        parts = {u for units in split.values() for u in units}.difference(known)
+        more = [u for u in parts if u[0] == " " and letters(u, 1)]
+        other = list(parts.difference(more))
+        words += more
+        found: dict[str, bytes] = {}
+        for a in range(0, len(words), 1000):  # in one text, whose tokens know their word
             some = words[a : a + 1000]
-            found = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            data, width = np.array(found.ids, self.kind).tobytes(), int(self.kind[-1])
-            ends = [*((np.flatnonzero(np.diff(found.word_ids)) + 1) * width).tolist(), len(data)]
-            self.units.update(zip(some, (data[x:y] for x, y in zip([0, *ends], ends, strict=False)), strict=True))
-        other = list(new.difference(words))
+            got = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            data = np.array(got.ids, self.kind).tobytes()
+            ends = [*((np.flatnonzero(np.diff(got.word_ids)) + 1) * width).tolist(), len(data)]
+            found.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
         for a in range(0, len(other), 4096):
-            self.units.update(zip(other[a : a + 4096], self._direct(other[a : a + 4096]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if _OTHER_BLANKS.search(t) or any(s in t for s in self.special)]
-        split = {i: _UNIT.findall(t) for i, t in enumerate(texts) if i not in set(whole)}
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-        self._learn(set().union(*split.values()).difference(self.units))
-        out = dict(zip(whole, self._direct([texts[i] for i in whole]), strict=True))
-        get = self.units.__getitem__
-        out.update((i, b"".join(map(get, units))) for i, units in split.items())
-        return [out[i] for i in range(len(texts))]
-
-
-def encoder(path: str, width: int) -> Encoder:
+            found.update(zip(other[a : a + 4096], self._direct(other[a : a + 4096]), strict=True))
+        out = []
+        for k in new:
+            units = split.get(k)
+            if units is None:
+                out.append(found[" " + k])
+                continue
+            for u in units:
+                if u not in self.units:
+                    self.units[u] = found[u]
+            out.append(b"".join(map(self.units.__getitem__, units)))
+        sizes = np.fromiter(map(len, out), np.int64, len(out)) // width
+        ids = np.frombuffer(b"".join(out), self.kind)
+        begin, end = len(self.places) - len(new), len(self.places)
+        if end > len(self.size):
+            self.first, self.size = (np.concatenate((x, np.zeros(max(end, len(x)), np.int64))) for x in (self.first, self.size))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(ids), len(self.pool)), self.kind)))
+        self.size[begin:end], self.first[begin:end] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, each with the end id after it, and how many each has."""
+        if len(self.places) > CACHE_PIECES or len(self.units) > CACHE_PIECES:
+            self.clear()
+        split = [self.keys(t) for t in texts]
+        whole = [i for i, k in enumerate(split) if k is None]
+        flat = [x for k in split if k for x in k]
+        at = np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))
+        if self.places.new:
+            self._learn()
+        each = self.size[at]
+        ends = np.cumsum(each)
+        ids = self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[at] - (ends - each), each)]
+        upto = np.concatenate(([0], ends))[np.cumsum([len(k or ()) for k in split])]
+        if whole:
+            got = {i: np.frombuffer(x, self.kind) for i, x in zip(whole, self._direct([texts[i] for i in whole]), strict=True)}
+            ids = np.concatenate([got[i] if i in got else ids[a:b] for i, (a, b) in enumerate(zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True))])
+            sizes = np.diff(np.concatenate(([0], upto)))
+            sizes[whole] = [len(got[i]) for i in whole]
+            upto = np.cumsum(sizes)
+        ids = np.insert(ids, upto, self.end_id)
+        return ids, np.diff(np.concatenate(([0], upto))) + 1
+
+
+def encoder(path: str, width: int, end_id: int) -> Encoder:
     """One per Python worker."""
-    if (path, width) not in _cached:
-        _cached[path, width] = Encoder(path, width)
-    return _cached[path, width]
+    if (path, width, end_id) not in _cached:
+        _cached[path, width, end_id] = Encoder(path, width, end_id)
+    return _cached[path, width, end_id]
 
 
 def cuts(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
@@ -130,6 +209,28 @@ def merkle(nodes: list[bytes]) -> bytes:
     return level[0]
 
 
+class Tree:
+    """merkle() of leaves that are added one by one; holds a node a level."""
+
+    def __init__(self):
+        self.peaks: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level, node = 0, digest(b"\0" + leaf)
+        while self.peaks and self.peaks[-1][0] == level:
+            node = digest(b"\1" + self.peaks.pop()[1] + node)
+            level += 1
+        self.peaks.append((level, node))
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return digest(b"")
+        node = self.peaks[-1][1]
+        for _, left in reversed(self.peaks[:-1]):
+            node = digest(b"\1" + left + node)
+        return node
+
+
 _ROWS = "kind int, key long, hash binary, ids binary, doc_id long, n_tokens long, root binary, hashes array<binary>"
 _SEEN = 500_000
 
@@ -148,18 +249,19 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, width:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, end, seen = encoder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes(), set()
+        encoding, seen = encoder(tokenizer, width, end_id), set()
         key = lambda h: int.from_bytes(h[:8], "little", signed=True)
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
-                rows, streams = [], [x + end for x in encoding.encode(batch.column(1).to_pylist())]
-                cut = cuts(np.frombuffer(b"".join(streams), f"<u{width}"), [len(x) // width for x in streams])
-                for doc_id, data, ends in zip(batch.column(0).to_pylist(), streams, cut, strict=True):
-                    parts = [data[b * width : e * width] for b, e in zip([0, *ends], ends, strict=False)]
+                rows, (ids, sizes) = [], encoding.encode(batch.column(1).to_pylist())
+                data, sizes, begin = ids.tobytes(), sizes.tolist(), 0
+                for doc_id, size, ends in zip(batch.column(0).to_pylist(), sizes, cuts(ids, sizes), strict=True):
+                    parts = [data[(begin + b) * width : (begin + e) * width] for b, e in zip([0, *ends], ends, strict=False)]
+                    begin += size
                     hashes = [digest(x) for x in parts]
                     root = merkle(hashes)
-                    rows.append((0, key(digest(root + str(doc_id).encode())), None, None, doc_id, len(data) // width, root, hashes))
+                    rows.append((0, key(digest(root + str(doc_id).encode())), None, None, doc_id, size, root, hashes))
                     for h, x in zip(hashes, parts, strict=True):
                         if h not in seen:
                             seen.add(h)
@@ -211,37 +313,35 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A row per recipe file; its documents' roots are hashed in order as they stream by."""
+    """A row per recipe file: its documents, their ids, and the root of a Merkle tree over their roots, in order."""
     recipes = spark.read.parquet(f"{path}/recipes")
 
     def manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, roots, n_docs, n_tokens in _by_part(batches):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [n_docs], "n_tokens": [n_tokens], "root": [merkle([digest(b"".join(roots))])]})
+        part, tree, n_docs, n_tokens = None, Tree(), 0, 0
+        row = lambda: pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [n_docs], "n_tokens": [n_tokens], "root": [tree.root()]})
+        for batch in batches:
+            for p, n, root in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield row()
+                    part, tree, n_docs, n_tokens = p, Tree(), 0, 0
+                tree.add(root)
+                n_docs, n_tokens = n_docs + 1, n_tokens + n
+        if part is not None:
+            yield row()
 
     by_file = recipes.select("part", "start_in_part", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start_in_part")
     return by_file.mapInArrow(manifest, "part int, n_docs long, n_tokens long, root binary")
 
 
-def verify_manifest(spark: SparkSession, path: str) -> None:
-    """Raises ValueError if a recipe file differs from its manifest row."""
-    written = spark.read.parquet(f"{path}/manifest").select("part", "n_docs", "n_tokens", "root")
-    now = _manifest(spark, path)
-    if written.exceptAll(now).unionByName(now.exceptAll(written)).limit(1).count():
+def verify_manifest(spark: SparkSession, path: str, n_docs: int | None = None) -> None:
+    """Raises ValueError if a recipe file differs from its manifest row, or if the store doesn't hold n_docs documents."""
+    read = lambda df: sorted(map(tuple, df.select("part", "n_docs", "n_tokens", "root").collect()))  # noqa: E731  a row a file
+    written = read(spark.read.parquet(f"{path}/manifest"))
+    if written != read(_manifest(spark, path)):
         raise ValueError(f"the recipes of {path} differ from their manifest")
-
-
-def _by_part(batches: Iterator[pa.RecordBatch]):
-    part, state, n_docs, n_tokens = None, None, 0, 0
-    for batch in batches:
-        for p, n, root in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if p != part:
-                if part is not None:
-                    yield part, [state.digest()], n_docs, n_tokens
-                part, state, n_docs, n_tokens = p, hashlib.blake2b(digest_size=16), 0, 0
-            state.update(root)
-            n_docs, n_tokens = n_docs + 1, n_tokens + n
-    if part is not None:
-        yield part, [state.digest()], n_docs, n_tokens
+    if n_docs is not None and sum(r[1] for r in written) != n_docs:
+        raise ValueError(f"{path} does not hold all documents")
 
 
 def recipes_with_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -391,6 +491,12 @@ def read_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 
 def store_report(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Writes the store and reads it back: doc_id, start, n_tokens, ids_crc32 (of 32-bit ids)."""
+    """Writes the store and reads it back: doc_id, start, n_tokens, ids_crc32 (of 32-bit ids).
+
+    The written recipes are held against the manifest first, and the number of their documents against docs. Sums come
+    from the chunks as read (read_checksums): CRC-32 of parts on end follows from the parts' sums and lengths, so the ids
+    of a document are not moved into one place for it; read_store does that.
+    """
     write_store(docs, path, tokenizer, end_id)
+    verify_manifest(docs.sparkSession, path, docs.count())
     return read_checksums(docs.sparkSession, path)

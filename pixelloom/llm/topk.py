@@ -13,7 +13,8 @@ bound known beforehand: the k-th best score among a bounded part of the block it
 Defined cases: vectors that are null or hold a null or a non-finite component take no part, nor do those with a null id;
 a query sees only vectors of its own length; rows that repeat the query's id are the query's own and no candidates, and a
 repeated id is one query (its smallest vector); other repeated rows are candidates each; ties go to the smaller id; fewer
-than k candidates give as many rows; other columns are not read.
+than k candidates give as many rows; a score that 64 bits don't hold counts as the nearest that they do, as do components;
+other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import stored
+from pixelloom.llm.common import scratch, stored
 
 TILE, DIM_BLOCK, SEEDS = 64, 16, 2048
 
@@ -46,7 +47,10 @@ def _scored(q: np.ndarray, c: np.ndarray, floor: np.ndarray, order: np.ndarray):
     """For each of the queries q (rows): positions in c (columns) and scores of all that reach its floor; more may come."""
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, len(order))
     if exact >= 2.0**52:  # floats would round: whole numbers, all of them
-        scores = q @ c
+        if exact >= 2.0**62:  # beyond 64 bits: numbers of any length, cut to the nearest that fits
+            scores = np.clip(q.astype(object) @ c.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
+        else:
+            scores = q @ c
         return [(np.flatnonzero(s >= f), s[s >= f]) for s, f in zip(scores, floor, strict=True)]
     kind = np.float32 if exact < 2.0**23 else np.float64
     q, c = q[:, order].astype(kind), c[order].astype(kind)
@@ -111,7 +115,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     n_blocks = -(-asked.count() // block_queries)
     if n_blocks > 1:  # so many more blocks that the fullest stays within the stated size in all likelihood
         n_blocks = -(-5 * n_blocks // 4)
-    parts = []
+    found, path = spark.createDataFrame([], "query_id long, vec_id long, score long"), scratch(spark, "found")
     for b in range(n_blocks):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toArrow()
         lengths = np.array([len(x) for x in rows["q"].to_pylist()])
@@ -129,11 +133,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
                         if len(scores) >= k:
                             floor[i] = np.partition(scores, -k)[-k]
             block[w] = (ids, q, floor, order)
-        parts.append(candidates.mapInArrow(_search(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score long"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for other in parts[1:]:
-        found = found.unionByName(other)
+        sent = spark.sparkContext.broadcast(block)
+        found = candidates.mapInArrow(_search(sent, k), "query_id long, vec_id long, score long")
+        if n_blocks > 1:  # each is written before the next is gathered, so that driver and tasks hold one block
+            found.write.mode("append").parquet(path)
+            sent.unpersist()
+    if n_blocks > 1:
+        found = spark.read.schema("query_id long, vec_id long, score long").parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

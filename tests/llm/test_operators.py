@@ -8,13 +8,14 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 
 DOCS = "doc_id long, text string, lang string, key string, hash long, id long, score double"
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
+MODEL = str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def texts():
