@@ -12,6 +12,9 @@ import struct
 import numpy as np
 
 _HEAD = struct.Struct("<qqqq")
+_FIVES, _THREES, _NIBBLES, _BYTES, _TOPS = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080))
+#: Place of the k-th one of a byte at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for b in range(256) for k in range(8)], np.int64)
 
 
 def encode(values: np.ndarray, universe: int) -> bytes:
@@ -53,14 +56,15 @@ class Sequence:
         word = self.high[at]
         if flip:
             word = ~word
-        left, pos = ranks - counts[at], np.zeros(len(ranks), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            lower = word & np.uint64((1 << width) - 1)
-            below = np.bitwise_count(lower).astype(np.int64)
-            up = left >= below
-            left = left - below * up
-            pos += width * up
-            word = np.where(up, word >> np.uint64(width), lower)
+        left = (ranks - counts[at]).astype(np.uint64)
+        # running sums of ones by byte, side by side in a word; how many of them are at most the rank says the byte
+        sums = word - ((word >> np.uint64(1)) & _FIVES)
+        sums = (sums & _THREES) + ((sums >> np.uint64(2)) & _THREES)
+        sums = ((sums + (sums >> np.uint64(4))) & _NIBBLES) * _BYTES
+        byte = np.bitwise_count(((left * _BYTES | _TOPS) - (sums & ~_TOPS)) & _TOPS).astype(np.uint64) * np.uint64(8)
+        byte = np.minimum(byte, np.uint64(56))
+        left -= (sums << np.uint64(8)) >> byte & np.uint64(255)
+        pos = byte.astype(np.int64) + _IN_BYTE[((word >> byte & np.uint64(255)) * np.uint64(8) + np.minimum(left, np.uint64(7))).astype(np.int64)]
         return at * 64 + pos
 
     def _low(self, i: np.ndarray) -> np.ndarray:

@@ -1,19 +1,24 @@
-"""An n-gram language model in Elias-Fano tries, built and queried by Spark tasks.
+"""An n-gram language model of order 3 in Elias-Fano tries, built and queried by Spark tasks.
 
 Level 1 holds the distinct words of the training documents, as sorted 64-bit hashes whose rank is the word's id, with
 exact counts as differences of a running sum. Level 2 holds, for each word as context, the ids of the words that follow
 it: a monotone sequence of pointers marks each context's range, and the successors are stored relative to the range
-before, so that the whole level rises and a search in a context is one successor search from the range's base.
-Probabilities are quantised to 256 values a file. Levels are cut into files of bounded size, in order of the mass that
-comes before a pair under independence, so that a frequent context takes as many files as its pairs need. Tasks map the
-files into memory (a store without local paths is read instead) and ask for their documents' pairs in sorted batches.
-
-Smoothing is Bayesian with a Dirichlet prior: p(w | v) = (c(v w) + mu p(w)) / (c(v) + mu), with p(w) = (c(w) + 0.5) /
-(N + 0.5 (V + 1)). All pairs of all training documents are counted; counts are summed in tasks before they move.
-
-Defined cases: null text is empty (the end token alone); a null doc_id is held as empty text for the split; repeated rows
-are documents each; unknown words have p(w) with c = 0 and, as contexts, add nothing; without training documents N and V
-are 0; other columns are not read; an empty table gives an empty result.
+before, so that the whole level rises and a search in a context is one successor search from the range's base. Level 3
+holds the words that follow each pair in the same way; a pair's place in level 2 is its context. Probabilities and the
+weights of shorter contexts are quantised to 256 values a file. Levels 2 and 3 are cut into files of bounded size, in order
+of the mass that comes before a pair under independence, so that a frequent context takes as many files as its pairs need.
+Tasks map the files into memory (a store without local paths is read instead; at most OPEN_BYTES of it stay) and ask for
+their documents' pairs and triples in sorted batches.
+
+Smoothing is Bayesian with Dirichlet priors: p(w | v) = (c(v w) + mu p(w)) / (c(v) + mu), with p(w) = (c(w) + 0.5) /
+(N + 0.5 (V + 1)), and p(w | u v) = (c(u v w) + mu3 p(w | v)) / (c(u v) + mu3). The end token opens a text: its first word
+has that one word of context. All pairs and triples of all training documents are counted, none is pruned; counts are
+summed in tasks before they move.
+
+Defined cases: null text is empty (the end token alone); a text of any length is one sequence, held whole in its task; a
+null doc_id is held as empty text for the split; repeated rows are documents each; unknown words have p(w) with c = 0 and,
+as contexts, add nothing; without training documents N and V are 0; other columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from pixelloom.llm.common import file_system, held_in, scratch, stored, text_or_
 END = b"\n"  # no word holds white space
 TOKENS_A_FILE = 4_000_000
 TOKENS_A_BATCH = 1_000_000
+OPEN_BYTES = 1 << 29
 CACHED_WORDS = 400_000
 SIGN = 1 << 63
 
@@ -136,13 +142,62 @@ class Words:
         return np.minimum(out, max(0, self.size - 1))
 
 
-class Pairs:
-    """Level 2: in which file a pair lies, and its quantised probability."""
+def _rising(context: np.ndarray, word: np.ndarray, contexts: int) -> tuple[bytes, bytes]:
+    """A level out of (context, word), sorted: pointers to the contexts' ranges, and words above the range before."""
+    pointers = np.concatenate(([0], np.cumsum(np.bincount(context, minlength=contexts)))).astype(np.uint64)
+    ends = np.flatnonzero(np.append(context[1:] != context[:-1], True)) if len(context) else np.zeros(0, np.int64)
+    bases = np.concatenate(([0], np.cumsum(word[ends] + 1)))
+    new = np.concatenate(([0], (context[1:] != context[:-1]).cumsum())) if len(context) else context
+    rising = (bases[new] + word + 1).astype(np.uint64)
+    return eliasfano.encode(pointers, len(context) + 1), eliasfano.encode(rising, int(rising[-1]) + 1 if len(rising) else 1)
+
+
+class Level:
+    """Pointers and words of a level as read; find() is a successor search from a context's base."""
+
+    def __init__(self, buffer, offset: int):
+        self.pointers = eliasfano.Sequence(buffer, offset)
+        self.rising = eliasfano.Sequence(buffer, self.pointers.end)
+        self.end = self.rising.end
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The places of (context, word), context sorted; -1 for those that are not there."""
+        out = np.full(len(context), -1, np.int64)
+        inside = np.flatnonzero(context < self.pointers.n - 1)
+        if not len(inside) or not self.rising.n:
+            return out
+        context = context[inside]
+        new = np.concatenate(([True], context[1:] != context[:-1]))
+        where, some = new.cumsum() - 1, context[new]
+        begin, end = self.pointers.get(some).astype(np.int64), self.pointers.get(some + 1).astype(np.int64)
+        base = np.where(begin > 0, self.rising.get(np.maximum(begin - 1, 0)), 0).astype(np.uint64)
+        target, size, at = base[where] + word[inside].astype(np.uint64) + np.uint64(1), (end - begin)[where], begin[where]
+        many = np.flatnonzero(size > 1)  # a range of one needs no search
+        at[many] = self.rising.rank(target[many]) - 1
+        hit = (size > 0) & (at >= begin[where]) & (at < end[where])
+        hit[hit] = self.rising.get(at[hit]) == target[hit]
+        out[inside[hit]] = at[hit]
+        return out
+
+
+def _values(buffer, offset: int, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(256 values, codes of n entries, end)."""
+    return np.frombuffer(buffer, "<f8", 256, offset), np.frombuffer(buffer, np.uint8, n, offset + 2048), offset + 2048 + n
+
+
+def _bytes_of(values: np.ndarray) -> list[bytes]:
+    table, codes = quantised(values)
+    return [table.astype("<f8").tobytes(), codes.tobytes()]
+
+
+class Grams:
+    """Levels 2 and 3: in which file a pair and the words after it lie, and their quantised numbers."""
 
     def __init__(self, path: str, words: Words):
         self.path, self.words, self.n = path, words, max(1, -(-words.total // TOKENS_A_FILE))
         self.bases = words.at_mass(np.arange(self.n, dtype=np.int64) * words.total // self.n) if words.total else np.zeros(1, np.int64)
         self.open: dict[int, tuple | None] = {}
+        self.bytes = 0
 
     def place(self, first: np.ndarray, second: np.ndarray, facts1, facts2) -> tuple[np.ndarray, np.ndarray]:
         """(file, code in that file) of known pairs; codes rise with (first, second)."""
@@ -153,67 +208,83 @@ class Pairs:
         file -= first < self.bases[file]
         return file, (first - self.bases[file]).astype(np.uint64) * np.uint64(self.words.size) + second.astype(np.uint64)
 
-    def save(self, file: int, codes: np.ndarray, counts: np.ndarray, mu: float) -> None:
+    def save(self, file: int, codes: np.ndarray, after: np.ndarray, counts: np.ndarray, mu: float, mu3: float) -> int:
+        """Writes both levels of a file from distinct, sorted (code of a pair, 1 + word after it or 0) and their counts."""
+        starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        pairs, n2 = codes[starts], np.add.reduceat(counts, starts)
         size = np.uint64(self.words.size)
-        relative, second = (codes // size).astype(np.int64), (codes % size).astype(np.int64)
-        contexts = int(relative[-1]) + 1
-        pointers = np.concatenate(([0], np.cumsum(np.bincount(relative, minlength=contexts)))).astype(np.uint64)
-        ends = np.flatnonzero(np.append(relative[1:] != relative[:-1], True))
-        bases = np.concatenate(([0], np.cumsum(second[ends] + 1)))
-        rising = (bases[np.searchsorted(ends, np.arange(len(codes)))] + second + 1).astype(np.uint64)
+        relative, second = (pairs // size).astype(np.int64), (pairs % size).astype(np.int64)
         some = np.unique(second)
         p = 10 ** self.words.facts(some)[2][np.searchsorted(some, second)]
         some = np.unique(relative)
         context = self.words.facts(some + self.bases[file])[1][np.searchsorted(some, relative)]
-        table, quant = quantised(np.log10((counts + mu * p) / (context + mu)))
-        _save(self.path, f"pairs-{file}", eliasfano.encode(pointers, len(codes) + 1), eliasfano.encode(rising, int(rising[-1]) + 1), table.astype("<f8").tobytes(), quant.tobytes())
+        own = np.repeat(np.arange(len(pairs)), np.diff(np.append(starts, len(codes))))[after > 0]
+        parts = [*_rising(relative, second, int(relative[-1]) + 1), *_bytes_of(np.log10((n2 + mu * p) / (context + mu))), *_bytes_of(np.log10(mu3 / (n2 + mu3)))]
+        parts += [*_rising(own, after[after > 0].astype(np.int64) - 1, len(pairs)), *_bytes_of(np.log10(counts[after > 0] / (n2[own] + mu3)))]
+        _save(self.path, f"grams-{file}", *parts)
+        return len(pairs)
 
     def _file(self, file: int):
         if file not in self.open:
+            if self.bytes > OPEN_BYTES:
+                self.open.clear()
+                self.bytes = 0
             try:
-                buffer = _load(self.path, f"pairs-{file}")
+                buffer = _load(self.path, f"grams-{file}")
             except FileNotFoundError:  # no pair of the corpus lies there
                 self.open[file] = None
                 return None
-            pointers = eliasfano.Sequence(buffer)
-            rising = eliasfano.Sequence(buffer, pointers.end)
-            table = np.frombuffer(buffer, "<f8", 256, rising.end)
-            self.open[file] = (pointers, rising, table, np.frombuffer(buffer, np.uint8, rising.n, rising.end + 2048))
+            two = Level(buffer, 0)
+            table, codes, end = _values(buffer, two.end, two.rising.n)
+            weights, weight_codes, end = _values(buffer, end, two.rising.n)
+            three = Level(buffer, end)
+            shares, share_codes, _ = _values(buffer, three.end, three.rising.n)
+            self.open[file] = (two, table, codes, weights, weight_codes, three, shares, share_codes)
+            self.bytes += len(buffer)
         return self.open[file]
 
-    def find(self, file: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """log10 p of pairs that the corpus holds, NaN of others. file and codes: sorted."""
-        out, size = np.full(len(codes), np.nan), np.uint64(self.words.size)
-        for f in np.unique(file):
-            level = self._file(int(f))
-            if level is None:
-                continue
-            pointers, rising, table, quant = level
-            a, b = np.searchsorted(file, [f, f + 1])
-            for a in range(a, b, 1 << 17):  # noqa: B020
-                c = codes[a : min(b, a + (1 << 17))]
-                context, second = (c // size).astype(np.int64), c % size
-                inside = np.flatnonzero(context < pointers.n - 1)
-                some, where = np.unique(context[inside], return_inverse=True)
-                begin, end = pointers.get(some).astype(np.int64), pointers.get(some + 1).astype(np.int64)
-                base = np.where(begin > 0, rising.get(np.maximum(begin - 1, 0)), 0).astype(np.uint64)
-                target = base[where] + second[inside] + np.uint64(1)
-                at = rising.rank(target) - 1
-                hit = (at >= begin[where]) & (at < end[where])
-                hit[hit] = rising.get(at[hit]) == target[hit]
-                out[a + inside[hit]] = table[quant[at[hit]]]
+    def _runs(self, file: np.ndarray):
+        """(level, slice) of bounded pieces of sorted files."""
+        ends = np.flatnonzero(np.append(file[1:] != file[:-1], True)) + 1 if len(file) else []
+        begin = 0
+        for end in ends:
+            level = self._file(int(file[begin]))
+            if level is not None:
+                for a in range(begin, end, 1 << 17):
+                    yield level, slice(a, min(end, a + (1 << 17)))
+            begin = end
+
+    def pairs(self, file: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place or -1, log10 p, log10 of the weight of the shorter context) of pairs; file and codes: sorted."""
+        place, p, weight = np.full(len(codes), -1, np.int64), np.zeros(len(codes)), np.zeros(len(codes))
+        size = np.uint64(self.words.size)
+        for (two, table, quant, weights, quant2, *_), piece in self._runs(file):
+            c = codes[piece]
+            at = two.find((c // size).astype(np.int64), c % size)
+            hit = at >= 0
+            place[piece] = at
+            p[piece][hit], weight[piece][hit] = table[quant[at[hit]]], weights[quant2[at[hit]]]
+        return place, p, weight
+
+    def triples(self, file: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 of c(u v w) / (c(u v) + mu3), minus infinity for triples that the corpus doesn't hold; sorted by file, place."""
+        out = np.full(len(word), -np.inf)
+        for (*_, three, shares, quant), piece in self._runs(file):
+            at = three.find(place[piece], word[piece])
+            hit = at >= 0
+            out[piece][hit] = shares[quant[at[hit]]]
         return out
 
 
-_opened: dict[str, tuple[Words, Pairs]] = {}
+_opened: dict[str, tuple[Words, Grams]] = {}
 
 
-def _model(path: str, files, total: int, words: int) -> tuple[Words, Pairs]:
+def _model(path: str, files, total: int, words: int) -> tuple[Words, Grams]:
     """The model's files, opened once in a Python worker; those of another model are let go."""
     if path not in _opened:
         _opened.clear()
         level = Words(path, files, total, words)
-        _opened[path] = (level, Pairs(path, level))
+        _opened[path] = (level, Grams(path, level))
     return _opened[path]
 
 
@@ -230,11 +301,27 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
-def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    return codes[starts], np.add.reduceat(counts, starts)
+def _summed(codes: np.ndarray, after: np.ndarray, counts: np.ndarray | None, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (code, after), sorted, and how often they occur; after is at most words."""
+    step = np.uint64(words + 1)
+    if not len(codes):
+        return codes, after, np.zeros(0, np.int64)
+    if int(codes.max()) < (1 << 64) // (words + 1) - 1:  # both in one number
+        key = codes * step + after
+        if counts is None:
+            key.sort()
+        else:
+            order = np.argsort(key)
+            key, counts = key[order], counts[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        codes, after = key[starts] // step, key[starts] % step
+    else:
+        order = np.lexsort((after, codes))
+        codes, after, counts = codes[order], after[order], None if counts is None else counts[order]
+        starts = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (after[1:] != after[:-1]))))
+        n, codes, after = len(codes), codes[starts], after[starts]
+        key = range(n)
+    return codes, after, np.diff(np.append(starts, len(key))) if counts is None else np.add.reduceat(counts, starts)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
@@ -252,18 +339,34 @@ def _texts(batches: Iterator[pa.RecordBatch]):
         yield rows
 
 
-def _pair_ids(rows, words: Words):
-    """(ids of all tokens in a row, ids of the tokens before them, lengths); the end token opens a text."""
+def _indexed(rows, words: Words):
+    """(ids of all tokens in a row, lengths, first tokens' places, distinct ids, place among them of each and of the one before).
+
+    The end token opens a text.
+    """
     lengths = np.array([len(w) for _, w in rows])
     ids = words.ids([x for _, w in rows for x in w])
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    before = np.concatenate(([-1], ids[:-1]))
-    before[first] = ids[first + lengths - 1]
-    return ids, before, lengths
-
-
-def train(texts: DataFrame, path: str, mu: float):
-    """Writes both levels of the model of a DataFrame of texts; returns what _model needs to open it."""
+    some, where = np.unique(ids, return_inverse=True)
+    before = np.concatenate(([0], where[:-1]))
+    before[first] = where[first + lengths - 1]
+    return ids, lengths, first, some, where, before
+
+
+def _by_file(file: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Order by file, then code."""
+    most = int(file.max(initial=0))
+    if most > 256:
+        return np.lexsort((codes, file))
+    order = np.argsort(file.astype(np.uint16), kind="stable")
+    ends = np.cumsum(np.bincount(file, minlength=most + 1)).tolist()
+    for a, b in zip([0, *ends], ends, strict=False):
+        order[a:b] = order[a:b][np.argsort(codes[order[a:b]])]
+    return order
+
+
+def train(texts: DataFrame, path: str, mu: float, mu3: float):
+    """Writes all levels of the model of a DataFrame of texts; returns what _model needs to open it."""
     spark = texts.sparkSession
     texts = texts.select(text_or_empty().alias("text"))
 
@@ -311,36 +414,35 @@ def train(texts: DataFrame, path: str, mu: float):
         words_before, tokens_before = words_before + r["words"], tokens_before + r["tokens"]
     opened = (path, files, total, size)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, level = _model(*opened)
         for rows in _texts(batches):
-            ids, before, _ = _pair_ids(rows, words)
-            some, where = np.unique(ids, return_inverse=True)
-            facts = [x[where] for x in words.facts(some)[:2]]
-            place = np.searchsorted(some, before)
-            all_facts = words.facts(some)
-            first = [x[place] for x in all_facts[:2]]
-            file, codes = level.place(before, ids, first, facts)
-            order = np.argsort(file, kind="stable")
-            file, codes = file[order], codes[order]
+            ids, lengths, first, some, where, before = _indexed(rows, words)
+            mass, count, _ = words.facts(some)
+            after = np.concatenate((ids[1:] + 1, [0])).astype(np.uint64)
+            after[first + lengths - 1] = 0  # nothing follows the end
+            file, codes = level.place(some[before], ids, (mass[before], count[before]), (mass[where], count[where]))
+            order = np.argsort(file.astype(np.uint16) if level.n <= 1 << 16 else file, kind="stable")
+            file, codes, after = file[order], codes[order], after[order]
             starts = np.flatnonzero(np.concatenate(([True], file[1:] != file[:-1])))
             for a, b in zip(starts, np.append(starts[1:], len(file)), strict=True):
-                c, n = _summed(codes[a:b], np.ones(b - a, np.uint32))
+                c, w, n = _summed(codes[a:b], after[a:b], None, words.size)
                 c[1:] -= c[:-1].copy()
-                yield pa.RecordBatch.from_arrays([pa.array([int(file[a])]), pa.array([_planes(c)]), pa.array([_planes(n.astype("<u4"))])], names=["file", "codes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(file[a])]), *(pa.array([_planes(x)]) for x in (c, w, n.astype("<u4")))], names=["file", "codes", "after", "counts"])
 
-    def level2(table: pa.Table) -> pa.Table:
-        _, level = _model(*opened)
+    def levels(table: pa.Table) -> pa.Table:
+        words, level = _model(*opened)
         codes = [np.cumsum(_from_planes(x, "<u8"), dtype=np.uint64) for x in table.column("codes").to_pylist()]
+        after = [_from_planes(x, "<u8") for x in table.column("after").to_pylist()]
         n = [_from_planes(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
-        c, n = _summed(np.concatenate(codes), np.concatenate(n))
         file = table.column("file")[0].as_py()
-        level.save(file, c, n, mu)
-        return pa.table({"file": [file], "pairs": [len(c)]})
+        found = _summed(np.concatenate(codes), np.concatenate(after), np.concatenate(n), words.size)
+        return pa.table({"file": [file], "pairs": [level.save(file, *found, mu, mu3)]})
 
     if total:
-        blocks = texts.mapInArrow(pairs, "file long, codes binary, counts binary")
-        blocks.groupBy("file").applyInArrow(level2, "file long, pairs long").agg(F.sum("pairs")).collect()
+        blocks = texts.mapInArrow(grams, "file long, codes binary, after binary, counts binary")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TOKENS_A_FILE))  # about a file a task
+        blocks.repartition(parts, "file").groupBy("file").applyInArrow(levels, "file long, pairs long").agg(F.sum("pairs")).collect()
     return opened
 
 
@@ -362,24 +464,29 @@ def score(docs: DataFrame, opened, mu: float, columns: list[str]) -> DataFrame:
                 yield b
 
         for rows in _texts(typed(batches)):
-            ids, before, lengths = _pair_ids(rows, words)
-            some, where = np.unique(ids, return_inverse=True)
+            ids, lengths, first, some, where, before = _indexed(rows, words)
             mass, count, log_p = words.facts(some)
-            place = np.searchsorted(some, before)
-            token_p, context = log_p[where], count[place]
-            out = np.log10(mu / (context + mu)) + token_p
-            both = np.flatnonzero((ids >= 0) & (before >= 0))
-            w, p = where[both], place[both]
-            file, codes = level.place(before[both], ids[both], (mass[p], count[p]), (mass[w], count[w]))
-            order = np.lexsort((codes, file))
-            file, codes = file[order], codes[order]
+            out = np.log10(mu / (count[before] + mu)) + log_p[where]
+            both = np.flatnonzero((ids >= 0) & (some[before] >= 0))
+            w, p = where[both], before[both]
+            file, codes = level.place(some[p], ids[both], (mass[p], count[p]), (mass[w], count[w]))
+            order = _by_file(file, codes)
+            file, codes, token = file[order], codes[order], both[order]
             starts = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (file[1:] != file[:-1])))) if len(codes) else np.zeros(0, np.int64)
-            found = level.find(file[starts], codes[starts])
-            each = np.repeat(found, np.diff(np.append(starts, len(codes))))
-            hit = ~np.isnan(each)
-            out[both[order[hit]]] = each[hit]
+            times = np.diff(np.append(starts, len(codes)))
+            place, found, weight = (np.repeat(x, times) for x in level.pairs(file[starts], codes[starts]))
+            hit = place >= 0
+            out[token[hit]] = found[hit]
+            # a known pair is the context of the token after it, but for one that ends a text
+            last = np.zeros(len(ids), bool)
+            last[first + lengths - 1] = True
+            hit &= ~last[token]
+            file, place, weight, token = file[hit], place[hit], weight[hit], token[hit] + 1
+            out[token] += weight
+            known = np.flatnonzero(ids[token] >= 0)
+            share = level.triples(file[known], place[known], ids[token[known]])
+            out[token[known]] = np.log10(10**share + 10 ** out[token[known]])
             base = np.log10((count + 0.5) / scale)[where]
-            first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             known = np.add.reduceat((count[where] > 0).astype(np.int64), first)
             lists = [pa.array([r[0][i] for r in rows], types.field(i).type) for i in range(len(columns))]
             lists += [pa.array(lengths), pa.array(known), pa.array(np.full(len(rows), words.total)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(out, first))]
@@ -390,8 +497,8 @@ def score(docs: DataFrame, opened, mu: float, columns: list[str]) -> DataFrame:
     return kept.mapInArrow(run, schema.add("base_score", "double").add("score", "double"))
 
 
-def lm_report(docs: DataFrame, mu: float = 100.0) -> DataFrame:
+def lm_report(docs: DataFrame, mu: float = 100.0, mu3: float = 20.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, learned from documents not held out."""
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_in(1).alias("held_out"), "text")
-    opened = train(marked.where(~F.col("held_out")), scratch(docs.sparkSession, "lm"), mu)
+    opened = train(marked.where(~F.col("held_out")), scratch(docs.sparkSession, "lm"), mu, mu3)
     return score(marked, opened, mu, ["doc_id", "held_out"])

@@ -1,17 +1,20 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that finds more by shape and context.
 
 Words are tagged as the beginning of a secret, its inside, or outside. Features are a word's shape, length and characters,
-the words beside it, and counts over the file. The field is trained on the driver, by full-batch gradients over windows
-of words around the patterns' finds and around other places; the windows are the ones with the smallest hashes, up to a
-bound that is a parameter. Tags are decoded by Viterbi over whole texts. A word whose score for "outside" exceeds the
-others by more than all that two transitions can bring is outside on every best path, so that only the stretches between
-such words need decoding; the result is that of the whole chain.
+the words beside it, and counts over the file. The field is trained on the driver, by full-batch gradients over windows of
+words of four kinds: around the patterns' finds; around the same finds in disguise (the key word is another word of the
+text, the key's first letters and the value's alphabet are others), so that what no pattern covers is learned too; around
+words outside that hold digits or signs; around any words outside. Of each kind the distinct windows with the smallest
+hashes are taken, up to a bound that is a parameter. Tags are decoded by Viterbi over whole texts. A word whose score for
+"outside" exceeds the others by more than all that two transitions can bring is outside on every best path, so that only
+the stretches between such words need decoding; the result is that of the whole chain.
 
 The patterns' finds always stay; the field adds spans that meet none of them. Spans are in code points, end exclusive; a
 found pattern counts whole (key word and value).
 
-Defined cases: null text is empty and has no spans; a null doc_id is carried through; rows that repeat give the same spans
-each; without training windows the field adds nothing; other columns are not read; an empty table gives an empty result.
+Defined cases: null text is empty and has no spans; a text of any length is scanned whole; a null doc_id is carried
+through; rows that repeat give the same spans each; without training windows the field adds nothing; other columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import text_or_empty
+from pixelloom.llm.common import Held, text_or_empty
 
 #: Fixed patterns of the contract: kind, pattern, group whose length counts, least length.
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
@@ -37,8 +40,8 @@ KINDS = ["assign", "access", "hex", "crf"]
 OUT, BEGIN, INSIDE = 0, 1, 2
 AROUND = 10
 BOUNDARY = b""
-CACHE_WORDS = 300_000
-SHARES = 64
+CACHE_WORDS = 400_000
+FOUND, DISGUISED, ODD, ANY = 3, 2, 1, 0  # kinds of training windows
 _SHAPE = bytes(ord("a") if 97 <= c <= 122 or c >= 128 else ord("A") if 65 <= c <= 90 else ord("9") if 48 <= c <= 57 else c for c in range(256))
 _REPEATS = re.compile(rb"(.)\1+", re.DOTALL)
 
@@ -65,32 +68,35 @@ def word_starts(raw: bytes, words: list[bytes]) -> list[int]:
     return out
 
 
+def _collapsed(w: bytes) -> bytes:
+    return _REPEATS.sub(rb"\1", w.translate(_SHAPE))[:14]
+
+
 def own_features(w: bytes) -> list[tuple]:
-    shape = _REPEATS.sub(rb"\1", w.translate(_SHAPE))[:14]
-    size = min(len(w) // 4, 12)
+    full = w.translate(_SHAPE)
+    shape, size, upper = _REPEATS.sub(rb"\1", full)[:14], min(len(w) // 4, 4), b"A" in full and b"a" not in full
     if shape == b"a":
         return [("s", shape), ("z", size)]
     lowered = w.lower()
-    core = w.strip(b"\"'.,;:()[]{}<>")
-    digits = sum(48 <= c <= 57 for c in core)
-    return [
-        ("s", shape),
-        ("z", size),
-        ("sz", shape[:3], size),
-        ("d", min(digits, 8)),
-        ("k", next((k for k in KEYWORDS if k in lowered), b"")),
-        ("h", not core.strip(b"0123456789abcdef"), size),
-        ("u", core.isupper(), size, digits > 0),
-        ("p", lowered[:4]),
-    ]
-
-
-def context_features(side: str, w: bytes, shape: bytes | None = None) -> list[tuple]:
-    if w == BOUNDARY:
-        return [(side, "edge")]
-    lowered = w.lower().strip(b"\"'.,;:=()")[:24]
-    shape = _REPEATS.sub(rb"\1", w.translate(_SHAPE)) if shape is None else shape
-    return [(side, lowered), (side, "s", shape[:8])]
+    out = [("s", shape), ("z", size), ("sz", shape[:3], size), ("t", len(shape), size), ("u", upper, size, b"9" in full), ("k", _key(lowered))]
+    if b"9" in full:
+        core = w.strip(b"\"'.,;:()[]{}<>")
+        out += [("d", min(full.count(b"9"), 4)), ("h", not core.strip(b"0123456789abcdef"), size), ("p", lowered[:4])]
+    return out
+
+
+def _key(lowered: bytes) -> bytes:
+    if b"pass" in lowered or b"ecre" in lowered or b"oken" in lowered or b"api" in lowered:
+        return next((k for k in KEYWORDS if k in lowered), b"")
+    return b""
+
+
+def _core(w: bytes) -> bytes:
+    return w.lower().strip(b"\"'.,;:=()")[:24]
+
+
+def context_features(side: str, w: bytes) -> list[tuple]:
+    return [(side, "edge")] if w == BOUNDARY else [(side, _core(w)), (side, "s", _collapsed(w)[:8])]
 
 
 def file_features(raw: bytes) -> list[tuple]:
@@ -104,13 +110,14 @@ class Field:
     def __init__(self, rows: dict, weights: np.ndarray, transitions: np.ndarray):
         self.rows, self.weights, self.transitions = rows, weights, transitions
         self.triples = weights.tolist()
+        self.seen = {f[1] for f in rows if f[0] in ("a", "b") and len(f) == 2}
         self.margin = 2 * float(transitions.max() - transitions.min()) + 1e-6 if len(rows) else -np.inf
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.table = np.zeros((1024, 9))
-        self.plain: dict[int, tuple] = {}
+        self.plain: dict[bytes, tuple] = {}
 
     def __getstate__(self):
         return self.rows, self.weights, self.transitions
@@ -126,6 +133,21 @@ class Field:
                 a, b, c = a + x, b + y, c + z
         return a, b, c
 
+    def _word(self, w: bytes) -> tuple:
+        """Scores of a word as itself, as the word before, as the word after."""
+        if w == BOUNDARY:
+            return (0.0, 0.0, 0.0, *self._add(context_features("b", w)), *self._add(context_features("a", w)))
+        full, key = w.translate(_SHAPE), None
+        if b"9" not in full and _core(w) not in self.seen and not _key(w.lower()):
+            # most words: no digits, not seen in training; all their features follow from their shape
+            key = full
+            if key in self.plain:
+                return self.plain[key]
+        scores = (*self._add(own_features(w)), *self._add(context_features("b", w)), *self._add(context_features("a", w)))
+        if key:
+            self.plain[key] = scores
+        return scores
+
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Rows of the table of word scores: as itself, as the word before, as the word after."""
         if len(self.index) > CACHE_WORDS:
@@ -133,22 +155,7 @@ class Field:
         values, known = [], len(self.index)
         for w in set(words).difference(self.index):
             self.index[w] = known + len(values)
-            shape = w.translate(_SHAPE)
-            if w and shape.count(b"a") == len(w):
-                # most words: letters alone, whose scores depend on their length but for words that training has seen
-                size, core = min(len(w) // 4, 12), w[:24]
-                seen = ("b", core) in self.rows or ("a", core) in self.rows
-                if seen or size not in self.plain:
-                    scores = (*self._add(own_features(w)), *self._add(context_features("b", w)), *self._add(context_features("a", w)))
-                    if not seen:
-                        self.plain[size] = scores
-                else:
-                    scores = self.plain[size]
-                values.append(scores)
-                continue
-            shape = _REPEATS.sub(rb"\1", shape)
-            own = (0.0, 0.0, 0.0) if w == BOUNDARY else self._add(own_features(w))
-            values.append((*own, *self._add(context_features("b", w, shape)), *self._add(context_features("a", w, shape))))
+            values.append(self._word(w))
         if values:
             end = known + len(values)
             if end > len(self.table):
@@ -195,64 +202,134 @@ def viterbi(e: np.ndarray, transitions: np.ndarray) -> list[int]:
     return path[::-1]
 
 
-def fit(windows: list[tuple[list[bytes], list[int], list[tuple]]], rounds: int = 60, rate: float = 0.5, ridge: float = 1e-4) -> Field:
-    """Maximum likelihood by Adagrad. windows: words with one on either side for context, tags of the inner ones, file features."""
-    rows: dict[tuple, int] = {}
-    if not windows:
-        return Field(rows, np.zeros((0, 3)), np.zeros((3, 3)))
-    length = max(len(t) for _, t, _ in windows)
-    at, feature = [], []
-    tags, real = np.zeros((len(windows), length), np.int64), np.zeros((len(windows), length), bool)
-    for n, (words, t, file) in enumerate(windows):
-        tags[n, : len(t)], real[n, : len(t)] = t, True
-        for i in range(len(t)):
-            for f in (*own_features(words[i + 1]), *context_features("b", words[i]), *context_features("a", words[i + 2]), *file):
-                at.append(n * length + i)
-                feature.append(rows.setdefault(f, len(rows)))
-    at, feature = np.array(at), np.array(feature)
-    w, trans = np.zeros((len(rows), 3)), np.zeros((3, 3))
-    gw2, gt2 = np.full_like(w, 1e-6), np.full_like(trans, 1e-6)
-    shape = (len(windows), length, 3)
-    one = np.eye(3)
-    gold = one[tags] * real[..., None]
-    gold_pairs = np.einsum("nia,nib->ab", gold[:, :-1], gold[:, 1:]) + np.einsum("na->a", gold[:, 0])[None] * one[OUT][:, None]
-    last = real.sum(1) - 1
-    gold_pairs += np.einsum("na->a", gold[np.arange(len(windows)), last])[:, None] * one[OUT][None]
-    log_sum = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
-    for _ in range(rounds):
-        e = np.stack([np.bincount(at, w[feature, k], shape[0] * length) for k in range(3)], 1).reshape(shape)
-        e[~real] = [0, -1e9, -1e9]  # beyond a window's end all is outside
-        a = np.empty(shape)
+class Chains:
+    """Training windows as arrays: words with one on either side for context, tags of the inner ones, file features."""
+
+    def __init__(self, windows: list[tuple[list[bytes], list[int], list[tuple]]], least: int = 1):
+        self.rows: dict[tuple, int] = {}
+        self.n, length = len(windows), max(len(t) for _, t, _ in windows)
+        at, feature = [], []
+        tags, self.real = np.zeros((self.n, length), np.int64), np.zeros((self.n, length), bool)
+        for n, (words, t, file) in enumerate(windows):
+            tags[n, : len(t)], self.real[n, : len(t)] = t, True
+            for i in range(len(t)):
+                for f in (*own_features(words[i + 1]), *context_features("b", words[i]), *context_features("a", words[i + 2]), *file):
+                    at.append(n * length + i)
+                    feature.append(self.rows.setdefault(f, len(self.rows)))
+        self.at, self.feature, self.shape = np.array(at), np.array(feature), (self.n, length, 3)
+        often = np.bincount(self.feature) >= least
+        keep, number = often[self.feature], np.cumsum(often) - 1
+        self.rows = {f: int(number[i]) for f, i in self.rows.items() if often[i]}
+        self.at, self.feature = self.at[keep], number[self.feature[keep]]
+        one = self.one = np.eye(3)
+        self.tags, self.gold, self.last = tags, one[tags] * self.real[..., None], self.real.sum(1) - 1
+        gold, every = self.gold, np.arange(self.n)
+        self.pairs = np.einsum("nia,nib->ab", gold[:, :-1], gold[:, 1:]) + gold[:, 0].sum(0)[None] * one[OUT][:, None]
+        self.pairs += gold[every, self.last].sum(0)[:, None] * one[OUT][None]
+
+    def gradient(self, w: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(log-likelihood of the tags, its gradients by w and by trans); chains begin and end outside."""
+        shape, length, one, every = self.shape, self.shape[1], self.one, np.arange(self.n)
+        log_sum = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
+        e = np.stack([np.bincount(self.at, w[self.feature, k], shape[0] * length) for k in range(3)], 1).reshape(shape)
+        told = float((e * self.gold).sum() + (self.pairs * trans).sum())
+        e[~self.real] = [0, -1e9, -1e9]  # beyond a window's end all is outside
+        a, b = np.empty(shape), np.empty(shape)
         a[:, 0] = trans[OUT] + e[:, 0]
         for i in range(1, length):
             a[:, i] = log_sum(a[:, i - 1, :, None] + trans[None], 1) + e[:, i]
-        b = np.empty(shape)
-        b[:, -1] = trans[:, OUT]
+        b[every, self.last] = trans[:, OUT]
         for i in range(length - 2, -1, -1):
-            b[:, i] = log_sum(trans[None] + (e[:, i + 1] + b[:, i + 1])[:, None], 2)
-        z = log_sum(a[:, -1] + trans[:, OUT], 1)
-        p = np.exp(a + b - z[:, None, None]) * real[..., None]
-        both = np.exp(a[:, :-1, :, None] + trans + (e[:, 1:] + b[:, 1:])[:, :, None] - z[:, None, None, None]) * real[:, 1:, None, None]
-        pairs = both.sum((0, 1)) + p[:, 0].sum(0)[None] * one[OUT][:, None] + p[np.arange(len(windows)), last].sum(0)[:, None] * one[OUT][None]
-        rest = (gold - p).reshape(-1, 3)[at]
-        gw = np.stack([np.bincount(feature, rest[:, k], len(rows)) for k in range(3)], 1) / len(windows) - ridge * w
-        gt = (gold_pairs - pairs) / len(windows) - ridge * trans
-        gw2 += gw**2
-        gt2 += gt**2
-        w += rate * gw / np.sqrt(gw2)
-        trans += rate * gt / np.sqrt(gt2)
-        np.clip(trans, -6, 6, trans)
-    return Field(rows, w, trans)
+            on = self.real[:, i + 1]
+            b[on, i] = log_sum(trans[None] + (e[on, i + 1] + b[on, i + 1])[:, None], 2)
+        z = log_sum(a[every, self.last] + trans[:, OUT], 1)
+        p = np.where(self.real[..., None], np.exp(np.where(self.real[..., None], a + b - z[:, None, None], 0.0)), 0.0)
+        linked = self.real[:, 1:, None, None]
+        both = np.where(linked, np.exp(np.where(linked, a[:, :-1, :, None] + trans + (e[:, 1:] + b[:, 1:])[:, :, None] - z[:, None, None, None], 0.0)), 0.0)
+        pairs = both.sum((0, 1)) + p[:, 0].sum(0)[None] * one[OUT][:, None] + p[every, self.last].sum(0)[:, None] * one[OUT][None]
+        rest = (self.gold - p).reshape(-1, 3)[self.at]
+        return told - float(z.sum()), np.stack([np.bincount(self.feature, rest[:, k], len(w)) for k in range(3)], 1), self.pairs - pairs
+
+
+def fit(windows: list[tuple[list[bytes], list[int], list[tuple]]], rounds: int = 50, ridge: float = 0.02, least: int = 3) -> Field:
+    """Maximum likelihood with a Gaussian prior, by L-BFGS steps. Features that fewer than ``least`` words have are left out."""
+    if not windows:
+        return Field({}, np.zeros((0, 3)), np.zeros((3, 3)))
+    chains = Chains(windows, least)
+    n = len(chains.rows)
+
+    def loss(x):
+        value, gw, gt = chains.gradient(x[: 3 * n].reshape(-1, 3), x[3 * n :].reshape(3, 3))
+        return ridge / 2 * x @ x - value, ridge * x - np.concatenate((gw.ravel(), gt.ravel()))
+
+    x = np.zeros(3 * n + 9)
+    f, g = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, kept = -g, []
+        for s, y in reversed(past):
+            kept.append(a := (s @ d) / (s @ y))
+            d = d - a * y
+        d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])) if past else d / max(1.0, np.linalg.norm(d))
+        for (s, y), a in zip(past, reversed(kept), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        step = 1.0
+        for _ in range(20):
+            to = x + step * d
+            f2, g2 = loss(to)
+            if f2 <= f + 1e-4 * step * (g @ d):
+                break
+            step /= 2
+        else:
+            break
+        s, y = to - x, g2 - g
+        if s @ y > 1e-10:
+            past = [*past[-6:], (s, y)]
+        done = f - f2 < 1e-5 * max(1.0, abs(f2))
+        x, f, g = to, f2, g2
+        if done:
+            break
+    return Field(chains.rows, x[: 3 * n].reshape(-1, 3), x[3 * n :].reshape(3, 3))
+
+
+_UPPER, _ALNUM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def disguised(raw: bytes, spans: list[tuple[int, int, int, int]], words: list[bytes]) -> list[bytes] | None:
+    """The text's words with every find made one that no pattern covers; None if one still does or words don't line up."""
+    out, end = [], 0
+    seed = xxhash.xxh64_intdigest(raw)
+    for start, kind, stop, value in spans:
+        if start < end:
+            continue
+        part = raw[value:stop]
+        mix = np.random.default_rng((seed + start) & (2**63 - 1))
+        if kind == 1:
+            part = bytes(_UPPER[i] for i in mix.integers(0, 26, 4)) + part[4:]
+        elif kind == 2 or HEX.fullmatch(part) or mix.random() < 0.5:
+            part = bytes(_ALNUM[i] for i in mix.integers(0, len(_ALNUM), int(mix.integers(12, 45))))  # of another length
+        key = raw[start:value]
+        for k in KEYWORDS:  # another word of the text in the key word's place
+            if (at := key.lower().find(k)) >= 0:
+                other = words[int(mix.integers(0, len(words)))].strip(b"\"'.,;:=()|!*$%#&")
+                key = key[:at] + (other if other and not any(48 <= c <= 57 for c in other) else b"of") + key[at + len(k) :]
+                break
+        out += [raw[end:start], key, part]
+        end = stop
+    changed = b"".join([*out, raw[end:]])
+    new = changed.split()
+    return new if len(new) == len(words) and not base_spans(changed, new) else None
 
 
 def windows_of(text: str) -> Iterator[tuple[int, list[bytes], list[int], list[tuple]]]:
-    """(1, window) around each value that the patterns find, and (0, window) around one other word."""
+    """(kind, window): around each value that the patterns find, as it is and disguised, and around two words outside."""
     raw = text.encode()
     words = raw.split()
     if not words:
         return
     spans = base_spans(raw, words)
     tags = np.zeros(len(words), np.int64)
+    other = None
     if spans:
         starts = np.array(word_starts(raw, words))
         ends = starts + list(map(len, words))
@@ -260,44 +337,66 @@ def windows_of(text: str) -> Iterator[tuple[int, list[bytes], list[int], list[tu
             inside = np.flatnonzero((starts < end) & (ends > value))
             tags[inside] = np.where(tags[inside] == BEGIN, BEGIN, INSIDE)
             tags[inside[:1]] = BEGIN
+        other = disguised(raw, spans, words)
     file = file_features(raw)
     padded = [BOUNDARY, *words, BOUNDARY]
-    centres = [(1, int(i)) for i in np.flatnonzero(tags == BEGIN)]
-    centres.append((0, xxhash.xxh64_intdigest(raw) % len(words)))
-    for kind, i in centres:
+    pick = xxhash.xxh64_intdigest(raw)
+    centres = [(FOUND, int(i), padded) for i in np.flatnonzero(tags == BEGIN)]
+    if other:
+        centres += [(DISGUISED, i, [BOUNDARY, *other, BOUNDARY]) for _, i, _ in centres]
+    odd = [i for i, w in enumerate(words) if not tags[i] and not w.isalpha() and len(w) > 3 and not w[:-1].isalpha() and w[:1] < b"\x80"]
+    if odd:
+        centres.append((ODD, odd[pick % len(odd)], padded))
+    centres.append((ANY, pick % len(words), padded))
+    for kind, i, line in centres:
         a, b = max(0, i - AROUND), min(len(words), i + AROUND + 1)
-        yield kind, padded[a : b + 2], tags[a:b].tolist(), file
+        yield kind, line[a : b + 2], tags[a:b].tolist(), file
 
 
 def training_windows(docs: DataFrame, most: int) -> list:
-    """Up to most windows of either kind, those with the smallest hashes."""
+    """Of each kind up to most distinct windows, those with the smallest hashes.
+
+    A task gives its own smallest, so that copies and frequent windows come once a task; equal ones of all tasks are one
+    row. A bound on the hash, from the number of rows, leaves about twice as many as are wanted for the last sort.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
+        best: dict[int, dict[int, bytes]] = {k: {} for k in (FOUND, DISGUISED, ODD, ANY)}
+        bound = dict.fromkeys(best, 1 << 63)
         for batch in batches:
-            out = []
             for text in batch.column(0).to_pylist():
                 for kind, *window in windows_of(text):
-                    data = pickle.dumps(window)
-                    out.append((kind, xxhash.xxh64_intdigest(data) >> 1, data))
-            if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(["kind", "h", "data"], map(list, zip(*out, strict=True)), strict=True)))
+                    data = pickle.dumps(window, 5)
+                    h = xxhash.xxh64_intdigest(data) >> 1
+                    if h < bound[kind]:
+                        best[kind][h] = data
+                        if len(best[kind]) > 2 * most:
+                            kept = sorted(best[kind])[:most]
+                            bound[kind], best[kind] = kept[-1] + 1, {x: best[kind][x] for x in kept}
+        rows = [(k, h, found[h]) for k, found in best.items() for h in sorted(found)[:most]]
+        for a in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_pydict(dict(zip(["kind", "h", "data"], map(list, zip(*rows[a : a + 1000], strict=True)), strict=True)))
 
     import pickle
 
+    held = Held(docs.sparkSession)
     made = docs.select(text_or_empty().alias("text")).mapInArrow(run, "kind long, h long, data binary")
-    # one pass: the smallest hashes of each of a fixed number of shares, then of all, so that what meets at the end is
-    # bounded however many tasks there are
-    shares = made.withColumn("share", F.col("h") % SHARES)
-    first = F.row_number().over(Window.partitionBy("kind", "share").orderBy("h", "data"))
-    best = shares.withColumn("rank", first).where(F.col("rank") <= most).drop("rank", "share")
-    order = F.row_number().over(Window.partitionBy("kind").orderBy("h", "data"))
-    rows = best.withColumn("rank", order).where(F.col("rank") <= most).select("kind", "rank", "data").collect()
-    return [tuple(pickle.loads(bytes(r["data"]))) for r in sorted(rows, key=lambda r: (-r["kind"], r["rank"]))]
+    made = held.stored(made.groupBy("kind", "h").agg(F.min("data").alias("data")), "windows")
+    out = []
+    for kind, n in sorted((r["kind"], r["n"]) for r in made.groupBy("kind").agg(F.count("*").alias("n")).collect()):
+        mine = made.where(F.col("kind") == kind)
+        low = mine.where(F.col("h") <= min(2**63 - 1, (2 * most + 100) * 2**63 // n))
+        rows = low.orderBy("h").limit(most).select("data").collect()
+        if len(rows) < min(n, most):  # hashes that lie unevenly
+            rows = mine.orderBy("h").limit(most).select("data").collect()
+        out += [tuple(pickle.loads(bytes(r["data"]))) for r in rows]
+    held.close()
+    return out
 
 
-def trained(docs: DataFrame, most: int = 3000) -> Field:
+def trained(docs: DataFrame, most: int = 1500) -> Field:
     return fit(training_windows(docs, most))
 
 
@@ -354,7 +453,7 @@ def _code_points(raw: bytes) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(begins))) if len(raw) else np.zeros(1, np.int64)
 
 
-def secrets_report(docs: DataFrame, most: int = 3000) -> DataFrame:
+def secrets_report(docs: DataFrame, most: int = 1500) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     found = find_secrets(docs, trained(docs, most))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

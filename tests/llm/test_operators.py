@@ -266,6 +266,64 @@ def test_secrets(spark, docs, nothing):
         assert some.tags(e) == [(i, x) for i, x in enumerate(viterbi(e, t)) if x]
 
 
+def test_secrets_field_by_brute_force():
+    """Viterbi against all paths, the gradient against differences of the likelihood, the likelihood against its sum."""
+    from itertools import product
+
+    from pixelloom.llm.secrets import Chains, viterbi
+
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        n = int(rng.integers(1, 6))
+        e, t = rng.normal(0, 2, (n, 3)), rng.normal(0, 2, (3, 3))
+        total = lambda path: t[0, path[0]] + sum(e[i, k] for i, k in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:])) + t[path[-1], 0]  # noqa: E731, B023
+        assert total(viterbi(e, t)) == pytest.approx(max(map(total, product(range(3), repeat=n))))
+    line = lambda n: [b"", *(bytes(rng.choice(list(b"ab9=X"), 3).astype(np.uint8)) for _ in range(n)), b""]
+    chains = Chains([(line(n), rng.integers(0, 3, n).tolist(), [("f", n)]) for n in (4, 1, 3, 4)])
+    w, t = rng.normal(0, 1, (len(chains.rows), 3)), rng.normal(0, 1, (3, 3))
+    value, gw, gt = chains.gradient(w, t)
+    want = 0.0
+    for i in range(4):
+        n = int(chains.real[i].sum())
+        at = chains.at // chains.shape[1] == i
+        e = np.stack([np.bincount(chains.at[at] % chains.shape[1], w[chains.feature[at], k], chains.shape[1])[:n] for k in range(3)], 1)
+        total = lambda path: t[0, path[0]] + sum(e[j, k] for j, k in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:])) + t[path[-1], 0]  # noqa: E731, B023
+        want += total(chains.tags[i, :n].tolist()) - math.log(sum(math.exp(total(x)) for x in product(range(3), repeat=n)))
+    assert value == pytest.approx(want)
+    for x, g in ((w, gw), (t, gt)):
+        for at in [tuple(rng.integers(0, s) for s in x.shape) for _ in range(12)]:
+            old = x[at]
+            x[at] = old + 1e-5
+            up = chains.gradient(w, t)[0]
+            x[at] = old - 1e-5
+            down = chains.gradient(w, t)[0]
+            x[at] = old
+            assert g[at] == pytest.approx((up - down) / 2e-5, abs=1e-4)
+
+
+def test_secrets_that_no_pattern_covers(spark):
+    from pixelloom.llm.secrets import find_secrets, trained
+
+    rng = np.random.default_rng(15)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(400)]
+    some = lambda n, alphabet: "".join(rng.choice(list(alphabet), n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    plain = [lambda: f"{some(5, 'abcd')}.{some(2, '0123456789')}@mail.example.com", lambda: f"555-{some(4, '0123456789')}", lambda: ".".join(some(2, "123456789") for _ in range(4)), lambda: some(16, "0123456789"), lambda: f"v{some(1, '123')}.{some(1, '0123')}.0", lambda: "https://example.org/" + some(6, "abcdef")]
+    covered = [lambda: "password=" + some(18, "0123456789abcdef"), lambda: "AKIA" + some(16, alnum[:26] + "0123456789"), lambda: 'token = "' + some(40, "0123456789abcdef") + '"']
+    hidden = [lambda: "ghp_" + some(36, alnum), lambda: "sk_live_" + some(24, alnum), lambda: "AIza" + some(35, alnum), lambda: "credential: " + some(20, alnum), lambda: some(40, "0123456789ABCDEF")]
+
+    def text(*found):
+        w = list(rng.choice(vocabulary, 40))
+        w[7], at = rng.choice(plain)(), int(rng.integers(10, 35))
+        return " ".join([*w[:at], *(f() for f in found), *w[at:]])
+
+    rows = [(i, text(*([covered[i % 3]] if i % 2 else []))) for i in range(600)]
+    field = trained(spark.createDataFrame(rows, "doc_id long, text string"))
+    asked = [(i, text(*([hidden[i % 5]] if i < 200 else []))) for i in range(400)]
+    found = {r.doc_id: [s for s in r.spans if s.kind == "crf"] for r in find_secrets(spark.createDataFrame(asked, "doc_id long, text string"), field).collect()}
+    assert sum(bool(found[i]) for i in range(200)) >= 170 and sum(len(found[i]) for i in range(200, 400)) <= 4
+
+
 def brute_components(fps, distance):
     parent = list(range(len(fps)))
 
@@ -360,16 +418,20 @@ def test_language_model(spark, docs, nothing, monkeypatch):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1 for i, _ in rows]
     tokens = [[*words(t), "\n"] for _, t in rows]
-    one, two = collections.Counter(), collections.Counter()
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for w, h in zip(tokens, held):
         if not h:
             one.update(w)
             two.update(zip(["\n", *w], w))
-    n, v, mu = sum(one.values()), len(one), 100.0
+            three.update(zip(["\n", *w], w, w[1:]))
+    n, v, mu, mu3 = sum(one.values()), len(one), 100.0, 20.0
     p = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda a, b: (two[a, b] + mu * p(b)) / (one[a] + mu)
+    p3 = lambda a, b, c: (three[a, b, c] + mu3 * p2(b, c)) / (two[a, b] + mu3)
     want = collections.defaultdict(list)
     for (i, _), w, h in zip(rows, tokens, held):
-        want[i].append((h, len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), sum(math.log10((two[a, b] + mu * p(b)) / (one[a] + mu)) for a, b in zip(["\n", *w], w))))
+        score = math.log10(p2("\n", w[0])) + sum(math.log10(p3(*x)) for x in zip(["\n", *w], w, w[1:]))
+        want[i].append((h, len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), score))
     found = lm.lm_report(docs).collect()
     assert len(found) == len(rows)
     for r in found:
