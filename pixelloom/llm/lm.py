@@ -39,7 +39,7 @@ from pixelloom.llm.common import file_system, held_in, scratch, stored, text_or_
 
 END = b"\n"  # no word holds white space
 TOKENS_A_FILE = 4_000_000
-TOKENS_A_BATCH = 1_000_000
+TOKENS_A_BATCH = 600_000
 OPEN_BYTES = 1 << 29
 CACHED_WORDS = 400_000
 SIGN = 1 << 63

@@ -75,6 +75,9 @@ class Encoder:
         made = json.loads(self.tokenizer.to_str())
         split = made["pre_tokenizer"] or {}
         self.by_pieces = made["model"]["type"] == "BPE" and made["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+        #: Whether a token begins with the space of a byte-level vocabulary.
+        self.opens = np.zeros(1 << 8 * width if width < 3 else self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -106,11 +109,11 @@ class Encoder:
         other = list(parts.difference(more))
         words += more
         found: dict[str, bytes] = {}
-        for a in range(0, len(words), 1000):  # in one text, whose tokens know their word
+        for a in range(0, len(words), 1000):  # in one text: no token but a word's first begins with a space
             some = words[a : a + 1000]
-            got = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            data = np.array(got.ids, self.kind).tobytes()
-            ends = [*((np.flatnonzero(np.diff(got.word_ids)) + 1) * width).tolist(), len(data)]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            data = ids.tobytes()
+            ends = [*(np.flatnonzero(self.opens[ids]) * width).tolist()[1:], len(data)]
             found.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
         for a in range(0, len(other), 4096):
             found.update(zip(other[a : a + 4096], self._direct(other[a : a + 4096]), strict=True))
@@ -175,11 +178,17 @@ def cuts(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
     with np.errstate(over="ignore"):
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-        rolled, weight = mixed.copy(), np.uint64(1)
-        for back in range(1, min(WINDOW, n)):
-            weight = weight * np.uint64(0xBF58476D1CE4E5B9)
-            rolled[back:] += mixed[:-back] * weight
-    wanted = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN_IDS) == 0) + 1
+        # sums over 1, 2, 4, ... ids before, put together by the bits of WINDOW
+        rolled, seen, weight, width, done = np.zeros(n, np.uint64), mixed, np.uint64(0xBF58476D1CE4E5B9), 1, 0
+        step = np.uint64(1)
+        while width <= WINDOW:
+            if WINDOW & width and done < n:
+                rolled[done:] += seen[: n - done] * step
+                done, step = done + width, step * weight
+            if 2 * width <= WINDOW and width < n:
+                seen = np.concatenate((seen[:width], seen[width:] + seen[:-width] * weight))
+            width, weight = 2 * width, weight * weight
+    wanted = np.flatnonzero(rolled >> np.uint64(40) & np.uint64(MEAN_IDS - 1) == 0) + 1  # MEAN_IDS: a power of two
     out, begin = [], 0
     for size in sizes:
         a, b = np.searchsorted(wanted, (begin, begin + size))
