@@ -43,23 +43,27 @@ def _mul32(n: Column, k: int) -> Column:
     return F.pmod(F.shiftleft(F.pmod(high * k, F.lit(1 << 16)), 16) + low * k, F.lit(U32))
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f writes it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _wrapped(x: Column, k: int) -> Column:
-    """x * k modulo 2^64 as a signed long; x may be negative."""
-    signed = k - (1 << 64) if k >= 1 << 63 else k
-    p = F.pmod(x.cast("decimal(18,0)") * F.lit(str(signed)).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(38,0)")
-    half = F.lit(str(1 << 63)).cast("decimal(20,0)")
-    return F.when(p >= half, p - F.lit(str(1 << 64)).cast("decimal(38,0)")).otherwise(p).cast("long")
+    """x * k modulo 2^64 as a signed long, for whole x within 2^30 of zero: products of x and the four 16-bit parts of k."""
+    part = [x.cast("long") * (k >> 16 * i & 0xFFFF) for i in range(4)]
+    low, high = part[0] + F.shiftleft(part[1], 16), part[2] + F.shiftleft(part[3], 16)
+    return bound(low, lambda a: F.shiftleft(F.shiftright(a, 32) + high, 32).bitwiseOR(a.bitwiseAND(F.lit(0xFFFFFFFF))))
 
 
 def xorshift_state(gx: Column, gy: Column, seed: int, level: int = 0) -> Column:
     s = F.lit(seed).cast("long").bitwiseXOR(_wrapped(gx, GLITCH_X)).bitwiseXOR(_wrapped(gy, GLITCH_Y)).bitwiseXOR(F.lit(level).cast("long"))
-    return F.when(s == 0, F.lit(1).cast("long")).otherwise(s)
+    return bound(s, lambda x: F.when(x == 0, F.lit(1).cast("long")).otherwise(x))
 
 
 def xorshift_step(s: Column) -> Column:
-    s = s.bitwiseXOR(F.shiftleft(s, 13))
-    s = s.bitwiseXOR(F.shiftrightunsigned(s, 7))
-    return s.bitwiseXOR(F.shiftleft(s, 17))
+    s = bound(s, lambda x: x.bitwiseXOR(F.shiftleft(x, 13)))
+    s = bound(s, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 7)))
+    return bound(s, lambda x: x.bitwiseXOR(F.shiftleft(x, 17)))
 
 
 def xorshift_unit(s: Column) -> Column:

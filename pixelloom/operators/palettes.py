@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.color import distance2, gamut_clip, linear_to_oklab, oklab_to_linear, oklab_to_oklch, oklch_to_oklab
@@ -93,31 +93,42 @@ def k_means(pixels: DataFrame, k: int, rounds: int = 50, tolerance: float = 1e-4
     return centres
 
 
-def ramp(spark, start: Sequence[float], end: Sequence[float], n: int) -> DataFrame:
-    """n colours from start to end in even steps of Oklab, kept in gamut."""
+def _clipped(rows: DataFrame) -> DataFrame:
+    """rows with r, g, b in place of __l, __a, __b, chroma cut to what the gamut holds."""
+    clipped = rows.withColumns(dict(zip(("__l", "__a", "__b"), gamut_clip(columns("__l", "__a", "__b")), strict=True)))
+    return clipped.withColumns(dict(zip(RGB, oklab_to_linear(columns("__l", "__a", "__b")), strict=True))).drop("__l", "__a", "__b")
+
+
+def ramp(colors: DataFrame, end: Sequence[Column], n: int) -> DataFrame:
+    """colors with i from 0 and r, g, b: n colours from each row's r, g, b to end, in even steps of Oklab, kept in gamut."""
     if not 1 <= n <= 64:
         raise ValueError("a ramp has 1 to 64 colours")
-    lit = lambda c: [F.lit(float(v)) for v in c]
-    t = F.col("id") / float(max(n - 1, 1))
-    lab = [x * (1.0 - t) + y * t for x, y in zip(linear_to_oklab(lit(start)), linear_to_oklab(lit(end)), strict=True)]
-    rows = spark.range(n).select(F.col("id").cast("int").alias("i"), *(v.alias(x) for v, x in zip(lab, "lab", strict=True)))
-    clipped = rows.select("i", *(v.alias(x) for v, x in zip(gamut_clip(columns(*"lab")), "lab", strict=True)))
-    return clipped.select("i", *(v.alias(c) for v, c in zip(oklab_to_linear(columns(*"lab")), RGB, strict=True)))
+    ends = colors.withColumn("__from", F.array(*linear_to_oklab(columns(*RGB)))).withColumn("__to", F.array(*linear_to_oklab(end)))
+    rows = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    t = F.col("i") / float(max(n - 1, 1))
+    lab = {f"__{x}": F.col("__from")[k] * (1.0 - t) + F.col("__to")[k] * t for k, x in enumerate("lab")}
+    return _clipped(rows.withColumns(lab).drop("__from", "__to"))
+
 
+HARMONIES = ("monochromatic", "analogous", "complementary", "triadic", "split")
+SPREAD, SPLIT = math.pi / 6, 0.5  # radians on either side: of the base, of the opposite
 
-# Degrees from the base hue, by rule.
-HARMONIES = {"analogous": (-30, 0, 30), "triadic": (0, 120, 240), "split": (0, 150, 210), "complementary": (0, 180), "tetradic": (0, 90, 180, 270)}
 
+def harmony(colors: DataFrame, rule: str, count: int, spread: float = SPREAD) -> DataFrame:
+    """colors with i from 0 and r, g, b: colours that go with each row's r, g, b.
 
-def harmony(spark, base: Sequence[float], rule: str, count: int) -> DataFrame:
-    """Colours of the base's lightness and chroma at the rule's hues; more than the rule has repeat it, fewer give all."""
+    Monochromatic spreads lightness from 0.15 to 0.9, analogous spreads the hue evenly around the base's; the others give
+    the hues of their rule, each at least once, and again from the first where more are asked for.
+    """
     if not 1 <= count <= 32:
         raise ValueError("a harmony has 1 to 32 colours")
-    turns = HARMONIES[rule]
-    l, c, h = oklab_to_oklch(linear_to_oklab([F.lit(float(v)) for v in base]))
-    turn = F.element_at(F.array(*(F.lit(math.radians(t)) for t in turns)), (F.col("id") % len(turns) + 1).cast("int"))
-    rows = spark.range(max(count, len(turns))).select(F.col("id").cast("int").alias("i"), *(v.alias(x) for v, x in zip(oklch_to_oklab([l, c, h + turn]), "lab", strict=True)))
-    clipped = rows.select("i", *(v.alias(x) for v, x in zip(gamut_clip(columns(*"lab")), "lab", strict=True)))
-    return clipped.select("i", *(v.alias(c) for v, c in zip(oklab_to_linear(columns(*"lab")), RGB, strict=True)))
-
-
+    turns = {"complementary": (0.0, math.pi), "triadic": (0.0, 2 * math.pi / 3, 4 * math.pi / 3), "split": (0.0, math.pi - SPLIT, math.pi + SPLIT)}
+    n = max(count, len(turns.get(rule, (0.0,))))
+    even = [0.5 if n == 1 else k / (n - 1) for k in range(n)]
+    places = {"monochromatic": [(0.15 + 0.75 * t, 0.0) for t in even], "analogous": [(None, spread * (2 * t - 1)) for t in even]}
+    places |= {name: [(None, hues[k % len(hues)]) for k in range(n)] for name, hues in turns.items()}
+    steps = F.array(*(F.struct(F.lit(k).alias("i"), F.lit(l).cast("double").alias("l"), F.lit(h).alias("h")) for k, (l, h) in enumerate(places[rule])))
+    base = colors.withColumn("__base", F.array(*oklab_to_oklch(linear_to_oklab(columns(*RGB))))).withColumn("__s", F.explode(steps))
+    lab = oklch_to_oklab([F.coalesce(F.col("__s.l"), F.col("__base")[0]), F.col("__base")[1], F.col("__base")[2] + F.col("__s.h")])
+    rows = base.withColumns({"i": F.col("__s.i"), **{f"__{x}": v for v, x in zip(lab, "lab", strict=True)}})
+    return _clipped(rows.drop("__base", "__s"))

@@ -296,14 +296,15 @@ _MUL = lambda x, k: f"((({x}::HUGEINT * {k >> 32} % 4294967296 + 4294967296) % 4
 
 
 def _draws(x: str, y: str, count: int, source: str) -> str:
-    """Relations d1..dn: source with the numbers u1..un of the generator at (x, y), as 0 to 1."""
-    seed = f"xor(xor(7::UBIGINT, ({_MUL(x, G.GLITCH_X)})::UBIGINT), ({_MUL(y, G.GLITCH_Y)})::UBIGINT)"
-    text = [f"d0 AS (SELECT *, CASE WHEN {seed} = 0 THEN 1::UBIGINT ELSE {seed} END AS s FROM {source})"]
+    """Relations d1..dn: source with the numbers u1..un of the generator at (x, y), as 0 to 1; each step is a column once."""
+    text = [f"e0 AS MATERIALIZED (SELECT *, ({_MUL(x, G.GLITCH_X)})::UBIGINT AS mx_, ({_MUL(y, G.GLITCH_Y)})::UBIGINT AS my_ FROM {source})"]
+    text.append("e1 AS MATERIALIZED (SELECT * EXCLUDE (mx_, my_), xor(xor(7::UBIGINT, mx_), my_) AS s FROM e0)")
+    text.append("d0 AS (SELECT * REPLACE (CASE WHEN s = 0 THEN 1::UBIGINT ELSE s END AS s) FROM e1)")
     for k in range(1, count + 1):
-        text.append(f"a{k} AS (SELECT * REPLACE (xor(s, (s::HUGEINT * 8192 % {_M64})::UBIGINT) AS s) FROM d{k - 1})")
-        text.append(f"b{k} AS (SELECT * REPLACE (xor(s, s >> 7) AS s) FROM a{k})")
-        text.append(f"c{k} AS (SELECT * REPLACE (xor(s, (s::HUGEINT * 131072 % {_M64})::UBIGINT) AS s) FROM b{k})")
-        text.append(f"d{k} AS (SELECT *, (s >> 32){D} / 4294967295{D} AS u{k} FROM c{k})")
+        text.append(f"a{k} AS MATERIALIZED (SELECT * REPLACE (xor(s, (s::HUGEINT * 8192 % {_M64})::UBIGINT) AS s) FROM d{k - 1})")
+        text.append(f"b{k} AS MATERIALIZED (SELECT * REPLACE (xor(s, s >> 7) AS s) FROM a{k})")
+        text.append(f"c{k} AS MATERIALIZED (SELECT * REPLACE (xor(s, (s::HUGEINT * 131072 % {_M64})::UBIGINT) AS s) FROM b{k})")
+        text.append(f"d{k} AS MATERIALIZED (SELECT *, (s >> 32){D} / 4294967295{D} AS u{k} FROM c{k})")
     return ", ".join(text)
 
 

@@ -111,3 +111,17 @@ def palette(colors, name: str = "pal") -> str:
 def rotation(angle: float) -> tuple[str, str]:
     c, s = n(math.cos(math.radians(angle))), n(math.sin(math.radians(angle)))
     return f"floor(gx * {c} - gy * {s})::BIGINT", f"floor(gx * {s} + gy * {c})::BIGINT"
+
+
+def far(l: str, a: str, b: str) -> str:
+    """Whether a colour is out of gamut."""
+    return "(" + " OR ".join(f"{x} < {n(-1e-4)} OR {x} > {n(1 + 1e-4)}" for x in linear((l, a, b), False)) + ")"
+
+
+def clipped(source: str, keys: str) -> str:
+    """Relations halves and clipped(keys, l, a, b) out of source(keys, l, a, b): 32 bisections of the chroma."""
+    mid = "((lo + hi) / 2)"
+    bad = far("l", f"{mid} * cos(h)", f"{mid} * sin(h)")
+    return f"""halves AS (SELECT {keys}, l, a, b, atan2(b, a) AS h, {far('l', 'a', 'b')} AS bad, 0{D} AS lo, sqrt(a * a + b * b) AS hi, 0 AS k FROM {source}
+ UNION ALL SELECT {keys}, l, a, b, h, bad, CASE WHEN {bad} THEN lo ELSE {mid} END, CASE WHEN {bad} THEN {mid} ELSE hi END, k + 1 FROM halves WHERE k < 32),
+clipped AS (SELECT {keys}, l, CASE WHEN bad THEN lo * cos(h) ELSE a END AS a, CASE WHEN bad THEN lo * sin(h) ELSE b END AS b FROM halves WHERE k = 32)"""

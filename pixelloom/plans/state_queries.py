@@ -347,32 +347,41 @@ def _urls(spark, d):
     return table(spark, d, "events").select("event_id", url.alias("t")).select("event_id", F.when(F.col("t").rlike(rule), 200).otherwise(400).alias("status"), got(1).cast("long").alias("doc"), F.when(got(2) == "composite", 0).otherwise(F.expr(f"try_cast(regexp_extract(t, r'{rule}', 2) AS BIGINT)")).alias("layer"), got(6).cast("int").alias("ty"))
 
 
-def _ramps(spark, d):
-    """A ramp and a harmony for each event type's mean colour; a handful of types."""
-    means = event_raster(spark, d).join(table(spark, d, "events").select((F.col("event_id") % 300).cast("int").alias("gx"), F.floor(F.col("event_id") / 300).cast("int").alias("gy"), "event_type"), ["gx", "gy"]).groupBy("event_type").agg(*(F.avg(c).alias(c) for c in RGB))
-    return means
+def _means(spark, d):
+    """The mean colour of each event type."""
+    types = table(spark, d, "events").select((F.col("event_id") % 300).cast("int").alias("gx"), F.floor(F.col("event_id") / 300).cast("int").alias("gy"), "event_type")
+    return event_raster(spark, d).join(types, ["gx", "gy"]).groupBy("event_type").agg(*(F.avg(c).alias(c) for c in RGB))
 
 
-@query("fn9_ramp")
+_R6 = lambda df, *keys: df.select(*keys, *(F.round(c, 6).alias(c) for c in RGB))
+_TYPES = f"{S.E}, e AS (SELECT event_type, (event_id % 300)::INT AS gx, (event_id // 300)::INT AS gy FROM events), base AS (SELECT event_type, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM p JOIN e USING (gx, gy) GROUP BY event_type)"
+_BASE = f"ok AS (SELECT event_type, {', '.join(f'{x} AS {n}' for x, n in zip(S.oklab(), 'lab', strict=True))} FROM base)"
+_RGB_OF = ", ".join(f"round({x}, 6) AS {c}" for x, c in zip(S.linear(("l", "a", "b")), RGB, strict=True))
+_WHITE = C.oklab_of((1.0, 1.0, 1.0))
+
+
+@query("fn9_ramp", f"WITH RECURSIVE {_TYPES}, {_BASE}, steps AS (SELECT event_type, i::INT AS i, {', '.join(f'{x} * (1 - i / 6{D}) + {S.n(w)} * (i / 6{D}) AS {x}' for x, w in zip('lab', _WHITE, strict=True))} FROM ok, range(7) t(i)), {S.clipped('steps', 'event_type, i')} SELECT event_type, i, {_RGB_OF} FROM clipped")
 def _ramp(spark, d):
-    found = None
-    for r in sorted(_ramps(spark, d).collect()):
-        one = palettes.ramp(spark, [r[c] for c in RGB], (1.0, 1.0, 1.0), 7).withColumn("event_type", F.lit(r["event_type"]))
-        found = one if found is None else found.unionByName(one)
-    return found
+    return _R6(palettes.ramp(_means(spark, d), [F.lit(1.0)] * 3, 7), "event_type", "i")
 
 
-@query("fn10_harmony")
+_TURNS = f"""turns AS (SELECT 'monochromatic' AS rule, i, {S.n(0.15)} + {S.n(0.75)} * i / 4 AS nl, 0{D} AS turn FROM range(5) t(i)
+ UNION ALL SELECT 'analogous', i, NULL, -pi() / 6 + pi() / 3 * i / 4 FROM range(5) t(i)
+ UNION ALL SELECT 'complementary', i, NULL, pi() * (i % 2) FROM range(5) t(i)
+ UNION ALL SELECT 'triadic', i, NULL, 2 * pi() / 3 * (i % 3) FROM range(5) t(i)
+ UNION ALL SELECT 'split', i, NULL, CASE i % 3 WHEN 0 THEN 0 WHEN 1 THEN pi() - {S.n(0.5)} ELSE pi() + {S.n(0.5)} END FROM range(5) t(i))"""
+
+
+@query("fn10_harmony", f"WITH RECURSIVE {_TYPES}, {_BASE}, {_TURNS}, lch AS (SELECT event_type, rule, i::INT AS i, coalesce(nl, l) AS l, sqrt(a * a + b * b) AS c, atan2(b, a) + turn AS h FROM ok, turns), steps AS (SELECT event_type, rule, i, l, c * cos(h) AS a, c * sin(h) AS b FROM lch), {S.clipped('steps', 'event_type, rule, i')} SELECT event_type, rule, i, {_RGB_OF} FROM clipped")
 def _harmony(spark, d):
-    found = None
-    for r in sorted(_ramps(spark, d).collect()):
-        for rule in palettes.HARMONIES:
-            one = palettes.harmony(spark, [r[c] for c in RGB], rule, 5).withColumns({"event_type": F.lit(r["event_type"]), "rule": F.lit(rule)})
-            found = one if found is None else found.unionByName(one)
+    means, found = _means(spark, d), None
+    for rule in palettes.HARMONIES:
+        one = _R6(palettes.harmony(means, rule, 5).withColumn("rule", F.lit(rule)), "event_type", "rule", "i")
+        found = one if found is None else found.unionByName(one)
     return found
 
 
-@query("fn8_gamut_clip")
+@query("fn8_gamut_clip", f"WITH RECURSIVE {S.V}, wide AS (SELECT gx, gy, r AS l, g * {S.n(0.8)} - {S.n(0.4)} AS a, b * {S.n(0.8)} - {S.n(0.4)} AS b FROM p), {S.clipped('wide', 'gx, gy')} SELECT gx, gy, round(l, 6) AS ok_l, round(a, 6) AS ok_a, round(b, 6) AS ok_b FROM clipped")
 def _gamut(spark, d):
     lab = [F.col("r"), F.col("g") * 0.8 - 0.4, F.col("b") * 0.8 - 0.4]
     return rasters.vector_raster(spark, d).select("gx", "gy", *(F.round(x, 6).alias(n) for x, n in zip(C.gamut_clip(lab), ("ok_l", "ok_a", "ok_b"), strict=True)))
