@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.color import LUMA, oklab_of
+from pixelloom.functions.color import LUMA, TO_LAB, TO_LMS
 from pixelloom.plans.store import scratch
 
 # The published kernels, as divisor and (dx, dy, weight).
@@ -36,63 +36,176 @@ def weights(spark) -> DataFrame:
     return spark.createDataFrame(rows, "kernel string, dx int, dy int, weight double")
 
 
-def uniform(levels: int):
-    n = levels - 1
-    return lambda v: [min(max(math.floor(x * n + 0.5), 0), n) / n for x in v]
+class Quantiser:
+    """How pixels are worked on: src(rgb) gives working values, limits bound them, pick(v) gives (colours, their working values).
 
+    All of these take arrays of rows of three; gain multiplies what is passed on.
+    """
 
-def strict(palette):
+    limits, gain = (np.zeros(3), np.ones(3)), 1.0
+
+    def src(self, rgb: np.ndarray) -> np.ndarray:
+        return rgb
+
+    def pick(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+
+class Uniform(Quantiser):
+    def __init__(self, levels: int):
+        self.n = levels - 1
+
+    def pick(self, v):
+        q = np.clip(np.floor(v * self.n + 0.5), 0, self.n) / self.n
+        return q, q
+
+
+def oklab(rgb: np.ndarray) -> np.ndarray:
+    """Rows of linear colours, clamped, in Oklab."""
+    return np.cbrt(np.clip(rgb, 0, 1) @ np.array(TO_LMS).T) @ np.array(TO_LAB).T
+
+
+def _cell(lab: np.ndarray) -> np.ndarray:
+    """The centres of the lookup cells of rows of Oklab."""
+    low, high = np.array([0.0, -0.4, -0.4]), np.array([1.0, 0.4, 0.4])
+    t = np.clip((lab - low) / (high - low), 0.0, 1 - 1.1920929e-07)
+    return low + (np.minimum(np.floor(t * 64), 63) + 0.5) / 64 * (high - low)
+
+
+def _nearest(v: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Of equally near spots the first."""
+    return np.square(v[:, None] - spots[None]).sum(2).argmin(1)
+
+
+class Strict(Quantiser):
     """The nearest palette colour by the centre of its lookup cell."""
-    labs = [oklab_of(c) for c in palette]
-    bounds = ((0.0, 1.0), (-0.4, 0.4), (-0.4, 0.4))
 
-    def pick(v):
-        lab = []
-        for x, (low, high) in zip(oklab_of(v), bounds, strict=True):
-            t = min(max((x - low) / (high - low), 0.0), 1 - 1.1920929e-07)
-            lab.append(low + (min(math.floor(t * 64), 63) + 0.5) / 64 * (high - low))
-        return list(palette[min(range(len(labs)), key=lambda i: (sum((a - b) ** 2 for a, b in zip(lab, labs[i], strict=True)), i))])
+    def __init__(self, palette):
+        self.colors = np.array(palette, float)
+        self.labs = oklab(self.colors)
+
+    def pick(self, v):
+        q = self.colors[_nearest(_cell(oklab(v)), self.labs)]
+        return q, q
+
+
+class Guided(Quantiser):
+    """Levels of each channel between the palette's least and most; a channel that hardly varies counts as 0 to 1."""
+
+    def __init__(self, palette, levels: int | None = None):
+        colors = np.array(palette, float)
+        self.low, self.high = colors.min(0), colors.max(0)
+        flat = self.high - self.low < 1e-6
+        self.low[flat], self.high[flat] = 0.0, 1.0
+        self.n = (levels or min(max(math.ceil(round(len(colors) ** (1 / 3), 9)), 2), 16)) - 1
+
+    def pick(self, v):
+        span = self.high - self.low
+        x = np.clip((v - self.low) / np.maximum(span, 1e-6), 0, 1) * self.n
+        q = self.low + np.minimum(np.floor(x) + (x - np.floor(x) > 0.5), self.n) / self.n * span
+        return q, q
+
+
+class Mixed(Guided):
+    """The palette colour nearest to the guided value; what is passed on is held against that colour."""
+
+    def __init__(self, palette, levels: int | None = None):
+        super().__init__(palette, levels)
+        self.colors = np.array(palette, float)
+        self.labs = oklab(self.colors)
+
+    def pick(self, v):
+        q = self.colors[_nearest(oklab(super().pick(v)[0]), self.labs)]
+        return q, q
+
+
+def srgb_bytes(rgb: np.ndarray) -> np.ndarray:
+    x = np.clip(rgb, 0, 1)
+    return np.floor(np.where(x <= 0.0031308, 12.92 * x, 1.055 * np.power(x, 1 / 2.4) - 0.055) * 255 + 0.5)
 
-    return pick
 
+class Simple(Quantiser):
+    """The nearest palette colour by sRGB bytes, in which the error is passed on, too."""
 
-def diffuse_tile(px: np.ndarray, gy: int, quantise, kernel: str, left=None, top=None, diag=None, serpentine: bool = False, grayscale: bool = False, dither_alpha: bool = True, core: int = 256):
-    """(result, right, bottom, corner) of one tile of core x core x 4; residuals are of two columns, two rows, two by two."""
+    limits = (np.zeros(3), np.full(3, 255.0))
+
+    def __init__(self, palette, scale: float = 1.0):
+        self.colors, self.gain = np.array(palette, float), scale
+        self.bytes = srgb_bytes(self.colors)
+
+    def src(self, rgb):
+        return srgb_bytes(rgb)
+
+    def pick(self, v):
+        i = _nearest(v, self.bytes)
+        return self.colors[i], self.bytes[i]
+
+
+class InOklab(Strict):
+    """Strict, with the error passed on in Oklab."""
+
+    limits = (np.array([0.0, -0.5, -0.5]), np.array([1.0, 0.5, 0.5]))
+
+    def src(self, rgb):
+        return oklab(rgb)
+
+    def pick(self, v):
+        i = _nearest(_cell(v), self.labs)
+        return self.colors[i], self.labs[i]
+
+
+MODES = {"strict": Strict, "guided": Guided, "mixed": Mixed, "simple": Simple}
+
+
+def _lines(core: int, serpentine: bool, gy: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows, columns, direction) of pixels that don't wait for each other, in an order in which none waits for a later one.
+
+    All kernels reach two pixels back on lower rows, so that pixels of equal x + 3 y go together. A row that runs backward
+    waits for the whole row before, so that serpentine pixels go one by one.
+    """
+    if not serpentine:
+        for d in range(4 * core - 3):
+            y = np.arange(max(0, -(-(d - core + 1) // 3)), min(core - 1, d // 3) + 1)
+            yield y, d - 3 * y, 1
+        return
+    for y in range(core):
+        turn = -1 if (gy + y) % 2 else 1
+        for x in range(core)[::turn]:
+            yield np.array([y]), np.array([x]), turn
+
+
+def diffuse_tile(px: np.ndarray, gy: int, how: Quantiser, kernel: str, left=None, top=None, diag=None, serpentine: bool = False, grayscale: bool = False, dither_alpha: bool | None = True, core: int = 256):
+    """(result, right, bottom, corner) of one tile of core x core x 4; residuals are of two columns, two rows, two by two.
+
+    dither_alpha: None keeps colours and alpha of all pixels.
+    """
     total, taps = KERNELS[kernel]
-    err = np.zeros((core + 2, core + 2, 3))
+    err = np.zeros((core + 2, core + 4, 3))  # two columns before the tile, for what is dropped there
     if left is not None:
-        err[:core, :2] += left
+        err[:core, 2:4] += left
     if top is not None:
-        err[:2, :core] += top
+        err[:2, 2 : core + 2] += top
     if diag is not None:
-        err[:2, :2] += diag
-    err, src, out = err.tolist(), px.tolist(), np.zeros((core, core, 4))
-    for y in range(core):
-        back = serpentine and (gy + y) % 2 == 1
-        turn = -1 if back else 1
-        for x in range(core - 1, -1, -1) if back else range(core):
-            r, g, b, a = src[y][x]
-            e = err[y][x]
-            if grayscale:
-                v = [min(max(LUMA[0] * r + LUMA[1] * g + LUMA[2] * b + e[0], 0.0), 1.0)] * 3
-                q = quantise(v)
-                d = [v[0] - (LUMA[0] * q[0] + LUMA[1] * q[1] + LUMA[2] * q[2])] * 3
-            else:
-                v = [min(max(c + k, 0.0), 1.0) for c, k in zip((r, g, b), e, strict=True)]
-                q = quantise(v)
-                d = [v[0] - q[0], v[1] - q[1], v[2] - q[2]]
-            alpha = (1.0 if a > 0.5 else 0.0) if dither_alpha else a
-            if not (dither_alpha and alpha <= 0):
-                out[y, x] = (*q, alpha)
-            for dx, dy, w in taps:
-                nx, ny = x + dx * turn, y + dy
-                if 0 <= nx < core + 2 and ny < core + 2:
-                    t, k = err[ny][nx], w / total
-                    t[0] += d[0] * k
-                    t[1] += d[1] * k
-                    t[2] += d[2] * k
-    rest = np.array(err)
-    return out, rest[:core, core:], rest[core:, :core], rest[core:, core:]
+        err[:2, 2:4] += diag
+    luma = np.array(LUMA)
+    src = np.repeat((px[..., :3] @ luma)[..., None], 3, 2) if grayscale else how.src(px[..., :3].reshape(-1, 3)).reshape(core, core, 3)
+    out, low, high = np.zeros((core, core, 4)), *how.limits
+    for y, x, turn in _lines(core, serpentine, gy):
+        v = np.clip(src[y, x] + err[y, x + 2], low, high)
+        q, own = how.pick(v)
+        d = (v - (own @ luma)[:, None] if grayscale else v - own) * how.gain
+        out[y, x, :3] = q
+        for dx, dy, w in taps:
+            err_y, err_x = y + dy, x + dx * turn + 2
+            if serpentine and not 0 <= err_x[0] < core + 4:
+                continue
+            on = err_y < core + 2
+            err[err_y[on], err_x[on]] += d[on] * (w / total)
+    alpha = px[..., 3] if not dither_alpha else (px[..., 3] > 0.5).astype(float)
+    out[..., 3] = alpha
+    if dither_alpha:
+        out[alpha <= 0] = 0
+    return out, err[:core, core + 2 :], err[core:, 2 : core + 2], err[core:, core + 2 :]
 
 
 _TILE = "image long, tx long, ty long, px binary, right binary, bottom binary, corner binary"
@@ -110,10 +223,10 @@ def to_tiles(pixels: DataFrame, tile: int = 256) -> DataFrame:
     return keyed.groupBy("image", "tx", "ty").applyInPandas(pack, "image long, tx long, ty long, px binary")
 
 
-def error_diffusion(pixels: DataFrame, levels: int = 2, kernel: str = "floyd_steinberg", palette=None, serpentine: bool = False, grayscale: bool = False, dither_alpha: bool = True, tile: int = 256) -> DataFrame:
-    """pixels (image, gx, gy, r, g, b, a) with diffused colours."""
+def error_diffusion(pixels: DataFrame, levels: int = 2, kernel: str = "floyd_steinberg", palette=None, serpentine: bool = False, grayscale: bool = False, dither_alpha: bool = True, tile: int = 256, palette_mode: str = "strict") -> DataFrame:
+    """pixels (image, gx, gy, r, g, b, a) with diffused colours. palette_mode: strict, guided, mixed or simple."""
     spark = pixels.sparkSession
-    quantise = strict(palette) if palette else uniform(levels)
+    quantise = MODES[palette_mode](palette) if palette else Uniform(levels)
     path = scratch(spark, "wavefront")
     to_tiles(pixels, tile).write.parquet(f"{path}/tiles")
     tiles = spark.read.parquet(f"{path}/tiles")
@@ -151,6 +264,29 @@ def error_diffusion(pixels: DataFrame, levels: int = 2, kernel: str = "floyd_ste
     return full.join(pixels.select(F.col("image").cast("long").alias("image"), "gx", "gy"), ["image", "gx", "gy"], "left_semi")
 
 
+def palette_diffusion(pixels: DataFrame, palette, kernel: str = "floyd_steinberg", tile: int = 256, halo: int = 2) -> DataFrame:
+    """pixels (image, gx, gy, r, g, b, a) in palette colours, error passed on in Oklab; alpha stays.
+
+    Each tile is worked on by itself, over its pixels and its halo, with nothing from its neighbours; beyond the image all
+    is 0. A pixel is sent to the up to four tiles that hold it: at most (tile + 2 halo)^2 rows meet in a group.
+    """
+    how, side = InOklab(palette), tile + 2 * halo
+    owners = lambda g: F.sequence(F.greatest(F.floor((F.col(g) - halo) / tile), F.lit(0).cast("long")), F.floor((F.col(g) + halo) / tile))
+    sent = pixels.withColumn("image", F.col("image").cast("long")).withColumn("tx", F.explode(owners("gx"))).withColumn("ty", F.explode(owners("gy")))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x = (rows["gx"] - rows["tx"] * tile + halo).to_numpy()
+        y = (rows["gy"] - rows["ty"] * tile + halo).to_numpy()
+        px = np.zeros((side, side, 4))
+        px[y, x] = rows[list("rgba")]
+        out = diffuse_tile(px, 0, how, kernel, dither_alpha=None, core=side)[0]
+        core = (x >= halo) & (x < tile + halo) & (y >= halo) & (y < tile + halo)
+        mine = rows[core]
+        return pd.DataFrame({"image": mine["image"], "gx": mine["gx"], "gy": mine["gy"], **{c: out[y[core], x[core], k] for k, c in enumerate("rgba")}})
+
+    return sent.groupBy("image", "tx", "ty").applyInPandas(run, "image long, gx int, gy int, r double, g double, b double, a double")
+
+
 def tile_dependencies(tiles: DataFrame) -> DataFrame:
     """Edges (tx, ty, needs_tx, needs_ty) of the wavefront: left, above, and across the corner."""
     steps = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1)))))

@@ -437,11 +437,38 @@ def _diffusion(spark, d):
     return out(error_diffusion(event_raster(spark, d).withColumn("image", F.lit(0)), levels=4, tile=64).drop("image"))
 
 
+def _by_mode(mode: str):
+    def run(spark, d):
+        from pixelloom.operators.diffuse import error_diffusion
+
+        return out(error_diffusion(vector_raster(spark, d).withColumn("image", F.floor(F.col("gy") / 64)), palette=PALETTE5, palette_mode=mode, tile=64).drop("image"))
+
+    return run
+
+
+for _mode in ("strict", "guided", "mixed", "simple"):
+    query(f"ed7_{_mode}_diffusion")(_by_mode(_mode))
+
+
+@query("ed3_serpentine")
+def _serpentine(spark, d):
+    from pixelloom.operators.diffuse import error_diffusion
+
+    return out(error_diffusion(event_raster(spark, d).withColumn("image", F.floor(F.col("gy") / 64)), levels=4, kernel="stucki", serpentine=True, tile=64).drop("image"))
+
+
+@query("ed8_grayscale_diffusion")
+def _gray_diffusion(spark, d):
+    from pixelloom.operators.diffuse import error_diffusion
+
+    return out(error_diffusion(event_raster(spark, d).withColumn("image", F.floor(F.col("gy") / 64)), levels=3, kernel="sierra", grayscale=True, tile=64).drop("image"))
+
+
 @query("ed11_palette_diffusion")
 def _palette_diffusion(spark, d):
-    from pixelloom.operators.diffuse import error_diffusion
+    from pixelloom.operators.diffuse import palette_diffusion
 
-    return out(error_diffusion(vector_raster(spark, d).withColumn("image", F.floor(F.col("gy") / 64)), palette=PALETTE5, kernel="atkinson", tile=64).drop("image"))
+    return out(palette_diffusion(vector_raster(spark, d).withColumn("image", F.floor(F.col("gy") / 64)), PALETTE5, kernel="atkinson", tile=64).drop("image"))
 
 
 @query("wn9_raster_order", f"WITH {S.E} SELECT gx, gy, row_number() OVER (PARTITION BY gy ORDER BY gx)::INT AS n FROM p")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pixelloom.functions import color as C
 from pixelloom.functions import grid as G
 from pixelloom.operators import compose, ordered, palettes, point, tiles
-from pixelloom.operators.diffuse import KERNELS, diffuse_tile, error_diffusion, uniform
+from pixelloom.operators import diffuse
+from pixelloom.operators.diffuse import KERNELS, Uniform, diffuse_tile, error_diffusion
 from pixelloom.sources import palette_files
 from pixelloom.sources.images import allowed, decode_png, encode_png, greedy_rectangles, read_images, svg_document, to_png
 
@@ -104,7 +105,7 @@ def plain_diffusion(px, levels, kernel, core):
 @pytest.mark.parametrize("kernel", sorted(KERNELS))
 def test_diffusion_of_one_tile(kernel):
     px = np.random.default_rng(3).random((8, 8, 4))
-    got, *_ = diffuse_tile(px, 0, uniform(3), kernel, core=8)
+    got, *_ = diffuse_tile(px, 0, Uniform(3), kernel, core=8)
     assert np.allclose(got, plain_diffusion(px, 3, kernel, 8))
 
 
@@ -115,7 +116,7 @@ def test_wavefront_equals_row_by_row(spark):
     for ty in range(2):
         for tx in range(3):
             at = np.s_[ty * 8 : ty * 8 + 8, tx * 8 : tx * 8 + 8]
-            want[at], right, bottom, corner = diffuse_tile(px[at], ty * 8, uniform(3), "jarvis_judice_ninke", left.get((tx, ty)), top.get((tx, ty)), diag.get((tx, ty)), core=8)
+            want[at], right, bottom, corner = diffuse_tile(px[at], ty * 8, Uniform(3), "jarvis_judice_ninke", left.get((tx, ty)), top.get((tx, ty)), diag.get((tx, ty)), core=8)
             left[tx + 1, ty], top[tx, ty + 1], diag[tx + 1, ty + 1] = right, bottom, corner
     assert np.array_equal(got, want)
 
@@ -130,10 +131,11 @@ def test_k_means_and_median_cut_find_two_clusters(spark):
 
 
 def test_ramps_stay_in_gamut(spark):
-    rows = palettes.ramp(spark, (1, 0, 0), (0, 0, 1), 9).orderBy("i").collect()
+    red = spark.createDataFrame([(1.0, 0.0, 0.0)], "r double, g double, b double")
+    rows = palettes.ramp(red, [F.lit(0.0), F.lit(0.0), F.lit(1.0)], 9).orderBy("i").collect()
     assert len(rows) == 9 and all(0 <= r[c] <= 1 for r in rows for c in "rgb")
     assert np.allclose([rows[0][c] for c in "rgb"], (1, 0, 0), atol=2e-3)
-    assert palettes.harmony(spark, (0.6, 0.3, 0.2), "triadic", 2).count() == 3
+    assert palettes.harmony(red, "triadic", 2).count() == 3
 
 
 def test_groups_fold_apart(spark):
@@ -207,3 +209,118 @@ def test_document_edits_and_filter_order(spark):
     assert [n.id for n in nodes] == [2, 1]
     assert doc.render(nodes, {1: df, 2: df}).count() == 260
     assert doc.remove_layer(nodes, 1)[0].id == 2
+
+
+def scalar_diffusion(px, src, pick, kernel, low, high, gain=1.0, serpentine=False, gray=False):
+    """One pixel after the other, in plain numbers: colours alone."""
+    tall, wide = px.shape[:2]
+    total, taps = KERNELS[kernel]
+    err, out = np.zeros((tall, wide, 3)), np.zeros((tall, wide, 3))
+    for y in range(tall):
+        turn = -1 if serpentine and y % 2 else 1
+        for x in range(wide)[::turn]:
+            start = np.full(3, px[y, x, :3] @ np.array([0.2126, 0.7152, 0.0722])) if gray else src(px[y, x, :3])
+            v = np.minimum(np.maximum(start + err[y, x], low), high)
+            color, own = pick(v)
+            e = (v - (own @ np.array([0.2126, 0.7152, 0.0722])) if gray else v - own) * gain
+            out[y, x] = color
+            for dx, dy, w in taps:
+                if 0 <= x + dx * turn < wide and y + dy < tall:
+                    err[y + dy, x + dx * turn] += e * w / total
+    return out
+
+
+PALETTE = [(0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0.9, 0.1, 0.05), (0.1, 0.2, 0.8), (0.2, 0.7, 0.1)]
+
+
+def lab_of(c):
+    from pixelloom.functions.color import oklab_of
+
+    return np.array(oklab_of([min(max(x, 0), 1) for x in c]))
+
+
+def centre(lab):
+    out = []
+    for x, low, high in zip(lab, (0.0, -0.4, -0.4), (1.0, 0.4, 0.4)):
+        t = min(max((x - low) / (high - low), 0), 1 - 1.1920929e-07)
+        out.append(low + (min(int(t * 64), 63) + 0.5) / 64 * (high - low))
+    return np.array(out)
+
+
+def first_nearest(v, spots):
+    d = [sum((a - b) ** 2 for a, b in zip(v, s)) for s in spots]
+    return d.index(min(d))
+
+
+def test_diffusion_with_every_quantiser():
+    rng = np.random.default_rng(11)
+    px = np.concatenate((rng.random((9, 9, 3)), np.ones((9, 9, 1))), 2)
+    colors, labs = np.array(PALETTE), [lab_of(c) for c in PALETTE]
+    to_bytes = lambda c: np.floor(np.array([12.92 * x if x <= 0.0031308 else 1.055 * x ** (1 / 2.4) - 0.055 for x in c]) * 255 + 0.5)
+    spots = [to_bytes(c) for c in PALETTE]
+    same = lambda c: (c, c)
+
+    def guided(v):
+        out = []
+        for x, low, high in zip(v, colors.min(0), colors.max(0)):
+            q = min(max((x - low) / (high - low), 0), 1)  # two levels
+            out.append(low + (1 if q > 0.5 else 0) * (high - low))
+        return np.array(out)
+
+    def at(i, own):
+        return colors[i], own[i]
+
+    cases = {
+        diffuse.Strict: (lambda c: c, lambda v: same(colors[first_nearest(centre(lab_of(v)), labs)]), 0, 1, 1.0),
+        diffuse.Guided: (lambda c: c, lambda v: same(guided(v)), 0, 1, 1.0),
+        diffuse.Mixed: (lambda c: c, lambda v: same(colors[first_nearest(lab_of(guided(v)), labs)]), 0, 1, 1.0),
+        diffuse.Simple: (to_bytes, lambda v: at(first_nearest(v, spots), spots), 0, 255, 1.0),
+        diffuse.InOklab: (lab_of, lambda v: at(first_nearest(centre(v), labs), labs), np.array([0, -0.5, -0.5]), np.array([1, 0.5, 0.5]), 1.0),
+    }
+    for kind, case in cases.items():
+        for kernel in ("floyd_steinberg", "jarvis_judice_ninke"):
+            got = diffuse_tile(px, 0, kind(PALETTE, 2) if kind in (diffuse.Guided, diffuse.Mixed) else kind(PALETTE), kernel, core=9)[0]
+            assert np.allclose(got[..., :3], scalar_diffusion(px, case[0], case[1], kernel, *case[2:]))
+    step = lambda v: same(np.floor(v * 2 + 0.5) / 2)
+    for options in ({"serpentine": True}, {"gray": True}, {"serpentine": True, "gray": True}):
+        got = diffuse_tile(px, 0, Uniform(3), "stucki", serpentine="serpentine" in options, grayscale="gray" in options, core=9)[0]
+        assert np.allclose(got[..., :3], scalar_diffusion(px, lambda c: c, step, "stucki", 0, 1, **options))
+
+
+def test_palette_diffusion_by_tile(spark):
+    rng = np.random.default_rng(13)
+    px = np.concatenate((rng.random((12, 20, 3)), rng.random((12, 20, 1))), 2)
+    rows = [(3, x, y, *map(float, px[y, x])) for y in range(12) for x in range(20)]
+    df = spark.createDataFrame(rows, "image int, gx int, gy int, r double, g double, b double, a double")
+    found = {(r.gx, r.gy): (r.r, r.g, r.b, r.a) for r in diffuse.palette_diffusion(df, PALETTE, tile=8).collect()}
+    assert len(found) == 240
+    labs, padded = [lab_of(c) for c in PALETTE], np.zeros((24, 32, 4))
+    padded[2:14, 2:22] = px
+    for ty in range(2):
+        for tx in range(3):
+            part = padded[ty * 8 : ty * 8 + 12, tx * 8 : tx * 8 + 12]
+            pick = lambda v: ((i := first_nearest(centre(v), labs)), (np.array(PALETTE[i]), labs[i]))[1]
+            want = scalar_diffusion(part, lab_of, pick, "floyd_steinberg", np.array([0, -0.5, -0.5]), np.array([1, 0.5, 0.5]))
+            for y in range(8):
+                for x in range(8):
+                    if (at := (tx * 8 + x, ty * 8 + y)) in found:
+                        assert np.allclose(found[at], (*want[y + 2, x + 2], px[at[1], at[0], 3]))
+
+
+@pytest.mark.parametrize("rule", ["monochromatic", "analogous", "complementary", "triadic", "split"])
+def test_harmonies(spark, rule):
+    from pixelloom.operators.palettes import harmony
+
+    df = spark.createDataFrame([("x", 0.3, 0.25, 0.2)], "name string, r double, g double, b double")
+    for n in (1, 2, 3, 5):
+        rows = sorted(harmony(df, rule, n).collect(), key=lambda r: r.i)
+        assert len(rows) == max(n, {"complementary": 2, "triadic": 3, "split": 3}.get(rule, 1)) and rows[0].name == "x"
+        base, labs = lab_of((0.3, 0.25, 0.2)), [lab_of((r.r, r.g, r.b)) for r in rows]
+        assert all(-1e-9 <= c <= 1 + 1e-9 for r in rows for c in (r.r, r.g, r.b))
+        turn = [np.angle(complex(*x[1:]) / complex(*base[1:])) for x in labs]
+        if rule == "monochromatic":
+            assert np.allclose([x[0] for x in labs], [0.15 + 0.75 * (0.5 if n == 1 else i / (n - 1)) for i in range(n)], atol=0.01)
+        if rule == "analogous":
+            assert np.allclose(turn, [0] if n == 1 else [np.pi / 6 * (2 * i / (n - 1) - 1) for i in range(n)], atol=1e-3)
+        if rule == "split":
+            assert np.allclose(np.abs(turn[:3]), [0, np.pi - 0.5, np.pi - 0.5], atol=1e-3)
