@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import color as C
 from pixelloom.functions import grid as G
-from pixelloom.operators import compose, ordered, palettes, point, tiles
+from pixelloom.operators import compose, ordered, palettes, params, point, tiles
 from pixelloom.plans import raster_sql as S
 from pixelloom.sources.rasters import PALETTE5, event_raster, mirrored, table, vector_raster
 
@@ -99,19 +99,28 @@ def _legacy(spark, d):
     return out(ordered.dither(event_raster(spark, d), ordered.legacy(3, "Bayer8x8")))
 
 
-@query("pt11_validation", f"WITH {S.E} SELECT count(*)::BIGINT AS pixels, sum(CASE WHEN r BETWEEN 0 AND 1 AND g BETWEEN 0 AND 1 AND b BETWEEN 0 AND 1 AND a BETWEEN 0 AND 1 THEN 0 ELSE 1 END)::BIGINT AS bad FROM p")
+_NAMES = [*params.LIMITS, "unknown"]
+_PARAMS = f"w AS (SELECT event_id, [{', '.join(f"'{x}'" for x in _NAMES)}][event_id % {len(_NAMES)} + 1] AS name, CASE WHEN event_id % 50 = 7 THEN NULL ELSE value / 10 - 1 END AS value FROM events), k(name, low, high) AS (VALUES {', '.join(f"('{x}', {S.n(low)}, {S.n(high)})" for x, (low, high) in params.LIMITS.items())})"
+
+
+@query("pt11_validation", f"WITH {_PARAMS} SELECT event_id, name, CASE WHEN low IS NULL THEN 'name' WHEN value IS NULL THEN 'not a number' ELSE 'range' END AS reason FROM w LEFT JOIN k USING (name) WHERE low IS NULL OR value IS NULL OR value < low OR value > high")
 def _validation(spark, d):
-    good = F.lit(True)
-    for c in "rgba":
-        good = good & F.col(c).between(0.0, 1.0)
-    return event_raster(spark, d).agg(F.count("*").alias("pixels"), F.sum(F.when(good, 0).otherwise(1)).cast("long").alias("bad"))
+    """Each event as a filter's parameter: those that a filter must refuse."""
+    e = table(spark, d, "events")
+    name = F.element_at(F.array(*(F.lit(x) for x in _NAMES)), (F.col("event_id") % len(_NAMES) + 1).cast("int"))
+    asked = e.select("event_id", name.alias("name"), F.when(F.col("event_id") % 50 != 7, F.col("value") / 10 - 1).alias("value"))
+    return params.violations(asked).select("event_id", "name", "reason")
 
 
-@query("pt12_defaults", "SELECT event_id, coalesce((props::JSON->>'intensity')::DOUBLE, 0.5::DOUBLE) AS intensity, coalesce((props::JSON->>'seed')::BIGINT, 42) AS seed FROM events")
+_LOOSE = "CASE event_id % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{\"intensity\": ' || value || '}' WHEN 2 THEN '{\"radius\": 1.5, \"other\": 1}' ELSE '{\"intensity\": 2, \"threshold\": ' || value / 100 || '}' END"
+
+
+@query("pt12_defaults", f"WITH j AS (SELECT event_id, ({_LOOSE})::JSON AS j FROM events) SELECT event_id, {', '.join(f"round(coalesce((j->>'{n}')::DOUBLE, {S.n(v)}), 6) AS {n}" for n, v in params.DEFAULTS['glow'].items())} FROM j")
 def _defaults(spark, d):
-    e = table(spark, d, "events")
-    loose = F.from_json("props", "intensity double, seed long")
-    return e.select("event_id", F.coalesce(loose["intensity"], F.lit(0.5)).alias("intensity"), F.coalesce(loose["seed"], F.lit(42).cast("long")).alias("seed"))
+    """Parameters of a glow, of which each event's text gives some."""
+    text = F.expr(_LOOSE)
+    found = params.with_defaults("glow", F.col("j"))
+    return table(spark, d, "events").select("event_id", text.alias("j")).select("event_id", *(F.round(x, 6).alias(n) for n, x in found.items()))
 
 
 # --- ordered dithering -------------------------------------------------------------------------------------------------

@@ -81,11 +81,12 @@ def _blank(spark, d):
     return found
 
 
-@query("src3_import_layer", f"WITH {S.E}, g AS (SELECT (i % 320)::INT AS gx, (i // 320)::INT AS gy FROM range(320 * 30) t(i)) SELECT gx, gy, " + ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in "rgba") + " FROM g LEFT JOIN p USING (gx, gy)")
+@query("src3_import_layer", f"WITH {S.E}, s AS (SELECT max(gx) + 21 AS w, max(gy) + 3 AS h FROM p), g AS (SELECT (i % w)::INT AS gx, (i // w)::INT AS gy FROM s, (SELECT unnest(range(w * h)) AS i FROM s)) SELECT gx, gy, " + ", ".join(f"round(coalesce({c}, 0), 6) AS {c}" for c in "rgba") + " FROM g LEFT JOIN p USING (gx, gy)")
 def _import(spark, d):
     from pixelloom.sources.images import import_layer
 
-    return import_layer(event_raster(spark, d), 320, 30).select("gx", "gy", *(F.round(c, 6).alias(c) for c in "rgba"))
+    size = event_raster(spark, d).agg(F.max("gx"), F.max("gy")).first()
+    return import_layer(event_raster(spark, d), size[0] + 21, size[1] + 3).select("gx", "gy", *(F.round(c, 6).alias(c) for c in "rgba"))
 
 
 def event_colors(spark, d) -> DataFrame:
@@ -149,9 +150,13 @@ def _presets(spark, d):
     return found.groupBy("id", "i").agg(F.count("*").alias("pixels"))
 
 
-@query("src16_tile_lookup", f"WITH {TILES} SELECT doc, layer, tx, ty, generation FROM t WHERE stage = 'composite' AND tx = 3 AND ty BETWEEN 0 AND 1")
+@query("src16_tile_lookup", f"WITH {TILES}, want AS (SELECT DISTINCT doc, layer, tx, ty FROM t WHERE visible), have AS (SELECT doc, layer, tx, ty, max(generation) AS generation FROM t WHERE stage = 'composite' GROUP BY ALL) SELECT doc, layer, tx, ty, CASE WHEN generation IS NULL THEN 202 ELSE 200 END::INT AS status, generation FROM want LEFT JOIN have USING (doc, layer, tx, ty)")
 def _lookup(spark, d):
-    return tile_events(spark, d).where((F.col("stage") == "composite") & (F.col("tx") == 3) & F.col("ty").between(0, 1)).select("doc", "layer", "tx", "ty", "generation")
+    """The newest composite of each tile that is asked for: 200 with it, or 202 where it is yet to be made."""
+    t = tile_events(spark, d)
+    have = t.where("stage = 'composite'").groupBy(*_KEY).agg(F.max("generation").alias("generation"))
+    found = t.where("visible").select(*_KEY).distinct().join(have, _KEY, "left")
+    return found.select(*_KEY, F.when(F.col("generation").isNull(), 202).otherwise(200).alias("status"), "generation")
 
 
 @query("snk10_content_dedup", "SELECT sha256(event_type || ':' || (user_id % 100)::VARCHAR)[1:32] AS digest, min(event_id) AS first, count(*)::BIGINT AS n FROM events GROUP BY 1")
@@ -171,6 +176,12 @@ def _recent(spark, d):
 _KEY = ["doc", "layer", "tx", "ty"]
 
 
+def _last_tile(spark, d) -> tuple[int, int]:
+    """The largest tx and ty."""
+    found = tile_events(spark, d).agg(F.max("tx"), F.max("ty")).first()
+    return found[0] or 0, found[1] or 0
+
+
 @query("j1_point_join", f"WITH {TILES}, w AS (SELECT DISTINCT doc, layer, tx, ty FROM t WHERE visible) SELECT t.doc, t.layer, t.tx, t.ty, t.stage, t.generation FROM t JOIN w USING (doc, layer, tx, ty)")
 def _point_join(spark, d):
     t = tile_events(spark, d)
@@ -193,9 +204,10 @@ def _nearest(spark, d):
     return rasters.vector_raster(spark, d).select(F.element_at(near, 1)["i"].alias("i")).groupBy("i").agg(F.count("*").alias("pixels"))
 
 
-@query("j8_range", f"WITH {TILES} SELECT doc, layer, tx, ty, stage, generation FROM t WHERE tx BETWEEN 2 AND 5 AND ty BETWEEN 0 AND 1")
+@query("j8_range", f"WITH {TILES} SELECT doc, layer, tx, ty, stage, generation FROM t, (SELECT max(tx) AS mx, max(ty) AS my FROM t) WHERE tx BETWEEN mx // 4 AND mx * 3 // 4 AND ty BETWEEN my // 4 AND my * 3 // 4")
 def _range(spark, d):
-    return tile_events(spark, d).where(F.col("tx").between(2, 5) & F.col("ty").between(0, 1)).select(*_KEY, "stage", "generation")
+    t, (mx, my) = tile_events(spark, d), _last_tile(spark, d)
+    return t.where(F.col("tx").between(mx // 4, mx * 3 // 4) & F.col("ty").between(my // 4, my * 3 // 4)).select(*_KEY, "stage", "generation")
 
 
 @query("j9_parents", f"WITH {TILES}, k AS (SELECT DISTINCT doc, tx, ty FROM t), q AS (SELECT DISTINCT doc, tx // 2 AS px, ty // 2 AS py FROM k) SELECT q.doc, px, py, count(*)::BIGINT AS children FROM q JOIN k ON k.doc = q.doc AND k.tx // 2 = px AND k.ty // 2 = py GROUP BY ALL")
@@ -233,10 +245,10 @@ def _visible(spark, d):
 
 def _box(spark, d):
     """The distinct tiles that hold purchases."""
-    return tile_events(spark, d).where("event_type = 'purchase' AND value > 60 AND tx BETWEEN 4 AND 9").select("tx", "ty").distinct()
+    return tile_events(spark, d).where("event_type = 'purchase'").select("tx", "ty").distinct()
 
 
-_BOX = f"{TILES}, b AS (SELECT DISTINCT tx, ty FROM t WHERE event_type = 'purchase' AND value > 60 AND tx BETWEEN 4 AND 9)"
+_BOX = f"{TILES}, b AS (SELECT DISTINCT tx, ty FROM t WHERE event_type = 'purchase')"
 
 
 @query("wn1_center_out", f"WITH {_BOX}, m AS (SELECT (min(tx) + max(tx)) / 2{D} AS cx, (min(ty) + max(ty)) / 2{D} AS cy FROM b) SELECT tx, ty, abs(tx - cx) + abs(ty - cy) AS distance, row_number() OVER (ORDER BY abs(tx - cx) + abs(ty - cy), ty, tx)::INT AS rank FROM b, m")
@@ -249,9 +261,10 @@ def _priority(spark, d):
     return viewport.with_priority(_box(spark, d))
 
 
-@query("wn4_prefetch_ring", f"WITH {_BOX}, m AS (SELECT greatest(min(tx) - 1, 0) AS x0, least(max(tx) + 1, 18) AS x1, greatest(min(ty) - 1, 0) AS y0, least(max(ty) + 1, 22) AS y1 FROM b), g AS (SELECT unnest(range(x0, x1 + 1)) AS tx, y0, y1 FROM m), h AS (SELECT tx, unnest(range(y0, y1 + 1)) AS ty FROM g) SELECT tx, ty FROM h ANTI JOIN b USING (tx, ty)")
+@query("wn4_prefetch_ring", f"WITH {_BOX}, m AS (SELECT greatest(min(tx) - 1, 0) AS x0, least(max(tx) + 1, (SELECT max(tx) + 1 FROM t)) AS x1, greatest(min(ty) - 1, 0) AS y0, least(max(ty) + 1, (SELECT max(ty) + 1 FROM t)) AS y1 FROM b), g AS (SELECT unnest(range(x0, x1 + 1)) AS tx, y0, y1 FROM m), h AS (SELECT tx, unnest(range(y0, y1 + 1)) AS ty FROM g) SELECT tx, ty FROM h ANTI JOIN b USING (tx, ty)")
 def _ring(spark, d):
-    return viewport.prefetch_ring(_box(spark, d), 19, 23)
+    mx, my = _last_tile(spark, d)  # the grid goes on one tile further
+    return viewport.prefetch_ring(_box(spark, d), mx + 2, my + 2)
 
 
 @query("wn5_level_from_zoom", f"SELECT event_id, CASE WHEN z >= 1 THEN 0 ELSE least(floor(log2(1 / z)), 5) END::INT AS level FROM (SELECT event_id, least(greatest(value / 100, {S.n(0.01)}), {S.n(64)}) AS z FROM events)")
@@ -286,19 +299,19 @@ def _dirty(spark, d):
 # --- error diffusion's relations ---------------------------------------------------------------------------------------
 
 
-@query("ed1_kernel_reach", f"WITH {S.E}, w(kernel, dx, dy, weight) AS (VALUES {', '.join(f"('{k}', {dx}, {dy}, {S.n(w / total)})" for k, (total, taps) in diffuse.KERNELS.items() for dx, dy, w in taps)}) SELECT kernel, count(*)::BIGINT AS landed, round(sum(weight), 6) AS weight FROM p, w, (SELECT max(gy) AS ym FROM p) WHERE gx % 16 = 0 AND gx + dx BETWEEN 0 AND 299 AND gy + dy <= ym GROUP BY kernel")
+@query("ed1_kernel_reach", f"WITH {S.E}, w(kernel, dx, dy, weight) AS (VALUES {', '.join(f"('{k}', {dx}, {dy}, {S.n(w / total)})" for k, (total, taps) in diffuse.KERNELS.items() for dx, dy, w in taps)}) SELECT kernel, count(*)::BIGINT AS landed, round(sum(weight), 6) AS weight FROM p, w, (SELECT max(gy) AS ym FROM p) WHERE gx + dx BETWEEN 0 AND 299 AND gy + dy <= ym GROUP BY kernel")
 def _reach(spark, d):
-    """How much error the first pixels of tiles' rows pass on inside the image."""
-    p = event_raster(spark, d).where("gx % 16 = 0").select("gx", "gy")
+    """How much error the pixels pass on inside the image."""
+    p = event_raster(spark, d).select("gx", "gy")
     tall = event_raster(spark, d).agg(F.max("gy")).first()[0]
     taps = F.array(*(F.struct(F.lit(k).alias("kernel"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w / total).alias("weight")) for k, (total, ts) in diffuse.KERNELS.items() for dx, dy, w in ts))
     sent = p.select("gx", "gy", F.explode(taps).alias("w")).where((F.col("gx") + F.col("w.dx")).between(0, 299) & (F.col("gy") + F.col("w.dy") <= tall))
     return sent.groupBy("w.kernel").agg(F.count("*").alias("landed"), F.round(F.sum("w.weight"), 6).alias("weight"))
 
 
-@query("ed6_downstream", f"WITH {TILES} SELECT DISTINCT doc, tx, ty FROM t WHERE tx >= 12 AND ty >= 1")
+@query("ed6_downstream", f"WITH {TILES} SELECT DISTINCT doc, tx, ty FROM t, (SELECT max(tx) AS mx, max(ty) AS my FROM t) WHERE tx >= mx // 2 AND ty >= my // 2")
 def _downstream(spark, d):
-    return diffuse.downstream(tile_events(spark, d).select("doc", "tx", "ty").distinct(), 12, 1)
+    return diffuse.downstream(tile_events(spark, d).select("doc", "tx", "ty").distinct(), *(x // 2 for x in _last_tile(spark, d)))
 
 
 @query("ed12_dependencies", f"WITH {TILES}, k AS (SELECT DISTINCT tx, ty FROM t), s(dx, dy) AS (VALUES (1, 0), (0, 1), (1, 1)) SELECT tx, ty, tx - dx AS needs_tx, ty - dy AS needs_ty FROM k, s WHERE tx >= dx AND ty >= dy")
@@ -306,9 +319,9 @@ def _dependencies(spark, d):
     return diffuse.tile_dependencies(tile_events(spark, d).select("tx", "ty").distinct())
 
 
-@query("ed13_causal_prefix", f"WITH {TILES} SELECT DISTINCT tx, ty FROM t WHERE tx <= 7 AND ty <= 1")
+@query("ed13_causal_prefix", f"WITH {TILES} SELECT DISTINCT tx, ty FROM t, (SELECT max(tx) AS mx, max(ty) AS my FROM t) WHERE tx <= mx // 2 AND ty <= my // 2")
 def _prefix(spark, d):
-    return diffuse.causal_prefix(tile_events(spark, d).select("tx", "ty").distinct(), 7, 1)
+    return diffuse.causal_prefix(tile_events(spark, d).select("tx", "ty").distinct(), *(x // 2 for x in _last_tile(spark, d)))
 
 
 # --- functions on colours and text -------------------------------------------------------------------------------------
@@ -324,11 +337,11 @@ def _to_oklab(spark, d):
 _V3 = "(CASE WHEN regexp_matches(t, '^[0-9]+\\.[0-9]+\\.[0-9]+$') THEN string_split(t, '.')[{}]::INT END)"
 
 
-@query("fn18_semver", f"WITH v AS (SELECT event_id, event_type, (user_id % 4)::VARCHAR || '.' || (event_id % 13)::VARCHAR || CASE WHEN event_id % 10 = 3 THEN '' ELSE '.' || (event_id % 7)::VARCHAR END AS t FROM events) SELECT event_type, max({_V3.format(1)} * 10000 + {_V3.format(2)} * 100 + {_V3.format(3)})::INT AS newest, count({_V3.format(1)})::BIGINT AS good FROM v GROUP BY event_type")
+@query("fn18_semver", f"WITH v AS (SELECT event_id, event_type, (user_id % 4)::VARCHAR || '.' || (event_id % 13)::VARCHAR || CASE WHEN event_id % 10 = 3 THEN '' ELSE '.' || (event_id % 7)::VARCHAR END AS t FROM events) SELECT event_type, array_to_string(max([{_V3.format(1)}, {_V3.format(2)}, {_V3.format(3)}]) FILTER ({_V3.format(1)} IS NOT NULL), '.') AS newest, count({_V3.format(1)})::BIGINT AS good FROM v GROUP BY event_type")
 def _semver(spark, d):
     text = F.concat_ws(".", (F.col("user_id") % 4).cast("string"), (F.col("event_id") % 13).cast("string"), F.when(F.col("event_id") % 10 != 3, (F.col("event_id") % 7).cast("string")))
     parts = table(spark, d, "events").select("event_type", text.alias("t")).withColumn("v", F.when(F.col("t").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), F.transform(F.split("t", r"\."), lambda x: x.cast("int"))))
-    return parts.groupBy("event_type").agg(F.max(F.col("v")[0] * 10000 + F.col("v")[1] * 100 + F.col("v")[2]).cast("int").alias("newest"), F.count("v").alias("good"))
+    return parts.groupBy("event_type").agg(F.array_join(F.max("v"), ".").alias("newest"), F.count("v").alias("good"))
 
 
 @query("fn19_palette_names", "SELECT event_id, left('Palette ' || coalesce(props, '') || ' (' || (user_id % 256)::VARCHAR || ')', 64) AS name FROM events")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pixelloom.plans.running import running_sum
+
 #: Lower is sooner.
 PRIORITIES = {"immediate": 0, "center": 1, "edge": 2, "prefetch": 3}
 
@@ -36,11 +38,12 @@ def prefetch_ring(tiles: DataFrame, nx: int, ny: int) -> DataFrame:
 
 
 def center_out(tiles: DataFrame) -> DataFrame:
-    """tiles with their rank by distance from the middle of their box, ties by row, then column; a view's tiles are few."""
+    """tiles with their rank by distance from the middle of their box, ties by row, then column."""
     box = tiles.agg(((F.min("tx") + F.max("tx")) / 2).alias("cx"), ((F.min("ty") + F.max("ty")) / 2).alias("cy"))
     away = F.abs(F.col("tx") - F.col("cx")) + F.abs(F.col("ty") - F.col("cy"))
     far = tiles.crossJoin(F.broadcast(box)).withColumn("distance", away)
-    return far.select("tx", "ty", "distance", F.row_number().over(Window.orderBy("distance", "ty", "tx")).alias("rank"))
+    ranked = running_sum(far.select("tx", "ty", "distance"), ["distance", "ty", "tx"], F.lit(1), "rank")
+    return ranked.select("tx", "ty", "distance", F.col("rank").cast("int").alias("rank"))
 
 
 def with_priority(tiles: DataFrame) -> DataFrame:

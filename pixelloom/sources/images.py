@@ -116,9 +116,8 @@ def to_png(pixels: DataFrame, mode: str = "export") -> DataFrame:
 
 def import_layer(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """An image at the origin of a canvas: clipped to it, and nothing where the image has no pixel."""
-    from pixelloom.sources.rasters import blank
-
-    grid = blank(pixels.sparkSession, width, height).select("gx", "gy")
+    n = pixels.sparkSession.range(width * height)
+    grid = n.select((F.col("id") % width).cast("int").alias("gx"), F.floor(F.col("id") / width).cast("int").alias("gy"))
     return grid.join(pixels.select("gx", "gy", *"rgba"), ["gx", "gy"], "left").select("gx", "gy", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in "rgba"))
 
 
