@@ -466,3 +466,127 @@ def test_pipeline_and_queries(spark):
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
     assert json.dumps(sorted(__spark_entry__.oracle_sql()))
+
+
+CLASH = "doc_id long, text string, row string, __id long, __th long, __keep string, __text_hash long, score double, score_ int, __n int, n int, node long"
+
+
+def clashing(spark, texts_and_ids):
+    return spark.createDataFrame([(i, t, "r", 1, 2, "k", 3, 0.5, 4, 5, 6, 7) for i, t in texts_and_ids], CLASH)
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark):
+    """Two texts under one id are two documents; rows without an id are judged by their text; nothing of the caller's is lost."""
+    import corpus_pipeline
+    from pixelloom.llm.decontam import clean_documents
+    from pixelloom.llm.linededup import dedup_lines
+    from pixelloom.llm.quality import accepted
+    from pixelloom.llm.simhash import one_per_group
+
+    rng = np.random.default_rng(21)
+    long = [" ".join(f"w{x}" for x in rng.integers(0, 900, 40)) for _ in range(3)]
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, long[0]), (1, long[1]), (2, long[0]), (None, long[0]), (None, long[2]), (None, long[2]), (3, None), (4, ""), (5, item), (5, long[2] + " end"), (None, item + " " + item)]
+    df = clashing(spark, rows)
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    first = one_per_group(df)
+    assert first.columns == df.columns
+    # long[2] has a near copy under id 5; null and empty are one text; the two texts with the item have different shingles
+    assert sorted(((r.doc_id or 0), (r.text or "")[:12]) for r in first.collect()) == sorted([(1, long[0][:12]), (1, long[1][:12]), (3, ""), (5, item[:12]), (5, long[2][:12]), (0, item[:12])])
+    clean = clean_documents(df, bench)
+    assert clean.columns == df.columns and clean.count() == 9 and not [r for r in clean.collect() if item in (r.text or "")]
+    lines = dedup_lines(df, min_docs=3)
+    assert lines.columns == df.columns and lines.count() == len(rows)
+    good = accepted(df, labels)
+    assert good.columns == df.columns and good.count() == len(rows) and {r.score for r in good.collect()} == {0.5}
+    nothing = df.limit(0)
+    for found in (one_per_group(nothing), clean_documents(nothing, bench), dedup_lines(nothing), accepted(nothing, labels)):
+        assert found.count() == 0 and found.columns == df.columns
+    assert [n for n, _ in corpus_pipeline.STAGES][2] == "near_dedup"
+
+
+def test_repeated_items_and_small_blocks(spark):
+    from pixelloom.llm.decontam import clean_documents, contaminated_pairs
+
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(8))) for i in range(12)]
+    bench = spark.createDataFrame([*items, *items[:1] * 4, (None, "nul item of some seven words here")], "item_id long, text string")
+    rows = [(i, "x y z " + t + " and more") for i, t in items] + [(100, "none of them"), (None, "nul item of some seven words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words_a_block in (8, 20, 10**6):
+        found = collections.Counter((r.doc_id, r.item_id) for r in contaminated_pairs(docs, bench, block_words=words_a_block).collect())
+        assert found == {**{(i, i): 1 for i in range(1, 12)}, (0, 0): 5, (None, None): 1}
+        assert [r.doc_id for r in clean_documents(docs, bench, block_words=words_a_block).collect()] == [100]
+
+
+def test_top_k_beyond_64_bits(spark):
+    from pixelloom.llm.topk import top_k
+
+    df = spark.createDataFrame([(0, [1e17, 1e17]), (1, [1e17, 1e17]), (2, [-1e17, -1e17]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    found = [(r.vec_id, r.score) for r in top_k(df, df.where("vec_id = 0"), k=3).orderBy("rank").collect()]
+    assert found == [(1, 2**63 - 1), (3, min(math.floor(256 * 1e17), 2**63 - 1) * 256 if math.floor(256 * 1e17) * 256 < 2**63 else 2**63 - 1), (2, -(2**63))]
+
+
+def test_trees_by_brute_force():
+    """Scores against a walk row by row; the first split against a search of all."""
+    from pixelloom.llm.quality import fit
+
+    rng = np.random.default_rng(23)
+    x = np.round(rng.normal(0, 1, (200, 4)), 1)
+    y = ((x[:, 1] > 0.3) ^ (rng.random(200) < 0.1)).astype(float)
+    trees = fit(x, y, rounds=6, depth=3, bins=64)
+    want = []
+    for row in x:
+        total = trees.start
+        for feature, threshold, leaf in zip(trees.features, trees.thresholds, trees.leaves):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        want.append(1 / (1 + math.exp(-total)))
+    assert np.allclose(trees.score(x), want)
+    g, h, ridge = y - y.mean(), np.full(200, y.mean() * (1 - y.mean())), 2.0
+    best = (-1.0, None)
+    for j in range(4):
+        for cut in np.unique(np.quantile(x[:, j], np.arange(1, 64) / 64)):
+            low = x[:, j] <= cut
+            if h[low].sum() >= 1 and h[~low].sum() >= 1:
+                gain = sum(g[m].sum() ** 2 / (h[m].sum() + ridge) for m in (low, ~low)) - g.sum() ** 2 / (h.sum() + ridge)
+                best = max(best, (gain, (j, float(cut))), key=lambda b: b[0])
+    one = fit(x, y, rounds=1, depth=1)
+    assert (int(one.features[0, 0]), float(one.thresholds[0, 0])) == best[1]
+
+
+def test_other_tokenizers_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    from pixelloom.llm.tokenstore import Encoder, Tree, merkle
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    some = ["Hello there, WORLD", "", "a  b\n\nc", "x\ty " * 50]
+    ids, sizes = Encoder(path, 2, 7).encode(some)
+    library = Tokenizer.from_file(path)
+    assert ids.tolist() == [i for t in some for i in [*library.encode(t, add_special_tokens=False).ids, 7]] and sizes.sum() == len(ids)
+    with pytest.raises(ValueError):
+        Encoder(path, 1, 0)
+    for n in range(20):
+        tree, leaves = Tree(), [bytes([i]) for i in range(n)]
+        for x in leaves:
+            tree.add(x)
+        assert tree.root() == merkle(leaves)
+
+
+def test_store_is_held_against_its_manifest(spark, tmp_path):
+    from pixelloom.llm import tokenstore as S
+
+    df = spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "doc_id long, text string")
+    path = f"file://{tmp_path}/store"
+    S.write_store(df, path, VOCABULARY, 0)
+    S.verify_manifest(spark, path, 50)
+    with pytest.raises(ValueError):
+        S.verify_manifest(spark, path, 51)
+    spark.read.parquet(f"{path}/recipes").where("doc_id <> 7").write.parquet(f"{path}/less")
+    (tmp_path / "store" / "recipes").rename(tmp_path / "store" / "whole")
+    (tmp_path / "store" / "less").rename(tmp_path / "store" / "recipes")
+    with pytest.raises(ValueError):
+        S.verify_manifest(spark, path)
