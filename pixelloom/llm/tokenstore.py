@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,84 +83,104 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.places, self.units = _Places(), {}
+        self.places = _Places()
         self.first, self.size, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, self.kind), 0
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def keys(self, text: str) -> list[str] | None:
-        """Pieces that stand for the text, or None if it is to be encoded whole."""
+    def keys(self, text: str) -> str | list[str] | None:
+        """Pieces that stand for the text, as a list or with spaces between them, or None if it is to be encoded whole."""
         if not self.by_pieces or _OTHER_BLANKS.search(text) or any(s in text for s in self.special):
             return None
         marked = text.replace("\n", " \n")
         if "  " in marked or "\n " in marked or marked[:1] == " " or marked[-1:] in (" ", "\n"):
             return [EXACT + u for u in _UNIT.findall(text)]  # runs of blanks
-        return (EXACT + marked).split(" ")
+        return EXACT + marked
 
-    def _learn(self) -> None:
-        """Ids of new pieces: most are a word after a space, or such a word and signs that are known by themselves."""
-        new, self.places.new = self.places.new, []
-        width, letters = int(self.kind[-1]), _WORD.fullmatch
-        split = {k: _UNIT.findall(k[1:] if k[0] == EXACT else k if k[0] == "\n" else " " + k) for k in new if not letters(k)}
-        words = [" " + k for k in new if k not in split]
-        known = set(words).union(self.units)
-        parts = {u for units in split.values() for u in units}.difference(known)
-        more = [u for u in parts if u[0] == " " and letters(u, 1)]
-        other = list(parts.difference(more))
-        words += more
-        found: dict[str, bytes] = {}
-        for a in range(0, len(words), 1000):  # in one text: no token but a word's first begins with a space
-            some = words[a : a + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            data = ids.tobytes()
-            ends = [*(np.flatnonzero(self.opens[ids]) * width).tolist()[1:], len(data)]
-            found.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-        for a in range(0, len(other), 4096):
-            found.update(zip(other[a : a + 4096], self._direct(other[a : a + 4096]), strict=True))
-        out = []
-        for k in new:
-            units = split.get(k)
-            if units is None:
-                out.append(found[" " + k])
-                continue
-            for u in units:
-                if u not in self.units:
-                    self.units[u] = found[u]
-            out.append(b"".join(map(self.units.__getitem__, units)))
-        sizes = np.fromiter(map(len, out), np.int64, len(out)) // width
-        ids = np.frombuffer(b"".join(out), self.kind)
-        begin, end = len(self.places) - len(new), len(self.places)
-        if end > len(self.size):
-            self.first, self.size = (np.concatenate((x, np.zeros(max(end, len(x)), np.int64))) for x in (self.first, self.size))
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
+
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces with these numbers on end, and the end of each."""
+        each = self.size[at]
+        ends = np.cumsum(each)
+        return self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[at] - (ends - each), each)], ends
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Takes down the ids of the pieces with these numbers."""
+        most = int(at.max(initial=-1)) + 1
+        if most > len(self.size):
+            self.first, self.size = (np.concatenate((x, np.zeros(max(most, len(x)), np.int64))) for x in (self.first, self.size))
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(max(len(ids), len(self.pool)), self.kind)))
-        self.size[begin:end], self.first[begin:end] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.size[at], self.first[at] = sizes, self.used + np.cumsum(sizes) - sizes
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
+    def _learn(self) -> None:
+        """Ids of new pieces: a word after a space, another unit by itself, or units on end, which are pieces of their own."""
+        letters = _WORD.fullmatch
+        words, other, split, counts, units = [], [], [], [], []  # words, others and compounds by number
+
+        def take(begin: int, new: list[str], compounds: bool) -> None:
+            for n, k in enumerate(new, begin):
+                if letters(k):
+                    words.append((n, k))
+                    continue
+                if compounds:
+                    parts = _UNIT.findall(k[1:] if k[0] == EXACT else k if k[0] == "\n" else " " + k)
+                    parts = [u[1:] if u[0] == " " and letters(u, 1) else EXACT + u for u in parts]
+                    if parts != [k]:
+                        split.append(n)
+                        counts.append(len(parts))
+                        units.extend(parts)
+                        continue
+                other.append((n, k))
+
+        new, self.places.new = self.places.new, []
+        take(len(self.places) - len(new), new, True)
+        composed = self._numbers(units)
+        new, self.places.new = self.places.new, []  # units that were no pieces before
+        take(len(self.places) - len(new), new, False)
+        for a in range(0, len(words), 1000):  # in one text: no token but a word's first begins with a space
+            at, some = zip(*words[a : a + 1000], strict=True)
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            self._keep(np.array(at), ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids))))
+        for a in range(0, len(other), 4096):
+            at, some = zip(*other[a : a + 4096], strict=True)
+            found = self._direct([k[1:] for k in some])
+            self._keep(np.array(at), np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // int(self.kind[-1]))
+        if split:
+            ids, ends = self._gathered(composed)
+            self._keep(np.array(split), ids, np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, each with the end id after it, and how many each has."""
-        if len(self.places) > CACHE_PIECES or len(self.units) > CACHE_PIECES:
+        if len(self.places) > CACHE_PIECES:
             self.clear()
         split = [self.keys(t) for t in texts]
-        whole = [i for i, k in enumerate(split) if k is None]
-        flat = [x for k in split if k for x in k]
-        at = np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))
+        spaced = pc.split_pattern(pa.array([k for k in split if isinstance(k, str)], pa.large_string()), " ")
+        pieces = spaced.flatten().dictionary_encode()
+        lists = [k for k in split if isinstance(k, list)]
+        # numbers of the pieces of spaced texts, then of listed ones
+        at = np.concatenate((self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()], self._numbers([x for k in lists for x in k])))
+        ends, more = spaced.offsets.to_numpy().astype(np.int64), len(pieces) + np.concatenate(([0], np.cumsum([len(k) for k in lists], dtype=np.int64)))
         if self.places.new:
             self._learn()
-        each = self.size[at]
-        ends = np.cumsum(each)
-        ids = self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[at] - (ends - each), each)]
-        upto = np.concatenate(([0], ends))[np.cumsum([len(k or ()) for k in split])]
-        if whole:
-            got = {i: np.frombuffer(x, self.kind) for i, x in zip(whole, self._direct([texts[i] for i in whole]), strict=True)}
-            ids = np.concatenate([got[i] if i in got else ids[a:b] for i, (a, b) in enumerate(zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True))])
-            sizes = np.diff(np.concatenate(([0], upto)))
-            sizes[whole] = [len(got[i]) for i in whole]
-            upto = np.cumsum(sizes)
-        ids = np.insert(ids, upto, self.end_id)
-        return ids, np.diff(np.concatenate(([0], upto))) + 1
+        ids, upto = self._gathered(at)
+        upto = np.concatenate(([0], upto))
+        first, then = [np.array([upto[x[:-1]], upto[x[1:]]]).T.tolist() for x in (ends, more)]
+        whole = iter(self._direct([t for t, k in zip(texts, split, strict=True) if k is None]))
+        spans, listed, end, out = iter(first), iter(then), np.array([self.end_id], self.kind), []
+        for k in split:
+            if k is None:
+                out.append(np.frombuffer(next(whole), self.kind))
+            else:
+                a, b = next(spans if isinstance(k, str) else listed)
+                out.append(ids[a:b])
+            out.append(end)
+        return np.concatenate(out), np.fromiter(map(len, out[::2]), np.int64, len(texts)) + 1
 
 
 def encoder(path: str, width: int, end_id: int) -> Encoder:
