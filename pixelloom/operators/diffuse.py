@@ -223,14 +223,24 @@ def to_tiles(pixels: DataFrame, tile: int = 256) -> DataFrame:
     return keyed.groupBy("image", "tx", "ty").applyInPandas(pack, "image long, tx long, ty long, px binary")
 
 
-def error_diffusion(pixels: DataFrame, levels: int = 2, kernel: str = "floyd_steinberg", palette=None, serpentine: bool = False, grayscale: bool = False, dither_alpha: bool = True, tile: int = 256, palette_mode: str = "strict") -> DataFrame:
-    """pixels (image, gx, gy, r, g, b, a) with diffused colours. palette_mode: strict, guided, mixed or simple."""
+def error_diffusion(pixels: DataFrame, levels: int = 2, kernel: str = "floyd_steinberg", palette=None, serpentine: bool = False, grayscale: bool = False, dither_alpha: bool = True, tile: int = 256, palette_mode: str = "strict", pixel_size: int = 1) -> DataFrame:
+    """pixels (image, gx, gy, r, g, b, a) with diffused colours. palette_mode: strict, guided, mixed or simple.
+
+    pixel_size: blocks of so many pixels take the result of their first pixel, by row, then column, and error goes from
+    block to block; a tile then is of so many blocks. Images don't wait for each other: a step of the wavefront is a
+    diagonal counted from each image's own first tile.
+    """
+    if pixel_size > 1:
+        how = dict(levels=levels, kernel=kernel, palette=palette, serpentine=serpentine, grayscale=grayscale, dither_alpha=dither_alpha, tile=tile, palette_mode=palette_mode)
+        return _by_blocks(pixels, pixel_size, how)
     spark = pixels.sparkSession
     quantise = MODES[palette_mode](palette) if palette else Uniform(levels)
     path = scratch(spark, "wavefront")
     to_tiles(pixels, tile).write.parquet(f"{path}/tiles")
     tiles = spark.read.parquet(f"{path}/tiles")
-    last = tiles.agg(F.max(F.col("tx") + F.col("ty")).alias("m")).first()["m"]
+    origin = tiles.groupBy("image").agg(F.min("tx").alias("x0"), F.min("ty").alias("y0"))
+    tiles = tiles.join(origin, "image").withColumn("step", F.col("tx") - F.col("x0") + F.col("ty") - F.col("y0")).drop("x0", "y0")
+    last = tiles.agg(F.max("step").alias("m")).first()["m"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         load = lambda raw, *shape: None if raw is None else np.frombuffer(raw, float).reshape(*shape)
@@ -242,7 +252,7 @@ def error_diffusion(pixels: DataFrame, levels: int = 2, kernel: str = "floyd_ste
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _TILE.split(", ")])
 
     for d in range((-1 if last is None else last) + 1):
-        now = tiles.where(F.col("tx") + F.col("ty") == d)
+        now = tiles.where(F.col("step") == d).drop("step")
         # the tiles of the two diagonals before, each for the neighbour that it spills into
         before = spark.read.schema(_TILE + ", d int").parquet(f"{path}/done").where(F.col("d").isin(d - 1, d - 2)) if d else spark.createDataFrame([], _TILE)
         for name, column, dx, dy in (("left", "right", 1, 0), ("top", "bottom", 0, 1), ("diag", "corner", 1, 1)):
@@ -264,6 +274,16 @@ def error_diffusion(pixels: DataFrame, levels: int = 2, kernel: str = "floyd_ste
     return full.join(pixels.select(F.col("image").cast("long").alias("image"), "gx", "gy"), ["image", "gx", "gy"], "left_semi")
 
 
+def _by_blocks(pixels: DataFrame, size: int, how: dict) -> DataFrame:
+    """Diffusion of one pixel a block, and its colour for all of the block; without dither_alpha each pixel keeps its alpha."""
+    placed = pixels.select(F.col("image").cast("long").alias("image"), "gx", "gy", *"rgba", F.floor(F.col("gx") / size).cast("int").alias("bx"), F.floor(F.col("gy") / size).cast("int").alias("by"))
+    first = placed.groupBy("image", "bx", "by").agg(F.min_by(F.struct(*"rgba"), F.struct("gy", "gx")).alias("v"))
+    done = error_diffusion(first.select("image", F.col("bx").alias("gx"), F.col("by").alias("gy"), "v.*"), **how)
+    done = done.select("image", F.col("gx").alias("bx"), F.col("gy").alias("by"), *(F.col(c).alias(f"d_{c}") for c in "rgba"))
+    alpha = F.col("d_a") if how["dither_alpha"] else F.col("a")
+    return placed.join(done, ["image", "bx", "by"]).select("image", "gx", "gy", *(F.col(f"d_{c}").alias(c) for c in "rgb"), alpha.alias("a"))
+
+
 def palette_diffusion(pixels: DataFrame, palette, kernel: str = "floyd_steinberg", tile: int = 256, halo: int = 2) -> DataFrame:
     """pixels (image, gx, gy, r, g, b, a) in palette colours, error passed on in Oklab; alpha stays.
 

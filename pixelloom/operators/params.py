@@ -49,3 +49,24 @@ def updated(kind: str, old: dict[str, Column], json: Column) -> dict[str, Column
     empty = F.size(F.json_object_keys(json)) == 0
     rest = lambda n: old[n] if kind == "adjust" else F.when(empty, old[n]).otherwise(F.lit(DEFAULTS.get(kind, {}).get(n, 0.0)))
     return {n: F.coalesce(loose[n], rest(n)) for n in names}
+
+
+# The version in which each kind of filter, and each mode of a dither, first was there.
+SINCE = {"curves": "0.1.0", "levels": "0.1.0", "dither": "0.1.0", "palette_quantize": "0.1.0", "glitch": "0.1.0", "placeholder": "0.1.0", "glow": "0.1.0", "crt": "0.1.0", "adjust": "0.2.0"}
+MODES_SINCE = {m: "0.1.0" for m in ("bayer2", "bayer4", "bayer8", "map", "wave", "halftone", "floyd_steinberg", "atkinson", "jarvis_judice_ninke", "stucki", "burkes", "sierra")}
+
+
+def version(text: Column) -> Column:
+    """(major, minor, patch) of a text like 1.2.3, which compare as versions do; null for any other text."""
+    part = lambda k: F.split(text, r"\.")[k].cast("int")
+    return F.when(text.rlike(r"^[0-9]{1,9}\.[0-9]{1,9}\.[0-9]{1,9}$"), F.struct(part(0).alias("major"), part(1).alias("minor"), part(2).alias("patch")))
+
+
+def min_versions(filters: DataFrame, keys: list[str], current: str) -> DataFrame:
+    """keys, needs: the least version that knows all of a key's filters (kind, mode); a kind, or a dither's mode, of no known
+    version needs the current one."""
+    since = lambda table, c: F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[F.col(c)], F.lit(current))
+    mode = F.when((F.col("kind") == "dither") & F.col("mode").isNotNull(), version(since(MODES_SINCE, "mode")))
+    best = F.max(F.greatest(version(since(SINCE, "kind")), mode))
+    text = lambda v: F.concat_ws(".", *(v[x].cast("string") for x in ("major", "minor", "patch")))
+    return filters.groupBy(*keys).agg(best.alias("v")).select(*keys, text(F.col("v")).alias("needs"))

@@ -10,12 +10,28 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pixelloom.functions.color import BLEND_MODES
-from pixelloom.operators import compose, ordered, point
+from pixelloom.operators import compose, ordered, point, tiles
 from pixelloom.operators.compose import Layer as Laid
 
-#: Filters of single pixels by kind. Others are added with register(), which takes any function of pixels and parameters.
+
+def _by_tile(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stencil over tiles as a filter of an image's pixels, from (0, 0) to the largest gx and gy; other columns are kept."""
+
+    def run(pixels: DataFrame, **params) -> DataFrame:
+        size = pixels.agg(F.max("gx").alias("x"), F.max("gy").alias("y")).first()
+        if size["x"] is None:
+            return pixels
+        width, height = size["x"] + 1, size["y"] + 1
+        found = tiles.core(f(tiles.decompose(pixels, width, height), **params), width, height)
+        return pixels.drop(*"rgba").join(found, ["gx", "gy"]).select(*pixels.columns)
+
+    return run
+
+
+#: Filters by kind. Others are added with register(), which takes any function of pixels and parameters.
 FILTERS: dict[str, Callable[..., DataFrame]] = {
     "curves": point.curves,
     "levels": point.levels,
@@ -25,6 +41,11 @@ FILTERS: dict[str, Callable[..., DataFrame]] = {
     "placeholder": lambda pixels: pixels,
     "halftone": ordered.halftone,
     "palette_quantize": ordered.lut_nearest,
+    "blur": _by_tile(tiles.blur),
+    "unsharp": _by_tile(tiles.unsharp),
+    "glow": _by_tile(tiles.glow),
+    "glitch": _by_tile(tiles.glitch_shift),
+    "glitch_blocks": _by_tile(tiles.glitch_blocks),
     "dither": lambda pixels, **p: ordered.dither(pixels, ordered.Dither(**p)),
 }
 #: New ones of these go to the end of a list, where they run first.
@@ -147,6 +168,22 @@ def update_filter(nodes, id: int, at: int, params: Mapping) -> tuple[Node, ...]:
     return edit(nodes, id, change)
 
 
+def remove_filter(nodes, id: int, at: int) -> tuple[Node, ...]:
+    """Without the filter at this place; a place that there is not changes nothing."""
+    return edit(nodes, id, lambda n: replace(n, filters=tuple(f for i, f in enumerate(n.filters) if i != at)))
+
+
+def move_filter(nodes, id: int, at: int, to: int) -> tuple[Node, ...]:
+    """The filter at a place goes to another; beyond the end it goes last."""
+
+    def change(n: Node) -> Node:
+        rest = [f for i, f in enumerate(n.filters) if i != at]
+        rest.insert(min(to, len(rest)), n.filters[at])
+        return replace(n, filters=tuple(rest))
+
+    return edit(nodes, id, change)
+
+
 def uses_palette(f: Filter, palette) -> bool:
     return f.params.get("palette") == palette
 

@@ -466,6 +466,13 @@ def _serpentine(spark, d):
     return out(error_diffusion(event_raster(spark, d).withColumn("image", F.floor(F.col("gy") / 64)), levels=4, kernel="stucki", serpentine=True, tile=64).drop("image"))
 
 
+@query("ed9_mega_pixels")
+def _mega_pixels(spark, d):
+    from pixelloom.operators.diffuse import error_diffusion
+
+    return out(error_diffusion(event_raster(spark, d).withColumn("image", F.floor(F.col("gy") / 64)), levels=4, tile=64, pixel_size=4).drop("image"))
+
+
 @query("ed8_grayscale_diffusion")
 def _gray_diffusion(spark, d):
     from pixelloom.operators.diffuse import error_diffusion

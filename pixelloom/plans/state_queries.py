@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color as C
-from pixelloom.operators import diffuse, palettes
+from pixelloom.operators import diffuse, palettes, params
 from pixelloom.plans import raster_sql as S
 from pixelloom.plans import viewport
 from pixelloom.plans.running import running_sum
 from pixelloom.sources import palette_files, rasters
+from pixelloom.sources.presets import PRESETS
 from pixelloom.sources.rasters import PALETTE5, event_raster, table
 from pixelloom.streaming import changes
 
@@ -135,17 +136,13 @@ def _limits(spark, d):
     return event_colors(spark, d).groupBy("name").agg(F.count("*").alias("n"), F.count("*").between(1, palette_files.MOST).alias("fits"), F.round(F.avg(C.srgb_to_linear(F.col("r"))), 6).alias("red"))
 
 
-# Palettes of public standards, in bytes: the eight colours of early terminals, and four greys.
-PRESETS = {"rgb3": [(r, g, b) for r in (0, 255) for g in (0, 255) for b in (0, 255)], "grey4": [(v, v, v) for v in (0, 85, 170, 255)]}
-
-
-@query("src14_presets", f"WITH {S.E}, k(id, i, kr, kg, kb) AS (VALUES {', '.join(f"('{n}', {i}, {c[0]}, {c[1]}, {c[2]})" for n, cs in PRESETS.items() for i, c in enumerate(cs))}), n AS (SELECT gx, gy, id, i, row_number() OVER (PARTITION BY gx, gy, id ORDER BY pow(r * 255 - kr, 2) + pow(g * 255 - kg, 2) + pow(b * 255 - kb, 2), i) AS n FROM p, k) SELECT id, i::INT AS i, count(*)::BIGINT AS pixels FROM n WHERE n = 1 GROUP BY id, i")
+@query("src14_presets", f"WITH {S.E}, k(id, i, kr, kg, kb) AS (VALUES {', '.join(f"('{n}', {i}, {c[0]}, {c[1]}, {c[2]})" for p in PRESETS for n in [p.id] for i, c in enumerate(p.colors))}), n AS (SELECT gx, gy, id, i, row_number() OVER (PARTITION BY gx, gy, id ORDER BY pow(r * 255 - kr, 2) + pow(g * 255 - kg, 2) + pow(b * 255 - kb, 2), i) AS n FROM p, k) SELECT id, i::INT AS i, count(*)::BIGINT AS pixels FROM n WHERE n = 1 GROUP BY id, i")
 def _presets(spark, d):
     """Pixels by nearest colour of each preset."""
     p, found = event_raster(spark, d), None
-    for name, colors in PRESETS.items():
-        near = C.nearest(C.palette_literal(colors), [F.col(c) * 255.0 for c in RGB])
-        one = p.select(F.lit(name).alias("id"), F.element_at(near, 1)["i"].alias("i"))
+    for preset in PRESETS:
+        near = C.nearest(C.palette_literal(preset.colors), [F.col(c) * 255.0 for c in RGB])
+        one = p.select(F.lit(preset.id).alias("id"), F.element_at(near, 1)["i"].alias("i"))
         found = one if found is None else found.unionByName(one)
     return found.groupBy("id", "i").agg(F.count("*").alias("pixels"))
 
@@ -435,6 +432,31 @@ def _invalidation(spark, d):
     return changes.stale(tile_events(spark, d).select(*_KEY, "stage"), change_events(spark, d))
 
 
+@query("st5_structure", f"WITH {TILES} SELECT DISTINCT doc, layer, tx, ty, stage FROM t WHERE stage = 'composite' AND EXISTS (SELECT 1 FROM events WHERE event_type = 'purchase' AND value > 95)")
+def _structure(spark, d):
+    e = table(spark, d, "events").where("event_type = 'purchase' AND value > 95")
+    return changes.structure_stale(tile_events(spark, d), e.select(F.lit("structure").alias("kind")))
+
+
+@query("st6_palette_cascade", f"WITH {TILES}, l AS (SELECT DISTINCT e.user_id % 3 AS doc, e.user_id % 5 AS layer FROM events e WHERE EXISTS (SELECT 1 FROM events c WHERE c.event_type = 'click' AND c.user_id % 20 = 0 AND c.user_id % 3 = e.user_id % 3 AND c.user_id % 7 = e.user_id % 7)) SELECT DISTINCT doc, layer, tx, ty, stage FROM t WHERE (stage = 'processed' AND EXISTS (SELECT 1 FROM l WHERE l.doc = t.doc AND l.layer = t.layer)) OR (stage = 'composite' AND EXISTS (SELECT 1 FROM l WHERE l.doc = t.doc))")
+def _palette_cascade(spark, d):
+    """Tiles that changes of palettes make stale: the clicks of every twentieth user change one of seven palettes."""
+    doc, palette = (F.col("user_id") % 3).alias("doc"), (F.col("user_id") % 7).alias("palette")
+    e = table(spark, d, "events")
+    changed = e.where("event_type = 'click' AND user_id % 20 = 0").select(doc, palette)
+    return changes.stale(tile_events(spark, d).select(*_KEY, "stage"), changes.palette_changes(changed, e.select(doc, (F.col("user_id") % 5).alias("layer"), palette)))
+
+
+_KINDS = "['curves', 'levels', 'dither', 'glow', 'crt', 'adjust', 'warp']"
+
+
+@query("ag14_min_version", f"WITH f AS (SELECT user_id, {_KINDS}[event_id % 7 + 1] AS kind, CASE WHEN event_id % 13 = 0 THEN 'spiral' ELSE 'wave' END AS mode FROM events) SELECT user_id, CASE max(CASE WHEN kind = 'warp' OR (kind = 'dither' AND mode = 'spiral') THEN 2 WHEN kind = 'adjust' THEN 1 ELSE 0 END) WHEN 2 THEN '0.10.0' WHEN 1 THEN '0.2.0' ELSE '0.1.0' END AS needs FROM f GROUP BY user_id")
+def _min_version(spark, d):
+    kind = F.expr(f"array({_KINDS[1:-1]})[int(event_id % 7)]")
+    mode = F.when(F.col("event_id") % 13 == 0, "spiral").otherwise("wave")
+    return params.min_versions(table(spark, d, "events").select("user_id", kind.alias("kind"), mode.alias("mode")), ["user_id"], "0.10.0")
+
+
 @query("st7_coalesced", "SELECT user_id % 3 AS doc, event_id // 50 AS period, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)::INT AS clear, arg_max(user_id % 5, event_id) AS layer, count(*)::BIGINT AS requests FROM events GROUP BY ALL")
 def _coalesced(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 3).alias("doc"), F.floor(F.col("event_id") / 50).alias("period"), (F.col("event_type") == "purchase").alias("clear"), (F.col("user_id") % 5).alias("layer"), F.col("event_id").alias("at"))

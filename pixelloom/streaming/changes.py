@@ -30,6 +30,19 @@ def stale(tiles: DataFrame, changes: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def structure_stale(tiles: DataFrame, changes: DataFrame) -> DataFrame:
+    """All distinct composites of every document if any change adds, removes or moves a layer (kind structure), else none."""
+    any_change = F.broadcast(changes.where("kind = 'structure'").select(F.lit(1).alias("__any")).limit(1))
+    hit = tiles.where("stage = 'composite'").withColumn("__any", F.lit(1)).join(any_change, "__any", "left_semi")
+    return hit.select("doc", "layer", "tx", "ty", "stage").distinct()
+
+
+def palette_changes(changed: DataFrame, references: DataFrame) -> DataFrame:
+    """Changed palettes (doc, palette) as filter changes (doc, layer, kind) of the layers that refer to them (doc, layer, palette)."""
+    layers = references.join(changed.select("doc", "palette").distinct(), ["doc", "palette"], "left_semi")
+    return layers.select("doc", "layer").distinct().select("doc", "layer", F.lit(None).cast("long").alias("tx"), F.lit(None).cast("long").alias("ty"), F.lit("filter").alias("kind"))
+
+
 def newest(rows: DataFrame, keys: list[str], version: str = "generation") -> DataFrame:
     """Of each key the row of the newest version; of equal versions the one with the largest values."""
     rest = [c for c in rows.columns if c not in keys]

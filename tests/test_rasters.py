@@ -324,3 +324,63 @@ def test_harmonies(spark, rule):
             assert np.allclose(turn, [0] if n == 1 else [np.pi / 6 * (2 * i / (n - 1) - 1) for i in range(n)], atol=1e-3)
         if rule == "split":
             assert np.allclose(np.abs(turn[:3]), [0, np.pi - 0.5, np.pi - 0.5], atol=1e-3)
+
+
+def test_presets_and_threshold_maps(spark):
+    import struct
+    import zlib
+
+    from pixelloom.sources.images import ImageError
+    from pixelloom.sources.presets import PRESETS, find_preset, preset_colors, threshold_map
+
+    assert len(PRESETS) == len({p.id for p in PRESETS}) == 10 and find_preset("none") is None
+    assert find_preset("amstrad_cpc").colors[3] == (128, 0, 0) and find_preset("pico_8").colors[1] == (0x1D, 0x2B, 0x53)
+    assert preset_colors(spark).count() == sum(len(p.colors) for p in PRESETS)
+
+    def grey(depth, width, height, body):
+        chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+    rows = threshold_map(grey(8, 2, 2, bytes([0, 0, 51, 0, 102, 255])))
+    assert np.allclose(rows, [[0, 0.2], [0.4, 1]])
+    assert threshold_map(grey(1, 3, 1, bytes([0, 0b10100000]))) == ((1.0, 0.0, 1.0),)
+    px, df = image(spark)
+    got = grid(ordered.dither(df, ordered.Dither(mode="map", levels=2, threshold_map=rows, dither_alpha=False)), 20, 13)
+    t = np.array(rows)[np.arange(13)[:, None] % 2, np.arange(20)[None] % 2]
+    assert np.array_equal(got[..., 0], np.clip(np.floor(px[..., 0] + t - 0.5 + 0.5), 0, 1))
+    for bad in (b"", encode_png(np.zeros((2, 2, 4), np.uint8)), grey(8, 4097, 1, b"")):
+        with pytest.raises(ImageError):
+            threshold_map(bad)
+
+
+@pytest.mark.parametrize("alpha", [True, False])
+def test_diffusion_of_mega_pixels(spark, alpha):
+    px, df = image(spark, 11, 8)
+    got = grid(error_diffusion(df.withColumn("image", F.lit(2)), levels=3, tile=8, pixel_size=3, dither_alpha=alpha), 11, 8)
+    small = np.zeros((8, 8, 4))
+    small[:3, :4] = px[::3, ::3]
+    want, *_ = diffuse_tile(small, 0, Uniform(3), "floyd_steinberg", dither_alpha=alpha, core=8)
+    want = want[np.arange(8)[:, None] // 3, np.arange(11)[None] // 3].copy()
+    if not alpha:
+        want[..., 3] = px[..., 3]
+    assert np.allclose(got, want)
+
+
+def test_images_do_not_wait_for_each_other(spark):
+    px, df = image(spark, 16, 32)
+    got = grid(error_diffusion(df.withColumn("image", F.floor(F.col("gy") / 8)), levels=3, tile=8), 16, 32)
+    for band in range(4):
+        one = grid(error_diffusion(df.where(F.floor(F.col("gy") / 8) == band).withColumn("image", F.lit(0)), levels=3, tile=8), 16, 32)
+        assert np.array_equal(got[band * 8 : band * 8 + 8], one[band * 8 : band * 8 + 8])
+
+
+def test_stencils_in_a_stack_and_moved_filters(spark):
+    from pixelloom.plans import document as doc
+
+    _, df = image(spark)
+    stack = [doc.Filter("glow", {"threshold": 0.4, "radius": 1.0, "intensity": 0.5}), doc.Filter("adjust", {"brightness": 0.1})]
+    want = tiles.core(tiles.glow(tiles.decompose(point.adjust(df, brightness=0.1), 20, 13), 0.4, 1.0, 0.5), 20, 13)
+    assert np.allclose(grid(doc.apply_filters(df, stack), 20, 13), grid(want, 20, 13))
+    nodes = (doc.Node(1, filters=tuple(stack)),)
+    assert [f.kind for f in doc.move_filter(nodes, 1, 0, 9)[0].filters] == ["adjust", "glow"]
+    assert [f.kind for f in doc.remove_filter(nodes, 1, 0)[0].filters] == ["adjust"]
