@@ -380,12 +380,13 @@ def test_simhash_search_loses_no_link(spark, monkeypatch, distance, limit):
     assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps, distance)
 
 
-@pytest.mark.parametrize("most", [8, 1])
-def test_near_copies_are_counted(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, block", [(8, 2048), (2, 7), (1, 3)])
+def test_near_copies_are_counted(spark, monkeypatch, most, block):
     from pixelloom.llm import jaccard
     from pixelloom.llm.simhash import one_per_group
 
     monkeypatch.setattr(jaccard, "NEXT", most)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = np.random.default_rng(3)
     some = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
     rows = []
