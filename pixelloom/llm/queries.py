@@ -79,8 +79,14 @@ def op6_sentencepiece(spark, sf_dir):
     return encoded(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_whitening(spark, sf_dir):
+    from pixelloom.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"), k=4)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op4_decontamination, op5_quality, op6_sentencepiece, op7_warc, op8_secrets, op9_simhash, op10_lm_score)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op4_decontamination, op5_quality, op6_sentencepiece, op7_warc, op8_secrets, op9_simhash, op10_lm_score, op11_whitening)}
 
 
 OP1 = """
