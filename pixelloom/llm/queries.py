@@ -85,8 +85,21 @@ def op11_whitening(spark, sf_dir):
     return whitened(table(spark, sf_dir, "embeddings"), k=4)
 
 
+def relabelled(vectors: DataFrame) -> DataFrame:
+    """Where vec_id is divisible by 7, label is (label + 1) % 10."""
+    label = F.col("label").cast("long")
+    return vectors.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    from pixelloom.llm.hardneg import hard_negatives
+
+    vectors = relabelled(table(spark, sf_dir, "embeddings"))
+    return hard_negatives(vectors, vectors.where(F.col("vec_id") % 100 == 0), k_positive=5, k_negative=5, share=(4, 5))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op4_decontamination, op5_quality, op6_sentencepiece, op7_warc, op8_secrets, op9_simhash, op10_lm_score, op11_whitening)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op4_decontamination, op5_quality, op6_sentencepiece, op7_warc, op8_secrets, op9_simhash, op10_lm_score, op11_whitening, op12_hard_negatives)}
 
 
 OP1 = """
@@ -120,6 +133,20 @@ SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_diges
 FROM p LEFT JOIN g ON p.h = g.h
 """
 
+OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 
 def oracle_sql():
-    return {"op1_exact_topk": OP1, "op2_line_dedup": OP2, "op7_warc": OP7}
+    return {"op1_exact_topk": OP1, "op2_line_dedup": OP2, "op7_warc": OP7, "op12_hard_negatives": OP12}
