@@ -98,8 +98,14 @@ def op12_hard_negatives(spark, sf_dir):
     return hard_negatives(vectors, vectors.where(F.col("vec_id") % 100 == 0), k_positive=5, k_negative=5, share=(4, 5))
 
 
+def op13_vector_near_dedup(spark, sf_dir):
+    from pixelloom.llm.vectordup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op4_decontamination, op5_quality, op6_sentencepiece, op7_warc, op8_secrets, op9_simhash, op10_lm_score, op11_whitening, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_line_dedup, op3_token_store, op4_decontamination, op5_quality, op6_sentencepiece, op7_warc, op8_secrets, op9_simhash, op10_lm_score, op11_whitening, op12_hard_negatives, op13_vector_near_dedup)}
 
 
 OP1 = """
@@ -147,6 +153,17 @@ n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
 SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """
 
+OP13 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n USING (a)
+"""
+
 
 def oracle_sql():
-    return {"op1_exact_topk": OP1, "op2_line_dedup": OP2, "op7_warc": OP7, "op12_hard_negatives": OP12}
+    return {"op1_exact_topk": OP1, "op2_line_dedup": OP2, "op7_warc": OP7, "op12_hard_negatives": OP12, "op13_vector_near_dedup": OP13}
