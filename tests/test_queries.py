@@ -6,10 +6,10 @@ import pytest
 
 from tests.conftest import DATA
 
-from pixelloom.plans import raster_queries, state_queries
+from pixelloom.plans import raster_queries, shape_queries, state_queries
 
-QUERIES = {**raster_queries.QUERIES, **state_queries.QUERIES}
-SQL = {**raster_queries.SQL, **state_queries.SQL}
+QUERIES = {**raster_queries.QUERIES, **state_queries.QUERIES, **shape_queries.QUERIES}
+SQL = {**raster_queries.SQL, **state_queries.SQL, **shape_queries.SQL}
 
 
 def plain(v):
