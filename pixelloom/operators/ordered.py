@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions.color import clamp, cmyk_to_rgb, linear_to_oklab, linear_to_srgb, luma, lut_snap, nearest, num, oklab_of, palette_literal, rgb_to_cmyk, rounded
 from pixelloom.functions.color import byte_of
 from pixelloom.functions.grid import aligned, ediv, emod, fmod_floor
+from pixelloom.operators import palette_table
 from pixelloom.operators.point import RGB, columns, set_rgb
 
 # The published Bayer matrices; the 8 x 8 one follows from these two.
@@ -114,6 +115,10 @@ def pick_simple(palette, at: Sequence[Column]) -> list[Column]:
 def lut_nearest(pixels: DataFrame, palette: Sequence[Sequence[float]]) -> DataFrame:
     """Each pixel's nearest palette colour in Oklab, by the centre of its lookup cell; alpha stays."""
     placed = with_lab(pixels, columns(*RGB))
+    if len(palette) > palette_table.FEW:  # one lookup a pixel, whatever the palette's size
+        table = palette_table.cells(pixels.sparkSession, palette).select(F.col("cell").alias("__cell"), *(F.col(c).alias(f"__{c}") for c in RGB))
+        near = placed.withColumn("__cell", palette_table.cell_number(columns(*LAB))).join(F.broadcast(table), "__cell")
+        return set_rgb(near, [F.col(f"__{c}") for c in RGB]).select(*pixels.columns)
     placed = placed.withColumns(dict(zip(LAB, lut_snap(columns(*LAB)), strict=True)))
     near = placed.withColumn("__i", F.element_at(nearest(palette_literal([oklab_of(c) for c in palette]), columns(*LAB)), 1)["i"])
     return set_rgb(near, entry(palette, F.col("__i"))).drop(*LAB, "__i")

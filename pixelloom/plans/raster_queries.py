@@ -166,7 +166,13 @@ on_events("od10_grayscale", lambda p: ordered.dither(p, ordered.Dither(mode="bay
 on_events("od15_alpha_kept", lambda p: ordered.dither(p, ordered.Dither(mode="bayer4", levels=4, dither_alpha=False)), f"{S.rows(*(f'CASE WHEN a <= 0 THEN 0{D} ELSE {S.quantise(c, S.bayer4("gx", "gy"), 4)} END' for c in RGB))}")
 
 _PAL_LAB = [C.oklab_of(c) for c in PALETTE5]
-_LABS = f"lab(i, x, y, z) AS (VALUES {', '.join(f'({i}, {S.n(x)}, {S.n(y)}, {S.n(z)})' for i, (x, y, z) in enumerate(_PAL_LAB))})"
+
+
+def _labs(palette) -> str:
+    return f"lab(i, x, y, z) AS (VALUES {', '.join(f'({i}, {S.n(x)}, {S.n(y)}, {S.n(z)})' for i, (x, y, z) in enumerate(C.oklab_of(c) for c in palette))})"
+
+
+_LABS = _labs(PALETTE5)
 
 
 def _strict_sql(rgb, source: str, scale: float) -> str:
@@ -204,13 +210,13 @@ k AS (SELECT gx, gy, m.a, t, pal.r, pal.g, pal.b, row_number() OVER (PARTITION B
 on_events("od14_palette_simple", lambda p: ordered.dither(p, ordered.Dither(palette=tuple(PALETTE5), palette_mode="simple", scale=0.9)), _simple_sql())
 
 
-def _lut_sql(raster: str) -> str:
+def _lut_sql(raster: str, palette=tuple(PALETTE5)) -> str:
     lab = S.oklab()
     snap = []
     for x, low, high in zip(lab, (0.0, -0.4, -0.4), (1.0, 0.4, 0.4), strict=True):
         t = S.clamp(f"({x} - {S.n(low)}) / {S.n(high - low)}", 0.0, 1 - 1.1920929e-07)
         snap.append(f"{S.n(low)} + (least(floor({t} * 64), 63) + {S.n(0.5)}) / 64 * {S.n(high - low)}")
-    return f"""WITH {raster}, {S.palette(PALETTE5)}, {_LABS}, c AS (SELECT gx, gy, a, {', '.join(f'{x} AS l{k}' for x, k in zip(snap, 'xyz', strict=True))} FROM p),
+    return f"""WITH {raster}, {S.palette(palette)}, {_labs(palette)}, c AS (SELECT gx, gy, a, {', '.join(f'{x} AS l{k}' for x, k in zip(snap, 'xyz', strict=True))} FROM p),
 k AS (SELECT gx, gy, a, i, row_number() OVER (PARTITION BY gx, gy ORDER BY (lx - x) * (lx - x) + (ly - y) * (ly - y) + (lz - z) * (lz - z), i) AS n FROM c, lab)
 """ + S.rows("pal.r", "pal.g", "pal.b", "k.a", source="k JOIN pal USING (i) WHERE n = 1")
 

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelloom.functions import color as C
+from pixelloom.operators.diffuse import KERNELS
+from pixelloom.operators.ordered import channel_ranges, guided_levels
+from pixelloom.plans import raster_queries as R
 from pixelloom.plans import raster_sql as S
-from pixelloom.sources.rasters import event_raster
+from pixelloom.sources.rasters import PALETTE5, event_raster, vector_raster
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +61,155 @@ def _contour(spark, d):
     light = F.when(F.col("colour") == 255, 0).otherwise(1)
     of = found.groupBy("region", light.alias("colour"), "loop", "hole", "area")
     return of.agg(F.sum("sides").alias("sides"), F.sum(F.size("points") / 2).cast("long").alias("corners"))
+
+
+# --- palettes by table --------------------------------------------------------------------------------------------------
+
+#: 256 colours: a cube of six levels a channel, and forty greys.
+PALETTE256 = [(r / 5, g / 5, b / 5) for r in range(6) for g in range(6) for b in range(6)] + [(v / 41, v / 41, v / 41) for v in range(1, 41)]
+
+
+@query("ed10_large_palette", R._lut_sql(S.V, PALETTE256))
+def _large_palette(spark, d):
+    from pixelloom.operators.ordered import lut_nearest
+
+    return R.out(lut_nearest(vector_raster(spark, d), PALETTE256))
+
+
+# --- error diffusion ----------------------------------------------------------------------------------------------------
+
+
+def _first_least(distances: list[str]) -> str:
+    """The place, from 1, of the first of the least."""
+    return f"list_position([{', '.join(distances)}], least({', '.join(distances)}))"
+
+
+def _between(v, points) -> list[str]:
+    return [" + ".join(f"({x} - {S.n(y)}) * ({x} - {S.n(y)})" for x, y in zip(v, p, strict=True)) for p in points]
+
+
+def _of_palette(place: str, palette) -> list[str]:
+    return [f"[{', '.join(S.n(c[k]) for c in palette)}][{place}]" for k in range(3)]
+
+
+# A pick is a list of layers over the values vr, vg, vb, each a {name: SQL} that may use the names before, and gives qr, qg,
+# qb and, where the error is counted in other units, owr, owg, owb.
+_Q, _V = ("qr", "qg", "qb"), ("vr", "vg", "vb")
+
+
+def _uniform(levels: int) -> list[dict]:
+    n = S.n(levels - 1)
+    return [{q: f"least(greatest(floor({v} * {n} + {S.n(0.5)}), 0), {n}) / {n}" for q, v in zip(_Q, _V, strict=True)}]
+
+
+def _nearest_of(at, points, result: dict) -> list[dict]:
+    return [{f"d{i}": x for i, x in enumerate(_between(at, points))}, {"place": _first_least([f"d{i}" for i in range(len(points))])}, {n: x for names, palette in result.items() for n, x in zip(names, _of_palette("place", palette), strict=True)}]
+
+
+def _lab(of) -> list[dict]:
+    return [dict(zip(("ox", "oy", "oz"), S.oklab(*of), strict=True))]
+
+
+def _strict() -> list[dict]:
+    snap = {s: f"{S.n(low)} + (least(floor({S.clamp(f'({x} - {S.n(low)}) / {S.n(high - low)}', 0.0, 1 - 1.1920929e-07)} * 64), 63) + {S.n(0.5)}) / 64 * {S.n(high - low)}" for s, x, low, high in zip(("sx", "sy", "sz"), ("ox", "oy", "oz"), (0.0, -0.4, -0.4), (1.0, 0.4, 0.4), strict=True)}
+    return [*_lab(_V), snap, *_nearest_of(("sx", "sy", "sz"), [C.oklab_of(c) for c in PALETTE5], {_Q: PALETTE5})]
+
+
+def _guided(names=_Q) -> list[dict]:
+    n = guided_levels(PALETTE5) - 1
+    ranges = channel_ranges(PALETTE5)
+    at = {f"at_{q}": f"{S.clamp(f'({v} - {S.n(low)}) / {S.n(high - low)}')} * {S.n(n)}" for q, v, (low, high) in zip(names, _V, ranges, strict=True)}
+    return [at, {q: f"{S.n(low)} + least(floor(at_{q}) + (CASE WHEN at_{q} - floor(at_{q}) > {S.n(0.5)} THEN 1 ELSE 0 END), {S.n(n)}) / {S.n(n)} * {S.n(high - low)}" for q, (low, high) in zip(names, ranges, strict=True)}]
+
+
+def _mixed() -> list[dict]:
+    return [*_guided(("gr", "gg", "gb")), *_lab(("gr", "gg", "gb")), *_nearest_of(("ox", "oy", "oz"), [C.oklab_of(c) for c in PALETTE5], {_Q: PALETTE5})]
+
+
+def _simple() -> list[dict]:
+    bytes_ = [[float(C.byte_of(x)) for x in c] for c in PALETTE5]
+    return _nearest_of(_V, bytes_, {_Q: PALETTE5, ("owr", "owg", "owb"): bytes_})
+
+
+def diffusion_sql(raster: str, pick: list[dict], kernel: str = "floyd_steinberg", image: str = "0", tile: int = 64, gray: bool = False, src=("r", "g", "b"), limits=((0.0, 1.0),) * 3, source: str = "p", result: str = "", serpentine: bool = False) -> str:
+    """Error diffusion by recursion over steps k, each of which needs a bounded number of those before it.
+
+    A step is a line of equal gx + 3 gy; with serpentine, a pixel of each tile of a row, a tile a row's length after its
+    left neighbour. Sums go by tile first (left, above, across the corner, its own), then in the order in which pixels are
+    worked on, so that they round alike; what spills to the left out of a tile is dropped. Tiles are worked on whole, black
+    where there is no pixel.
+    """
+    total, taps = KERNELS[kernel]
+    taps = sorted(taps, key=lambda t: (-t[1], -t[0]) if serpentine else (-t[0] - 3 * t[1], t[1]))
+    value = [S.luma()] * 3 if gray else list(src)
+    k, keep = "gx + 3 * gy", "k > cur - 8"
+    if serpentine:
+        k = f"gy * {tile} + (CASE WHEN gy % 2 = 0 THEN gx % {tile} ELSE {tile - 1} - gx % {tile} END) + gx // {tile} * {tile}"
+        keep = f"(k > cur - {2 * tile + 3} OR k > cur - {4 * tile} AND gx % {tile} >= {tile - 2})"
+    turn = lambda dy: f" * (CASE WHEN (p.gy - {dy}) % 2 = 0 THEN 1 ELSE -1 END)" if serpentine else ""
+    joins = " ".join(f"LEFT JOIN e AS s{i} ON s{i}.gx = p.gx - ({dx}){turn(dy)} AND s{i}.gy = p.gy - {dy} AND s{i}.image = p.image" for i, (dx, dy, _) in enumerate(taps))
+
+    def spilled(c: str) -> str:
+        part = lambda i, w, x, y: f"(CASE WHEN s{i}.tx = p.tx - {x} AND s{i}.ty = p.ty - {y} THEN s{i}.d{c} * {S.n(w / total)} ELSE 0{R.D} END)"
+        around = [" + ".join(part(i, w, x, y) for i, (_, _, w) in enumerate(taps)) for x, y in ((1, 0), (0, 1), (1, 1))]
+        found = f"((({around[0]}) + ({around[1]})) + ({around[2]}))"
+        for i, (_, _, w) in enumerate(taps):
+            found = f"({found} + {part(i, w, 0, 0)})"
+        return found
+
+    rows = f"(SELECT p.*, {', '.join(f'{S.clamp(f"p.s{c} + {spilled(c)}", *limit)} AS v{c}' for c, limit in zip('rgb', limits, strict=True))} FROM (SELECT * FROM z WHERE k = (SELECT max(cur) + 1 FROM e)) p {joins})"
+    for layer in pick:
+        rows = f"(SELECT *, {', '.join(f'{x} AS {name}' for name, x in layer.items())} FROM {rows})"
+    own = ("owr", "owg", "owb") if "owr" in pick[-1] else _Q
+    passed = [S.luma(*own)] * 3 if gray else own
+    columns = "gx, gy, image, tx, ty, k, qr, qg, qb"
+    return f"""WITH RECURSIVE {raster.removeprefix('WITH ')},
+grid AS (SELECT x::INT AS gx, y::INT AS gy FROM (SELECT unnest(range((max(gx) // {tile} + 1) * {tile})) AS x FROM {source}), (SELECT unnest(range(max(gy) + 1)) AS y FROM {source})),
+z AS MATERIALIZED (SELECT gx, gy, a, {image} AS image, gx // {tile} AS tx, gy // {tile} AS ty, {k} AS k, {', '.join(f'coalesce({x}, 0) AS s{c}' for x, c in zip(value, 'rgb', strict=True))} FROM grid LEFT JOIN {source} USING (gx, gy)),
+e(cur, fresh, {columns}, dr, dg, db) AS (
+  SELECT min(k) - 1, false, -9, -9, -9, -9, -9, min(k) - 1, 0{R.D}, 0{R.D}, 0{R.D}, 0{R.D}, 0{R.D}, 0{R.D} FROM z
+  UNION ALL (SELECT k, true, {columns}, {', '.join(f'v{c} - {x}' for c, x in zip('rgb', passed, strict=True))} FROM {rows}
+  UNION ALL SELECT cur + 1, false, {columns}, dr, dg, db FROM e WHERE {keep}))
+""" + (result or f"SELECT gx, gy, {_DITHERED} FROM e JOIN z USING (gx, gy) WHERE fresh AND a IS NOT NULL")
+
+
+_DITHERED = ", ".join(f"round(CASE WHEN z.a > 0.5 THEN q{c} ELSE 0{R.D} END, 6) AS {c}" for c in "rgb") + f", CASE WHEN z.a > 0.5 THEN 1{R.D} ELSE 0{R.D} END AS a"
+_BANDS = "gy // 64"
+_BYTES = [f"({S.to_srgb(c)}){R.D}" for c in "rgb"]
+SQL["ed2_error_diffusion"] = diffusion_sql(S.E, _uniform(4))
+SQL["ed7_strict_diffusion"] = diffusion_sql(S.V, _strict(), image=_BANDS)
+SQL["ed7_guided_diffusion"] = diffusion_sql(S.V, _guided(), image=_BANDS)
+SQL["ed7_mixed_diffusion"] = diffusion_sql(S.V, _mixed(), image=_BANDS)
+SQL["ed7_simple_diffusion"] = diffusion_sql(S.V, _simple(), image=_BANDS, src=_BYTES, limits=((0.0, 255.0),) * 3)
+SQL["ed8_grayscale_diffusion"] = diffusion_sql(S.E, _uniform(3), kernel="sierra", image=_BANDS, gray=True)
+SQL["ed3_serpentine"] = diffusion_sql(S.E, _uniform(4), kernel="stucki", image=_BANDS, serpentine=True)
+# A block takes the result of its first pixel; blocks are the pixels of the recursion.
+SQL["ed9_mega_pixels"] = diffusion_sql(
+    f"{S.E}, b AS (SELECT (gx // 4)::INT AS gx, (gy // 4)::INT AS gy, arg_min(r, gy * 1000 + gx) AS r, arg_min(g, gy * 1000 + gx) AS g, arg_min(b, gy * 1000 + gx) AS b, arg_min(a, gy * 1000 + gx) AS a FROM p GROUP BY 1, 2)",
+    _uniform(4), image="gy // 16", source="b", result=f"SELECT p.gx, p.gy, {_DITHERED} FROM p JOIN e ON e.gx = p.gx // 4 AND e.gy = p.gy // 4 AND fresh JOIN z ON z.gx = e.gx AND z.gy = e.gy",
+)
+# Tiles with their halo side by side, each an image of its own.
+_HALO = f"""{S.V}, t AS (SELECT (x.tx * 68 + p.gx - x.tx * 64 + 2)::INT AS gx, (p.gy // 64 * 68 + p.gy % 64 + 2)::INT AS gy, r, g, b, a
+  FROM p, (SELECT unnest(range((SELECT max(gx) // 64 + 1 FROM p))) AS tx) x WHERE p.gx BETWEEN x.tx * 64 - 2 AND x.tx * 64 + 65)"""
+_SNAP = {s: f"{S.n(low)} + (least(floor({S.clamp(f'({v} - {S.n(low)}) / {S.n(high - low)}', 0.0, 1 - 1.1920929e-07)} * 64), 63) + {S.n(0.5)}) / 64 * {S.n(high - low)}" for s, v, low, high in zip(("sx", "sy", "sz"), _V, (0.0, -0.4, -0.4), (1.0, 0.4, 0.4), strict=True)}
+_LAB5 = [C.oklab_of(c) for c in PALETTE5]
+SQL["ed11_palette_diffusion"] = diffusion_sql(
+    _HALO, [_SNAP, *_nearest_of(("sx", "sy", "sz"), _LAB5, {_Q: PALETTE5, ("owr", "owg", "owb"): _LAB5})], kernel="atkinson", image="gy // 68 * 1000 + gx // 68", tile=68, src=S.oklab(),
+    limits=((0.0, 1.0), (-0.5, 0.5), (-0.5, 0.5)), source="t", result="SELECT p.gx, p.gy, round(qr, 6) AS r, round(qg, 6) AS g, round(qb, 6) AS b, round(p.a, 6) AS a FROM p JOIN e ON fresh AND e.gx = p.gx // 64 * 68 + p.gx % 64 + 2 AND e.gy = p.gy // 64 * 68 + p.gy % 64 + 2",
+)
+
+
+@query("ed6_rediffused", diffusion_sql(f"{S.E.replace('p AS (', 'before AS (', 1)}, p AS (SELECT gx, gy, CASE WHEN gx // 64 = 3 THEN 1 - r ELSE r END AS r, g, b, a FROM before)", _uniform(4), image=_BANDS))
+def _rediffused(spark, d):
+    """Bands of an image are diffused and kept; then one column of tiles changes, and what it reaches is diffused again."""
+    from pixelloom.operators.diffuse import diffuse_into, newest_tiles, rediffuse, to_pixels
+    from pixelloom.plans.store import scratch
+
+    before = event_raster(spark, d).withColumn("image", F.floor(F.col("gy") / 64))
+    column = F.floor(F.col("gx") / 64)
+    after = before.withColumn("r", F.when(column == 3, 1 - F.col("r")).otherwise(F.col("r")))
+    path = scratch(spark, "residuals")
+    diffuse_into(path, before, 0, tile=64, levels=4)
+    changed = after.where(column == 3).select("image", column.alias("tx"), F.floor(F.col("gy") / 64).alias("ty"))
+    rediffuse(path, after, changed, 1, tile=64, levels=4)
+    return R.out(to_pixels(newest_tiles(spark, path), 64).drop("image"))
