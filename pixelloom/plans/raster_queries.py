@@ -324,11 +324,13 @@ def _draws(x: str, y: str, count: int, source: str) -> str:
 
 
 _OFF = lambda u: f"least(greatest(sign(({u} - {S.n(0.5)}) * 2 * {S.n(2 * 0.8)}) * floor(abs(({u} - {S.n(0.5)}) * 2 * {S.n(2 * 0.8)}) + 0.5{D}), -2), 2)::INT"
-query("nb4_glitch_shift", f"WITH {S.E}, {_TILES}, {_draws('gx', 'gy', 3, 'z')}, w AS (SELECT *, {', '.join(f'least(greatest(lx + {_OFF(f"u{k}")}, 0), {T + 3}) AS l{k}' for k in (1, 2, 3))} FROM d3) " + S.rows("x.r", "y.g", "v.b", "w.a", keys="w.gx::INT AS gx, w.gy::INT AS gy", source="w JOIN z x ON x.tx = w.tx AND x.ty = w.ty AND x.ly = w.ly AND x.lx = w.l1 JOIN z y ON y.tx = w.tx AND y.ty = w.ty AND y.ly = w.ly AND y.lx = w.l2 JOIN z v ON v.tx = w.tx AND v.ty = w.ty AND v.ly = w.ly AND v.lx = w.l3 WHERE w.is_core AND w.gx < 300 AND w.gy < (SELECT height FROM h)"))(
+# One draw a pixel of the image, and one list a row of a tile to look shifted places up in.
+query("nb4_glitch_shift", f"WITH {S.E}, {_TILES}, c AS (SELECT * FROM z WHERE is_core AND gx < 300 AND gy < (SELECT height FROM h)), {_draws('gx', 'gy', 3, 'c')}, l AS (SELECT tx, ty, ly, list(r ORDER BY lx) AS rs, list(g ORDER BY lx) AS gs, list(b ORDER BY lx) AS bs FROM z GROUP BY ALL), w AS (SELECT d3.*, {', '.join(f'least(greatest(lx + {_OFF(f"u{k}")}, 0), {T + 3}) AS l{k}' for k in (1, 2, 3))} FROM d3) " + S.rows("rs[l1 + 1]", "gs[l2 + 1]", "bs[l3 + 1]", "a", keys="gx::INT AS gx, gy::INT AS gy", source="w JOIN l USING (tx, ty, ly)"))(
     in_tiles(lambda t: tiles.glitch_shift(t, 0.8, 7, tile=T))
 )
 _BX, _BY = f"(floor(gx{D} / 16) * 16)::BIGINT", f"(floor(gy{D} / 16) * 16)::BIGINT"
-query("nb5_glitch_blocks", f"WITH {S.E}, {_TILES}, {_draws(_BX, _BY, 2, 'z')}, m AS (SELECT tx, ty, lx + {_OFF('u1')} AS mx, ly + {_OFF('u2')} AS my, arg_max({{'r': r, 'g': g, 'b': b, 'a': a}}, ly * 1000 + lx) AS v FROM d2 GROUP BY ALL) " + _tile_rows(*(f"coalesce(v.{c}, {c})" for c in "rgba"), source="z LEFT JOIN m ON m.tx = z.tx AND m.ty = z.ty AND m.mx = z.lx AND m.my = z.ly"))(
+# One draw a block.
+query("nb5_glitch_blocks", f"WITH {S.E}, {_TILES}, k AS (SELECT *, {_BX} AS kx, {_BY} AS ky FROM z), fk AS (SELECT DISTINCT kx, ky FROM k), {_draws('kx', 'ky', 2, 'fk')}, m AS (SELECT tx, ty, lx + {_OFF('u1')} AS mx, ly + {_OFF('u2')} AS my, arg_max({{'r': r, 'g': g, 'b': b, 'a': a}}, ly * 1000 + lx) AS v FROM k JOIN d2 USING (kx, ky) GROUP BY ALL) " + _tile_rows(*(f"coalesce(v.{c}, {c})" for c in "rgba"), source="z LEFT JOIN m ON m.tx = z.tx AND m.ty = z.ty AND m.mx = z.lx AND m.my = z.ly"))(
     in_tiles(lambda t: tiles.glitch_blocks(t, 0.8, 7))
 )
 SQL["nb5_glitch_blocks"] = SQL["nb5_glitch_blocks"].replace("FROM z LEFT JOIN m", "FROM (SELECT z.*, m.v FROM z LEFT JOIN m").replace(f"m.my = z.ly {_CORE}", f"m.my = z.ly) {_CORE}")
