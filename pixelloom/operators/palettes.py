@@ -43,28 +43,88 @@ def weighted_cdf(pixels: DataFrame, chroma_weight: float, contrast_weight: float
     return running_sum(one.select("idx", w.alias("weight")), ["idx"], F.col("weight"), "cdf")
 
 
+def _at_rank(rows: DataFrame, key: str, before: dict[int, int], rank: dict[int, int]) -> dict[int, tuple]:
+    """{box: (the key at a rank of its rows, how many rows have smaller ones)} of rows (box, key), all boxes in one pass.
+
+    before: how many rows smaller boxes hold. Counts run over ranges of (box, key), so that no task sees a whole box.
+    """
+    counts = running_sum(rows.groupBy("box", key).agg(F.count("*").alias("n")), ["box", key], F.col("n"), "upto")
+    cut = F.element_at(F.create_map(*(F.lit(v).cast("long") for box in rank for v in (box, before[box] + rank[box]))), F.col("box"))
+    found = counts.where(F.col("upto") > cut).groupBy("box").agg(F.min(F.struct(key, "upto", "n")).alias("v")).collect()
+    return {r["box"]: (r["v"][key], r["v"]["upto"] - r["v"]["n"] - before[r["box"]]) for r in found}
+
+
 def median_cut(pixels: DataFrame, k: int) -> DataFrame:
-    """Means of k bins (idx gives ties their order). One pass a split; what the driver sees is a row a bin."""
-    bins = pixels.withColumn("bin", F.lit(0))
-    order = [0]
-    for new in range(1, k):
-        facts = {r["bin"]: r for r in bins.groupBy("bin").agg(F.count("*").alias("n"), *(F.max(c).alias(f"hi{c}") for c in RGB), *(F.min(c).alias(f"lo{c}") for c in RGB)).collect()}
-        widths = [(max(facts[b][f"hi{c}"] - facts[b][f"lo{c}"] for c in RGB), i, b) for i, b in enumerate(order) if facts[b]["n"] > 1]
-        if not widths:
+    """Means of k bins: of all bins the one with the widest channel is split at the median, k - 1 times (idx orders ties).
+
+    Where a bin is split depends on itself alone: its widest channel, the value in the middle, and the idx of the last row
+    with that value that stays below. All bins that may be split next are measured and cut in one pass, and which of them
+    are is settled over these facts, of which the driver sees a row a bin; rows are told apart by their values, so that the
+    table is neither written again nor joined.
+    """
+    boxes: dict[int, dict] = {}  # facts of each, by number; children of box i are 2 i + 1 and 2 i + 2
+    cuts: dict[int, tuple] = {}
+
+    def numbered(open_boxes: set[int]) -> Column:
+        def of(i: int) -> Column:
+            if i in open_boxes or i not in cuts:
+                return F.lit(i)
+            axis, value, last = cuts[i]
+            low = (F.col(axis) < value) | ((F.col(axis) == value) & (F.col("idx") <= last)) if last is not None else F.col(axis) < value
+            return F.when(low, of(2 * i + 1)).otherwise(of(2 * i + 2))
+
+        return of(0)
+
+    def measure(fresh: set[int]) -> None:
+        rows = pixels.withColumn("box", numbered(fresh).cast("long")).where(F.col("box").isin(*fresh))
+        facts = rows.groupBy("box").agg(F.count("*").alias("n"), *(F.max(c).alias(f"hi{c}") for c in RGB), *(F.min(c).alias(f"lo{c}") for c in RGB), *(F.avg(c).alias(f"mean{c}") for c in RGB)).collect()
+        for r in facts:
+            width = {c: r[f"hi{c}"] - r[f"lo{c}"] for c in RGB}
+            axis = max(RGB, key=lambda c: (width[c], -RGB.index(c)))
+            boxes[r["box"]] = {"n": r["n"], "width": width[axis], "axis": axis, "mean": [r[f"mean{c}"] for c in RGB]}
+        wide = sorted(i for i in fresh if i in boxes and boxes[i]["n"] > 1)
+        if not wide or k == 1:
+            return
+        axis = F.element_at(F.create_map(*(v for i in wide for v in (F.lit(i).cast("long"), F.lit(boxes[i]["axis"])))), F.col("box"))
+        value = F.when(axis == "r", F.col("r")).when(axis == "g", F.col("g")).otherwise(F.col("b"))
+        some = rows.where(F.col("box").isin(*wide)).select("box", value.alias("v"), "idx")
+        before, total = {}, 0
+        for i in wide:
+            before[i], total = total, total + boxes[i]["n"]
+        middle = _at_rank(some, "v", before, {i: boxes[i]["n"] // 2 for i in wide})
+        tied = {i: boxes[i]["n"] // 2 - below for i, (_, below) in middle.items()}
+        for i, (v, _) in middle.items():
+            cuts[i] = (boxes[i]["axis"], v, None)
+        split = [i for i in wide if tied[i] > 0]
+        if split:
+            at = F.element_at(F.create_map(*(v for i in split for v in (F.lit(i).cast("long"), F.lit(float(middle[i][0]))))), F.col("box"))
+            ties = some.where(F.col("box").isin(*split) & (F.col("v") == at)).select("box", "idx")
+            sizes = {r["box"]: r["n"] for r in ties.groupBy("box").agg(F.count("*").alias("n")).collect()}
+            before, total = {}, 0
+            for i in split:
+                before[i], total = total, total + sizes[i]
+            for i, (last, _) in _at_rank(ties, "idx", before, {i: tied[i] - 1 for i in split}).items():
+                cuts[i] = (*cuts[i][:2], last)
+
+    measure({0})
+    if not boxes:
+        return pixels.select(F.lit(0).alias("i"), *RGB)
+    while True:
+        order = [0]
+        while len(order) < k:
+            wide = [(boxes[b]["width"], i, b) for i, b in enumerate(order) if boxes[b]["n"] > 1]
+            if not wide:
+                break
+            b = max(wide)[2]
+            if 2 * b + 1 not in boxes:
+                break
+            order = [x for x in order if x != b] + [2 * b + 1, 2 * b + 2]
+        missing = {c for b in order if boxes[b]["n"] > 1 and len(order) < k for c in (2 * b + 1, 2 * b + 2) if c not in boxes}
+        if not missing:
             break
-        _, i, b = max(widths)
-        axis = max(RGB, key=lambda c: (facts[b][f"hi{c}"] - facts[b][f"lo{c}"], -RGB.index(c)))
-        half = facts[b]["n"] // 2
-        # the value at the cut, then the order among its ties: two aggregates in place of a sort in one task
-        counts = bins.where(F.col("bin") == b).groupBy(axis).agg(F.count("*").alias("n"))
-        cut = running_sum(counts, [axis], F.col("n"), "upto").where(F.col("upto") > half).orderBy(axis).limit(1).first()
-        tie = half - (cut["upto"] - cut["n"])
-        ties = bins.where((F.col("bin") == b) & (F.col(axis) == cut[axis])).select("idx").orderBy("idx").limit(tie)
-        low = bins.where((F.col("bin") == b) & (F.col(axis) < cut[axis])).select("idx").unionByName(ties).withColumn("__low", F.lit(True))
-        bins = bins.join(low, "idx", "left").withColumn("bin", F.when((F.col("bin") == b) & F.col("__low").isNull(), new).otherwise(F.col("bin"))).drop("__low").checkpoint()
-        order = [x for x in order if x != b] + [b, new]
-    place = F.element_at(F.create_map(*(F.lit(x) for i, b in enumerate(order) for x in (b, i))), F.col("bin"))
-    return bins.groupBy("bin").agg(*(F.avg(c).alias(c) for c in RGB)).select(place.alias("i"), *RGB)
+        measure(missing)
+    rows = [(i, *map(float, boxes[b]["mean"])) for i, b in enumerate(order)]
+    return pixels.sparkSession.createDataFrame(rows, "i int, r double, g double, b double")
 
 
 def assign(pixels: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:

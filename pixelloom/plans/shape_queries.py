@@ -213,3 +213,51 @@ def _rediffused(spark, d):
     changed = after.where(column == 3).select("image", column.alias("tx"), F.floor(F.col("gy") / 64).alias("ty"))
     rediffuse(path, after, changed, 1, tile=64, levels=4)
     return R.out(to_pixels(newest_tiles(spark, path), 64).drop("image"))
+
+
+# --- palettes and pyramids ----------------------------------------------------------------------------------------------
+
+# Bins are numbered as they come into being, so that the larger number is the later one in the list of bins.
+_MEDIAN_CUT = f"""WITH RECURSIVE {S.E}, i AS (SELECT *, gy::BIGINT * 300 + gx AS idx FROM p), m(idx, bin, step) USING KEY (idx) AS (
+  SELECT idx, 0, 0 FROM i
+  UNION SELECT idx, CASE WHEN n <= half THEN 2 * s - 1 ELSE 2 * s END, s FROM (
+    SELECT j.idx, s, half, row_number() OVER (ORDER BY CASE WHEN dr >= dg AND dr >= db THEN r WHEN dg >= db THEN g ELSE b END, j.idx) AS n
+    FROM (SELECT bin, (SELECT max(step) + 1 FROM m) AS s, count(*) // 2 AS half, max(r) - min(r) AS dr, max(g) - min(g) AS dg, max(b) - min(b) AS db
+          FROM recurring.m JOIN i USING (idx) GROUP BY bin HAVING count(*) > 1 ORDER BY greatest(dr, dg, db) DESC, bin DESC LIMIT 1) f
+    JOIN recurring.m AS q ON q.bin = f.bin JOIN i j ON j.idx = q.idx) WHERE s <= 15)
+SELECT (dense_rank() OVER (ORDER BY bin) - 1)::INT AS i, r, g, b FROM (SELECT bin, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM m JOIN i USING (idx) GROUP BY bin)
+"""
+
+
+@query("ag5_median_cut_16", _MEDIAN_CUT)
+def _median_cut(spark, d):
+    from pixelloom.operators.palettes import median_cut
+
+    return median_cut(R.indexed(spark, d), 16).select("i", *(F.round(c, 6).alias(c) for c in "rgb"))
+
+
+def _turned(pixels: DataFrame) -> DataFrame:
+    """The pixels with red turned round in a column of 64."""
+    return pixels.withColumn("r", F.when(F.floor(F.col("gx") / 64) == 3, 1 - F.col("r")).otherwise(F.col("r")))
+
+
+_TURNED = f"{S.E.replace('p AS (', 'before AS (', 1)}, p AS (SELECT gx, gy, CASE WHEN gx // 64 = 3 THEN 1 - r ELSE r END AS r, g, b, a FROM before)"
+
+
+def _halved(name: str, source: str) -> str:
+    return f"{name} AS (SELECT (gx // 2)::INT AS gx, (gy // 2)::INT AS gy, {', '.join(f'avg({c}) AS {c}' for c in 'rgba')} FROM {source} GROUP BY ALL)"
+
+
+@query("ag3_updated_pyramid", f"WITH {_TURNED}, {_halved('l1', 'p')}, {_halved('l2', 'l1')} " + S.rows(source="l2"))
+def _updated_pyramid(spark, d):
+    """A pyramid is built and kept; then some tiles change, and only what lies above them is made again."""
+    from pixelloom.operators import pyramid
+    from pixelloom.plans.store import scratch
+
+    before = event_raster(spark, d)
+    after, path = _turned(before), scratch(spark, "pyramid")
+    height = before.agg(F.max("gy")).first()[0] or 0
+    top = pyramid.build(path, before, 300, height + 1, tile=16)
+    changed = pyramid.in_tiles(after.where(F.floor(F.col("gx") / 64) == 3), 16).select("tx", "ty")
+    pyramid.update(path, after, changed, 1, top, tile=16)
+    return R.out(pyramid.newest(spark, path, 2))

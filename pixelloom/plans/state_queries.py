@@ -482,15 +482,16 @@ def _counts(spark, d):
 
 @query("st1_stream")
 def _stream(spark, d):
-    """The events as a stream of one file, upserted by batches; the last batch's table."""
+    """The events as a stream of files, upserted by batches of one; the table after the last."""
     from pixelloom.plans.store import scratch
 
     path = scratch(spark, "stream")
     schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else d)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events*").parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else d)
     rows = stream.select((F.col("user_id") % 3).alias("doc"), (F.col("user_id") % 5).alias("layer"), F.col("event_id").alias("generation"), "value")
-    changes.upsert_stream(rows, f"{path}/table", ["doc", "layer"], f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/table/0")
+    batches: list[int] = []
+    changes.upsert_stream(rows, f"{path}/table", ["doc", "layer"], f"{path}/checkpoint", then=lambda _, n: batches.append(n)).awaitTermination()
+    return changes.upserted(spark, f"{path}/table", rows.schema, max(batches, default=-1) + 1, ["doc", "layer"])
 
 
 SQL["st1_stream"] = "SELECT user_id % 3 AS doc, user_id % 5 AS layer, max(event_id) AS generation, arg_max(value, event_id) AS value FROM events GROUP BY ALL"

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.plans.store import removed
+
 CASCADE = {
     # kind of change: (stage, whether only the changed tile, whether only the changed layer)
     "raw": [("raw", True, True), ("processed", True, True), ("composite", True, False)],
@@ -64,19 +66,48 @@ def coalesced(requests: DataFrame) -> DataFrame:
     return requests.groupBy("doc", "period").agg(F.max(F.col("clear").cast("int")).alias("clear"), F.max_by("layer", "at").alias("layer"), F.count("*").alias("requests"))
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str, version: str = "generation", then: Callable | None = None):
-    """Starts a query that keeps path/<batch> as the newest-wins table of all batches so far; returns the running query.
+def live_runs(batches: int, fan: int = 8) -> list[tuple[int, int]]:
+    """(level, number) of the runs that hold the first so many batches: fan runs of a level become one of the next."""
+    out, level, left = [], 0, batches
+    while left:
+        out += [(level, left // fan * fan + i) for i in range(left % fan)]
+        level, left = level + 1, left // fan
+    return out
+
+
+def upserted(spark, path: str, schema, batches: int, keys: list[str], version: str = "generation", fan: int = 8) -> DataFrame:
+    """The newest-wins table of the first so many batches of an upsert_stream: at most fan runs a level."""
+    runs = [f"{path}/level={level}/run={run}" for level, run in live_runs(batches, fan)]
+    if not runs:
+        return spark.createDataFrame([], schema)
+    return newest(spark.read.schema(schema).parquet(*runs), keys, version)
+
+
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str, version: str = "generation", then: Callable | None = None, fan: int = 8):
+    """Starts a query that keeps the newest-wins table of a stream in path as runs; returns the running query.
 
-    A batch that runs again after a failure writes the same folder from the same one before it.
+    A batch writes its own newest rows as a run and reads nothing else. Every fan-th run of a level is merged with the
+    fan - 1 before it into one of the next, so that a row is written again once a level and the table is never rewritten for
+    a batch. Rows of an older version than one that is kept, in whatever batch they come, lose when runs are merged or
+    read. A batch that runs again after a failure writes the same runs; those that a merge has replaced are removed a
+    batch later. then(batch number, table so far) is called after each batch.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        both = batch
-        if number:
-            both = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}"))
-        newest(both, keys, version).write.mode("overwrite").parquet(f"{path}/{number}")
+        spark, done = batch.sparkSession, number + 1
+        newest(batch, keys, version).write.mode("overwrite").parquet(f"{path}/level=0/run={number}")
+        level, size = 1, fan
+        while done % size == 0:
+            run = done // size - 1
+            inputs = [f"{path}/level={level - 1}/run={run * fan + i}" for i in range(fan)]
+            newest(spark.read.schema(batch.schema).parquet(*inputs), keys, version).write.mode("overwrite").parquet(f"{path}/level={level}/run={run}")
+            level, size = level + 1, size * fan
+        level, size = 1, fan  # what the batch before has merged
+        while number and number % size == 0:
+            for i in range(fan):
+                removed(spark, f"{path}/level={level - 1}/run={(number // size - 1) * fan + i}")
+            level, size = level + 1, size * fan
         if then is not None:
-            then(spark.read.schema(batch.schema).parquet(f"{path}/{number}"), number)
+            then(upserted(spark, path, batch.schema, done, keys, version, fan), number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
