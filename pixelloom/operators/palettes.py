@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +46,14 @@ def weighted_cdf(pixels: DataFrame, chroma_weight: float, contrast_weight: float
 
 
 def _at_rank(rows: DataFrame, key: str, before: dict[int, int], rank: dict[int, int]) -> dict[int, tuple]:
-    """{box: (the key at a rank of its rows, how many rows have smaller ones)} of rows (box, key), all boxes in one pass.
+    """{box: (the key at a rank of its rows, how many rows have smaller ones, how many have it)} of rows (box, key), all in one pass.
 
     before: how many rows smaller boxes hold. Counts run over ranges of (box, key), so that no task sees a whole box.
     """
     counts = running_sum(rows.groupBy("box", key).agg(F.count("*").alias("n")), ["box", key], F.col("n"), "upto")
     cut = F.element_at(F.create_map(*(F.lit(v).cast("long") for box in rank for v in (box, before[box] + rank[box]))), F.col("box"))
     found = counts.where(F.col("upto") > cut).groupBy("box").agg(F.min(F.struct(key, "upto", "n")).alias("v")).collect()
-    return {r["box"]: (r["v"][key], r["v"]["upto"] - r["v"]["n"] - before[r["box"]]) for r in found}
+    return {r["box"]: (r["v"][key], r["v"]["upto"] - r["v"]["n"] - before[r["box"]], r["v"]["n"]) for r in found}
 
 
 def median_cut(pixels: DataFrame, k: int) -> DataFrame:
@@ -66,17 +68,29 @@ def median_cut(pixels: DataFrame, k: int) -> DataFrame:
     cuts: dict[int, tuple] = {}
 
     def numbered(open_boxes: set[int]) -> Column:
-        def of(i: int) -> Column:
-            if i in open_boxes or i not in cuts:
-                return F.lit(i)
-            axis, value, last = cuts[i]
-            low = (F.col(axis) < value) | ((F.col(axis) == value) & (F.col("idx") <= last)) if last is not None else F.col(axis) < value
-            return F.when(low, of(2 * i + 1)).otherwise(of(2 * i + 2))
-
-        return of(0)
+        """The box of a pixel by the cuts so far; rows walk down together, a step a level."""
+        known = {i: (RGB.index(axis), value, -(2**63) if last is None else last) for i, (axis, value, last) in cuts.items() if i not in open_boxes}
+
+        @F.pandas_udf("long")
+        def of(r: pd.Series, g: pd.Series, b: pd.Series, idx: pd.Series) -> pd.Series:
+            rgb, order = np.stack([r, g, b]), idx.to_numpy()
+            box, moving = np.zeros(len(order), np.int64), np.arange(len(order))
+            while len(moving):
+                stay = []
+                for i in np.unique(box[moving]):
+                    at = moving[box[moving] == i]
+                    if int(i) in known:
+                        axis, value, last = known[int(i)]
+                        v = rgb[axis, at]
+                        box[at] = 2 * i + np.where((v < value) | ((v == value) & (order[at] <= last)), 1, 2)
+                        stay.append(at)
+                moving = np.concatenate(stay) if stay else moving[:0]
+            return pd.Series(box)
+
+        return of("r", "g", "b", "idx")
 
     def measure(fresh: set[int]) -> None:
-        rows = pixels.withColumn("box", numbered(fresh).cast("long")).where(F.col("box").isin(*fresh))
+        rows = pixels.select("idx", *RGB).withColumn("box", numbered(fresh)).where(F.col("box").isin(*fresh))
         facts = rows.groupBy("box").agg(F.count("*").alias("n"), *(F.max(c).alias(f"hi{c}") for c in RGB), *(F.min(c).alias(f"lo{c}") for c in RGB), *(F.avg(c).alias(f"mean{c}") for c in RGB)).collect()
         for r in facts:
             width = {c: r[f"hi{c}"] - r[f"lo{c}"] for c in RGB}
@@ -92,18 +106,17 @@ def median_cut(pixels: DataFrame, k: int) -> DataFrame:
         for i in wide:
             before[i], total = total, total + boxes[i]["n"]
         middle = _at_rank(some, "v", before, {i: boxes[i]["n"] // 2 for i in wide})
-        tied = {i: boxes[i]["n"] // 2 - below for i, (_, below) in middle.items()}
-        for i, (v, _) in middle.items():
+        tied = {i: boxes[i]["n"] // 2 - below for i, (_, below, _) in middle.items()}
+        for i, (v, _, _) in middle.items():
             cuts[i] = (boxes[i]["axis"], v, None)
         split = [i for i in wide if tied[i] > 0]
         if split:
             at = F.element_at(F.create_map(*(v for i in split for v in (F.lit(i).cast("long"), F.lit(float(middle[i][0]))))), F.col("box"))
             ties = some.where(F.col("box").isin(*split) & (F.col("v") == at)).select("box", "idx")
-            sizes = {r["box"]: r["n"] for r in ties.groupBy("box").agg(F.count("*").alias("n")).collect()}
             before, total = {}, 0
             for i in split:
-                before[i], total = total, total + sizes[i]
-            for i, (last, _) in _at_rank(ties, "idx", before, {i: tied[i] - 1 for i in split}).items():
+                before[i], total = total, total + middle[i][2]
+            for i, (last, _, _) in _at_rank(ties, "idx", before, {i: tied[i] - 1 for i in split}).items():
                 cuts[i] = (*cuts[i][:2], last)
 
     measure({0})
@@ -119,9 +132,12 @@ def median_cut(pixels: DataFrame, k: int) -> DataFrame:
             if 2 * b + 1 not in boxes:
                 break
             order = [x for x in order if x != b] + [2 * b + 1, 2 * b + 2]
-        missing = {c for b in order if boxes[b]["n"] > 1 and len(order) < k for c in (2 * b + 1, 2 * b + 2) if c not in boxes}
-        if not missing:
+        open_ = [b for b in order if boxes[b]["n"] > 1 and len(order) < k and 2 * b + 1 not in boxes]
+        if not open_:
             break
+        # with these, the widest that are not cut yet, as one of them may be next
+        others = sorted((b for b in boxes if boxes[b]["n"] > 1 and 2 * b + 1 not in boxes and b not in open_), key=lambda b: -boxes[b]["width"])
+        missing = {c for b in open_ + others[: max(0, k - len(open_))] for c in (2 * b + 1, 2 * b + 2)}
         measure(missing)
     rows = [(i, *map(float, boxes[b]["mean"])) for i, b in enumerate(order)]
     return pixels.sparkSession.createDataFrame(rows, "i int, r double, g double, b double")
