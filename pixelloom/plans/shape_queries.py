@@ -261,3 +261,21 @@ def _updated_pyramid(spark, d):
     changed = pyramid.in_tiles(after.where(F.floor(F.col("gx") / 64) == 3), 16).select("tx", "ty")
     pyramid.update(path, after, changed, 1, top, tile=16)
     return R.out(pyramid.newest(spark, path, 2))
+
+
+# --- PNG files ----------------------------------------------------------------------------------------------------------
+
+
+@query("src1_png_files", f"WITH {S.E} SELECT 'image-' || gy // 64 || '.png' AS name, gx, gy % 64 AS gy, " + ", ".join(f"floor({c} * 255 + 0.5{R.D})::INT AS {c}" for c in "rgba") + " FROM p WHERE gy // 64 >= 0")
+def _png_files(spark, d):
+    """Bands of a raster are written as PNG files and read back; files that are not 300 wide would not be decoded."""
+    from pixelloom.plans.store import scratch
+    from pixelloom.sources.png_files import read_png, write_png
+
+    image, folder = F.floor(F.col("gy") / 64), scratch(spark, "png")
+    raster = event_raster(spark, d).withColumns({"image": image, "gy": (F.col("gy") % 64).cast("int")})
+    write_png(raster, folder, "preview")
+    found = read_png(spark, folder).where("width = 300").select("name", "gx", "gy", *(F.round(F.col(c) * 255).cast("int").alias(c) for c in "rgba"))
+    # pixels that the table lacks, at the end of the last row, are clear in the file
+    there = raster.select(F.concat(F.lit("image-"), F.col("image").cast("string"), F.lit(".png")).alias("name"), "gx", "gy")
+    return found.join(there, ["name", "gx", "gy"], "left_semi")

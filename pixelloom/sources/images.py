@@ -95,23 +95,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_png(pixels: DataFrame, mode: str = "export") -> DataFrame:
-    """(image, png) of pixels (image, gx, gy, r, g, b, a) of images of up to 8192 x 8192; rows first become lines."""
-    from pixelloom.functions.color import to_u8
-
-    rows = pixels.select("image", "gx", "gy", *(to_u8(F.col(c), mode).alias(c) for c in "rgba"))
-    lines = rows.groupBy("image", "gy").agg(F.array_sort(F.collect_list(F.struct("gx", *"rgba"))).alias("line"))
-
-    def pack(some: pd.DataFrame) -> pd.DataFrame:
-        height, width = int(some["gy"].max()) + 1, max(int(x[-1]["gx"]) for x in some["line"]) + 1
-        if max(height, width) > MOST:
-            raise ImageError("an image is at most 8192 on a side")
-        px = np.zeros((height, width, 4), np.uint8)
-        for y, line in zip(some["gy"], some["line"], strict=True):
-            for p in line:
-                px[y, p["gx"]] = (p["r"], p["g"], p["b"], p["a"])
-        return pd.DataFrame({"image": [some["image"].iloc[0]], "png": [encode_png(px)]})
-
-    return lines.withColumn("image", F.col("image").cast("long")).groupBy("image").applyInPandas(pack, "image long, png binary")
+    """(image, png) of pixels (image, gx, gy, r, g, b, a) of images of up to 8192 x 8192, deflated in bands of rows."""
+    from pixelloom.sources import png_files
+
+    return png_files.to_png(pixels, mode)
 
 
 def import_layer(pixels: DataFrame, width: int, height: int) -> DataFrame:
