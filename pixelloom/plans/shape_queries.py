@@ -279,3 +279,48 @@ def _png_files(spark, d):
     # pixels that the table lacks, at the end of the last row, are clear in the file
     there = raster.select(F.concat(F.lit("image-"), F.col("image").cast("string"), F.lit(".png")).alias("name"), "gx", "gy")
     return found.join(there, ["name", "gx", "gy"], "left_semi")
+
+
+# --- tiles by URL -------------------------------------------------------------------------------------------------------
+
+_PLACE = "'/l/' || event_id % 3 || '/' || event_id % 300 // 16 || '/' || event_id // 300 // 16"
+_ASKED = f"""u AS (SELECT event_id, CASE event_id % 13 WHEN 0 THEN 'http://doc/1' WHEN 1 THEN 'tile://doc/1/layer/2' WHEN 2 THEN 'tile://doc/x/layer/1/stage/raw/l/0/0/0'
+    WHEN 3 THEN 'tile://doc/1/layer/1/stage/raw/l/256/0/0' WHEN 4 THEN 'tile://doc/1/layer/4294967296/stage/raw/l/0/0/0' WHEN 5 THEN 'tile://localhost/doc/1//layer/composite/stage/composite/l/00/+1/0/#x'
+    ELSE 'tile://doc/' || user_id % 4 || '/layer/' || user_id % 6 || '/stage/' || CASE event_id % 4 WHEN 0 THEN 'raw' WHEN 1 THEN 'processed' WHEN 2 THEN 'composite' ELSE 'raw' END || CASE WHEN event_id % 2 = 0 THEN '/l/0/' || event_id % 300 // 16 || '/' || event_id // 300 // 16 ELSE {_PLACE} END || '?g=' || event_id END AS url FROM events)"""
+_ANSWERS = f"""WITH {_ASKED}, t AS (SELECT user_id % 3 AS doc, user_id % 5 AS layer, CASE event_id % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'processed' ELSE 'composite' END AS stage,
+    event_id % 300 // 16 AS tx, event_id // 300 // 16 AS ty, max(event_id) AS generation, arg_max(event_type, event_id) = 'click' AS dirty FROM events GROUP BY ALL),
+d AS (SELECT user_id % 3 AS doc, 300 AS width, max(event_id) // 300 + 1 AS height, max(event_id) // 2 AS live FROM events GROUP BY ALL),
+l AS (SELECT DISTINCT user_id % 3 AS doc, user_id % 5 AS layer FROM events),
+s AS (SELECT *, list_filter(string_split(regexp_extract(url, '^tile://(?:localhost/)?([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM u),
+n AS (SELECT event_id, p, p[6] AS stage, p[4] = 'composite' AS whole, {', '.join(f"CASE WHEN regexp_matches(p[{i}], '^[+]?[0-9]+$') AND TRY_CAST(ltrim(p[{i}], '+') AS HUGEINT) <= {most} THEN TRY_CAST(ltrim(p[{i}], '+') AS BIGINT) END AS {c}" for i, c, most in ((2, 'doc', 2**32 - 1), (4, 'named', 2**32 - 1), (8, 'level', 255), (9, 'tx', 2**32 - 1), (10, 'ty', 2**32 - 1)))} FROM s),
+k AS (SELECT *, CASE WHEN whole THEN 0 ELSE named END AS layer FROM n),
+f AS (SELECT *, coalesce(len(p) = 10 AND p[1] = 'doc' AND p[3] = 'layer' AND p[5] = 'stage' AND p[7] = 'l' AND stage IN ('raw', 'processed', 'composite') AND doc IS NOT NULL AND layer IS NOT NULL AND level IS NOT NULL AND tx IS NOT NULL AND ty IS NOT NULL, false) AS ok FROM k),
+v AS (SELECT f.*, live, coalesce(d.doc IS NOT NULL AND (whole OR l.layer IS NOT NULL) AND f.tx < ceil(width / (16 * pow(2, level))) AND f.ty < ceil(height / (16 * pow(2, level))), false) AS valid
+      FROM f LEFT JOIN d ON d.doc = f.doc AND f.ok LEFT JOIN l ON l.doc = f.doc AND l.layer = f.layer)
+SELECT event_id, (CASE WHEN NOT ok THEN 400 WHEN NOT valid THEN 404 WHEN NOT dirty AND generation >= live THEN 200 ELSE 202 END)::INT AS status, CASE WHEN ok AND valid AND NOT dirty AND generation >= live THEN generation END AS generation
+FROM v LEFT JOIN t ON v.valid AND v.level = 0 AND t.doc = v.doc AND t.layer = v.layer AND t.stage = v.stage AND t.tx = v.tx AND t.ty = v.ty
+"""
+
+
+@query("src16_tile_answers", _ANSWERS)
+def _answers(spark, d):
+    """Tiles asked for by URL, good and bad ones, of a store of the newest tiles of level 0."""
+    from pixelloom.operators import tile_store
+    from pixelloom.plans.store import scratch
+    from pixelloom.sources.rasters import table
+
+    e, at = table(spark, d, "events"), F.col("event_id")
+    doc, layer, x, y = F.col("user_id") % 3, F.col("user_id") % 5, F.floor(at % 300 / 16), F.floor(F.floor(at / 300) / 16)
+    stage = F.element_at(F.array(*(F.lit(s) for s in tile_store.STAGES)), (at % 3 + 1).cast("int"))
+    tiles = e.select(doc.alias("doc"), layer.alias("layer"), stage.alias("stage"), F.lit(0).alias("level"), x.alias("tx"), y.alias("ty"), at.alias("generation"), (F.col("event_type") == "click").alias("dirty"))
+    newest = tiles.groupBy(*tile_store.KEY).agg(F.max("generation").alias("generation"), F.max_by("dirty", "generation").alias("dirty"))
+    path = scratch(spark, "tiles")
+    tile_store.write_store(newest, path)
+    asked = F.element_at(F.array(*(F.lit(s) for s in ("raw", "processed", "composite", "raw"))), (at % 4 + 1).cast("int"))
+    level = F.when(at % 2 == 0, 0).otherwise(at % 3)
+    good = F.concat(tile_store.tile_url(F.col("user_id") % 4, F.col("user_id") % 6, asked, level, x, y), F.lit("?g="), at.cast("string"))
+    bad = ["http://doc/1", "tile://doc/1/layer/2", "tile://doc/x/layer/1/stage/raw/l/0/0/0", "tile://doc/1/layer/1/stage/raw/l/256/0/0", "tile://doc/1/layer/4294967296/stage/raw/l/0/0/0", "tile://localhost/doc/1//layer/composite/stage/composite/l/00/+1/0/#x"]
+    url = F.when(at % 13 < len(bad), F.element_at(F.array(*(F.lit(b) for b in bad)), (F.least(at % 13, F.lit(len(bad) - 1)) + 1).cast("int"))).otherwise(good)
+    documents = e.groupBy(doc.alias("doc")).agg(F.lit(300).alias("width"), (F.floor(F.max("event_id") / 300) + 1).alias("height"), F.floor(F.max("event_id") / 2).alias("generation"))
+    layers = e.select(doc.alias("doc"), layer.alias("layer")).distinct()
+    return tile_store.answered(e.select("event_id", url.alias("url")), documents, layers, path, tile=16).select("event_id", "status", "generation")
