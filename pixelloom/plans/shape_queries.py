@@ -324,3 +324,12 @@ def _answers(spark, d):
     documents = e.groupBy(doc.alias("doc")).agg(F.lit(300).alias("width"), (F.floor(F.max("event_id") / 300) + 1).alias("height"), F.floor(F.max("event_id") / 2).alias("generation"))
     layers = e.select(doc.alias("doc"), layer.alias("layer")).distinct()
     return tile_store.answered(e.select("event_id", url.alias("url")), documents, layers, path, tile=16).select("event_id", "status", "generation")
+
+
+@query("snk3_exact_mesh")
+def _exact_mesh(spark, d):
+    """Rectangles of images of 192 rows, in bands of 64 that don't cut them, a little tolerant of colour."""
+    from pixelloom.operators.mesh import rectangles
+
+    tones = two_tones(event_raster(spark, d)).withColumns({"image": F.floor(F.col("gy") / 192), "gy": (F.col("gy") % 192).cast("int")})
+    return rectangles(tones.withColumn("g", F.col("g") - F.when(F.col("gx") % 7 == 0, F.col("g") / 255 * 3).otherwise(0)), tolerance=3)

@@ -139,11 +139,9 @@ def _limits(spark, d):
 @query("src14_presets", f"WITH {S.E}, k(id, i, kr, kg, kb) AS (VALUES {', '.join(f"('{n}', {i}, {c[0]}, {c[1]}, {c[2]})" for p in PRESETS for n in [p.id] for i, c in enumerate(p.colors))}), n AS (SELECT gx, gy, id, i, row_number() OVER (PARTITION BY gx, gy, id ORDER BY pow(r * 255 - kr, 2) + pow(g * 255 - kg, 2) + pow(b * 255 - kb, 2), i) AS n FROM p, k) SELECT id, i::INT AS i, count(*)::BIGINT AS pixels FROM n WHERE n = 1 GROUP BY id, i")
 def _presets(spark, d):
     """Pixels by nearest colour of each preset."""
-    p, found = event_raster(spark, d), None
-    for preset in PRESETS:
-        near = C.nearest(C.palette_literal(preset.colors), [F.col(c) * 255.0 for c in RGB])
-        one = p.select(F.lit(preset.id).alias("id"), F.element_at(near, 1)["i"].alias("i"))
-        found = one if found is None else found.unionByName(one)
+    near = [C.nearest(C.palette_literal(preset.colors), [F.col(c) * 255.0 for c in RGB]) for preset in PRESETS]
+    each = F.array(*(F.struct(F.lit(preset.id).alias("id"), F.element_at(n, 1)["i"].alias("i")) for preset, n in zip(PRESETS, near, strict=True)))
+    found = event_raster(spark, d).select(F.explode(each).alias("x")).select("x.*")
     return found.groupBy("id", "i").agg(F.count("*").alias("pixels"))
 
 

@@ -78,3 +78,44 @@ def test_outlines_of_nothing(spark):
 
 def test_least_label():
     assert regions.least_label(6, np.array([4, 2, 5]), np.array([2, 1, 3])).tolist() == [0, 1, 1, 3, 1, 3]
+
+
+def plain_mesh(px, tolerance):
+    """The whole image at once, pixel by pixel."""
+    h, w, _ = px.shape
+    px, taken, out = px.astype(int), np.zeros((h, w), bool), []
+    for y in range(h):
+        for x in range(w):
+            c = px[y, x]
+            fits = lambda a, b: not taken[b, a] and (abs(px[b, a] - c) <= tolerance).all()
+            if taken[y, x] or c[3] == 0:
+                continue
+            rw = 1
+            while x + rw < w and fits(x + rw, y):
+                rw += 1
+            rh = 1
+            while y + rh < h and all(fits(x + i, y + rh) for i in range(rw)):
+                rh += 1
+            taken[y : y + rh, x : x + rw] = True
+            out.append((x, y, rw, rh, *map(int, c)))
+    return out
+
+
+def test_rectangles_equal_those_of_the_whole_image(spark):
+    from pixelloom.operators.mesh import rectangles
+
+    rng = np.random.default_rng(6)
+    blocks = np.kron(rng.integers(0, 3, (6, 5)), np.ones((4, 3), int)) * 40
+    images = {1: blocks + rng.integers(0, 3, blocks.shape), 2: rng.integers(0, 2, (9, 11)) * 9, 3: np.full((17, 4), 7), 4: rng.integers(0, 2, (3, 3)) * 100}
+    full = {}
+    for i, v in images.items():
+        alpha = np.where(rng.random(v.shape) < 0.1, 0, 255) if i != 3 else np.full(v.shape, 255)
+        full[i] = np.stack([v, v // 2, np.full(v.shape, 5), alpha], 2)
+        full[i][-1, -1, 3] = 255
+    rows = [(i, x, y, *map(int, px[y, x])) for i, px in full.items() for y in range(px.shape[0]) for x in range(px.shape[1])]
+    df = spark.createDataFrame(rows, "image int, gx int, gy int, r int, g int, b int, a int")
+    for tolerance in (0, 2):
+        clear = {i: np.where(px[..., 3:] > 0, px, 0) for i, px in full.items()}
+        want = sorted((i, *r) for i, px in clear.items() for r in plain_mesh(px, tolerance))
+        assert sorted(map(tuple, rectangles(df, tolerance, band=4).collect())) == want
+    assert rectangles(df.limit(0)).count() == 0
