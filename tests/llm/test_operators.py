@@ -464,7 +464,7 @@ def test_pipeline_and_queries(spark):
     ids = [r.doc_id for r in rows]
     assert rows and len(ids) == len(set(ids)) and all(r.round_trip for r in rows)
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert json.dumps(sorted(__spark_entry__.oracle_sql()))
 
 
