@@ -13,6 +13,7 @@ from pixelloom.operators.ordered import channel_ranges, guided_levels
 from pixelloom.plans import raster_queries as R
 from pixelloom.plans import raster_sql as S
 from pixelloom.sources.rasters import PALETTE5, event_raster, vector_raster
+from pixelloom.streaming import versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -333,3 +334,39 @@ def _exact_mesh(spark, d):
 
     tones = two_tones(event_raster(spark, d)).withColumns({"image": F.floor(F.col("gy") / 192), "gy": (F.col("gy") % 192).cast("int")})
     return rectangles(tones.withColumn("g", F.col("g") - F.when(F.col("gx") % 7 == 0, F.col("g") / 255 * 3).otherwise(0)), tolerance=3)
+
+
+# A log of edits, undos and redos: every twentieth user works on document 0, all others on their own.
+_LOG = """l AS (SELECT CASE WHEN user_id % 20 = 0 THEN 0 ELSE user_id END AS doc, event_id AS seq, event_id % 5 AS layer, value,
+  CASE WHEN event_id * 7919 % 10 < 5 THEN 'edit' WHEN event_id * 7919 % 10 < 8 THEN 'undo' ELSE 'redo' END AS op FROM events)"""
+_REPLAY = """o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY seq) AS n FROM l),
+w AS (SELECT doc, 0::BIGINT AS n, NULL::BIGINT AS seq, '' AS op, FALSE AS applied, NULL::BIGINT AS version, []::BIGINT[] AS u, []::BIGINT[] AS r, []::BIGINT[] AS path FROM (SELECT DISTINCT doc FROM l)
+  UNION ALL SELECT o.doc, o.n, o.seq, o.op, o.op = 'edit' OR (o.op = 'undo' AND len(u) > 0) OR (o.op = 'redo' AND len(r) > 0),
+    CASE WHEN o.op = 'edit' THEN o.seq WHEN o.op = 'undo' AND len(u) > 0 THEN u[-1] WHEN o.op = 'redo' AND len(r) > 0 THEN r[-1] ELSE version END,
+    CASE WHEN o.op = 'edit' THEN list_append(u, version)[-{depth}:] WHEN o.op = 'undo' THEN u[:-2] WHEN len(r) > 0 THEN list_append(u, version) ELSE u END,
+    CASE WHEN o.op = 'edit' THEN [] WHEN o.op = 'redo' THEN r[:-2] WHEN len(u) > 0 THEN list_append(r, version) ELSE r END,
+    CASE WHEN o.op = 'edit' THEN list_append(path, o.seq) WHEN o.op = 'undo' AND len(u) > 0 THEN path[:-2] WHEN o.op = 'redo' AND len(r) > 0 THEN list_append(path, r[-1]) ELSE path END
+  FROM w JOIN o ON o.doc = w.doc AND o.n = w.n + 1)"""
+
+
+def edit_log(spark, d):
+    """The events as a log of documents: doc, seq, op, layer, value."""
+    turn = F.col("event_id") * 7919 % 10
+    op = F.when(turn < 5, "edit").when(turn < 8, "undo").otherwise("redo")
+    doc = F.when(F.col("user_id") % 20 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id"))
+    return R.table(spark, d, "events").select(doc.alias("doc"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("event_id") % 5).alias("layer"), "value")
+
+
+@query("st11_undo_redo", f"WITH RECURSIVE {_LOG}, {_REPLAY.format(depth=5)} SELECT doc, seq, op, applied, version, len(u)::BIGINT AS undo, len(r)::BIGINT AS redo FROM w WHERE n > 0")
+def _undo_redo(spark, d):
+    return versions.history(edit_log(spark, d), depth=5).drop("level")
+
+
+@query("st10_checkout", f"WITH RECURSIVE {_LOG}, {_REPLAY.format(depth=50)}, f AS (SELECT doc, arg_max(path, n) AS path FROM w GROUP BY doc), e AS (SELECT doc, unnest(path) AS seq FROM f) SELECT doc, layer, max(seq) AS version, arg_max(value, seq) AS value FROM e JOIN l USING (doc, seq) GROUP BY doc, layer")
+def _checkout(spark, d):
+    """Documents as they stand at the end, by a snapshot half way and the log after it."""
+    log = edit_log(spark, d)
+    half = log.agg(F.floor(F.max("seq") / 2)).first()[0]
+    first = versions.snapshot(versions.history(log.where(F.col("seq") <= half)))
+    later = versions.history(log.where(F.col("seq") > half), start=first)
+    return versions.checkout(log, versions.snapshot(later, first), ["layer"])
