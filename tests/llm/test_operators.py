@@ -380,12 +380,13 @@ def test_simhash_search_loses_no_link(spark, monkeypatch, distance, limit):
     assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps, distance)
 
 
-@pytest.mark.parametrize("most", [8, 1])
-def test_near_copies_are_counted(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, block", [(8, 1024), (2, 7), (1, 3)])
+def test_near_copies_are_counted(spark, monkeypatch, most, block):
     from pixelloom.llm import jaccard
     from pixelloom.llm.simhash import one_per_group
 
     monkeypatch.setattr(jaccard, "NEXT", most)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = np.random.default_rng(3)
     some = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
     rows = []
@@ -411,6 +412,33 @@ def test_near_copies_are_counted(spark, monkeypatch, most):
     assert sorted(r.doc_id for r in one_per_group(docs).collect()) == [i for i, r in enumerate(root) if i == r]
 
 
+def test_a_shingle_in_thousands_of_classes(spark, monkeypatch):
+    """3,000 texts of a common passage: most of one group of near copies, the rest further apart than 4/5."""
+    from pixelloom.llm import jaccard
+    from pixelloom.llm.simhash import one_per_group
+
+    monkeypatch.setattr(jaccard, "COUNTERS", 1)  # all shingles count as equally frequent, so that the passage's are in prefixes
+    monkeypatch.setattr(jaccard, "BLOCK", 256)
+    rng = np.random.default_rng(8)
+    passage = [f"p{x}" for x in range(60)]
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows = [[*passage, *some(int(rng.integers(1, 9)))] for _ in range(2400)] + [[*passage, *some(int(rng.integers(30, 60)))] for _ in range(600)]
+    order = rng.permutation(len(rows))
+    rows = [rows[x] for x in order]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    short = [i for i, w in enumerate(rows) if len(w) < 70]
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(rows)):  # the short ones link through the first of them, as each has 56 shingles in common with it
+        for b in [short[0]] if len(rows[a]) < 70 else range(len(rows)):
+            if near(a, b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in one_per_group(docs).collect()) == [i for i in range(len(rows)) if find(i) == i]
+
+
 def test_language_model(spark, docs, nothing, monkeypatch):
     from pixelloom.llm import lm
 
