@@ -145,12 +145,22 @@ def set_properties(nodes, id: int, **properties) -> tuple[Node, ...]:
     return edit(nodes, id, lambda n: replace(n, **properties))
 
 
-def move_layer(nodes: tuple[Node, ...], id: int, to: int) -> tuple[Node, ...]:
-    """A top-level layer to place ``to`` from the bottom; beyond the end it goes on top."""
-    one = next(n for n in nodes if n.id == id)
-    rest = [n for n in nodes if n.id != id]
-    rest.insert(min(to, len(rest)), one)
-    return tuple(rest)
+def move_layer(nodes: tuple[Node, ...], id: int, to: int, parent: int | None = None) -> tuple[Node, ...]:
+    """A layer or group, wherever it lies, to place ``to`` from the bottom of a parent's children or of the document; beyond the
+    end it goes on top. Raises for an id or parent that there is not, and for a parent inside the node itself."""
+    one = next((n for n in walk(nodes) if n.id == id), None)
+    if one is None:
+        raise ValueError(f"no layer {id}")
+    rest = edit(nodes, id, lambda n: None)
+
+    def put(among: tuple[Node, ...]) -> tuple[Node, ...]:
+        return (*among[:to], one, *among[to:])
+
+    if parent is None:
+        return put(rest)
+    if all(n.id != parent for n in walk(rest)):
+        raise ValueError(f"no place in {parent} for layer {id}")
+    return edit(rest, parent, lambda n: replace(n, children=put(n.children)))
 
 
 def add_filter(nodes, id: int, f: Filter) -> tuple[Node, ...]:
@@ -208,3 +218,67 @@ def remove_palette(nodes, palette) -> None:
     """Raises if a filter refers to the palette."""
     if any(uses_palette(f, palette) for n in walk(nodes) for f in n.filters):
         raise ValueError("a filter refers to the palette")
+
+
+@dataclass(frozen=True)
+class Palette:
+    """Named colours of a document; every change of the colours makes a new revision."""
+
+    id: int
+    name: str
+    colors: tuple[tuple[float, float, float], ...]
+    revision: int = 1
+
+
+def add_palette(palettes: tuple[Palette, ...], name: str, colors: Sequence) -> tuple[Palette, ...]:
+    """Last, with the next id and revision 1."""
+    return (*palettes, Palette(max((p.id for p in palettes), default=0) + 1, name, tuple(map(tuple, colors))))
+
+
+def _recolored(palettes: tuple[Palette, ...], id: int, change: Callable[[list], None]) -> tuple[Palette, ...]:
+    if all(p.id != id for p in palettes):
+        raise ValueError(f"no palette {id}")
+
+    def one(p: Palette) -> Palette:
+        colors = list(p.colors)
+        change(colors)
+        return replace(p, colors=tuple(colors), revision=p.revision + 1)
+
+    return tuple(one(p) if p.id == id else p for p in palettes)
+
+
+def _place(colors: Sequence, at: int) -> int:
+    if not 0 <= at < len(colors):
+        raise ValueError(f"no colour at {at}")
+    return at
+
+
+def add_color(palettes, id: int, color) -> tuple[Palette, ...]:
+    return _recolored(palettes, id, lambda colors: colors.append(tuple(color)))
+
+
+def update_color(palettes, id: int, at: int, color) -> tuple[Palette, ...]:
+    return _recolored(palettes, id, lambda colors: colors.__setitem__(_place(colors, at), tuple(color)))
+
+
+def remove_color(palettes, id: int, at: int, nodes: Sequence[Node] = ()) -> tuple[Palette, ...]:
+    """Raises for the last colour of a palette that a filter of nodes refers to (by id)."""
+
+    def change(colors: list) -> None:
+        _place(colors, at)
+        if len(colors) == 1:
+            remove_palette(nodes, id)
+        del colors[at]
+
+    return _recolored(palettes, id, change)
+
+
+def move_color(palettes, id: int, at: int, to: int) -> tuple[Palette, ...]:
+    """The colour at a place goes to another of the palette's; a move to its own place is no new revision."""
+
+    def change(colors: list) -> None:
+        _place(colors, to)
+        colors.insert(to, colors.pop(_place(colors, at)))
+
+    moved = _recolored(palettes, id, change)
+    return palettes if at == to else moved
