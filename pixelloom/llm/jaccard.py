@@ -1,5 +1,9 @@
 """Groups of texts whose sets of distinct word shingles have a Jaccard similarity of at least 4/5, counted, none missed.
 
+Sets have SimHash fingerprints; pairs that the search by generalised pigeonhole (simhash.near_edges) finds within DISTANCE
+bits are counted first and make the first groups. Fingerprints of sets at 4/5 lie up to 17 bits apart, so that a second
+search follows, among sets of different groups alone.
+
 Two sets of that similarity share one of the first n - ceil(4 n / 5) + 1 shingles of either, in any order that holds for
 the whole corpus (prefix filter). The order puts rare shingles first, by counts over a part of the documents; counts that
 are off cost time and change no result. Texts that meet under a shingle, and whose sizes and places allow 4/5, are joined
@@ -27,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.common import Held, identity, text_or_empty
+from pixelloom.llm.simhash import components, majority, near_edges
 
 SEED = 42
 COUNTERS = 1 << 20
 PART = 8  # one document in so many is counted for the order
 NEXT = 8
+DISTANCE = 7  # bits
 BLOCK = 1024  # at most so many rows of a shingle on either side meet in a task
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ID = ["__id", "__no_id", "__th"]
@@ -88,7 +94,7 @@ def _order(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def classes_of(docs: DataFrame, words: int, held: Held) -> DataFrame:
-    """node (the set's hash), first (the smallest document), n, prefix, parity: a row for each distinct set.
+    """node (the set's hash), first (the smallest document), n, prefix, parity, fp: a row for each distinct set.
 
     A document is its doc_id and its text; null ids come after all others.
     """
@@ -97,25 +103,34 @@ def classes_of(docs: DataFrame, words: int, held: Held) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, rank = Sets(words), order.value
         for batch in batches:
-            nodes, sizes, prefixes, parities = [], [], [], []
+            nodes, sizes, prefixes, parities, prints = [], [], [], [], []
             for t in batch.column(3).to_pylist():
                 s = sets(t)
                 nodes.append(_node(s))
                 sizes.append(len(s))
                 parities.append(_parity(s))
+                prints.append(majority(s[a : a + (1 << 16)] for a in range(0, len(s), 1 << 16)))
                 first = np.lexsort((s, rank[s % np.uint64(COUNTERS)]))[: len(s) - (4 * len(s) + 4) // 5 + 1]
                 prefixes.append(s[first].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.binary())], names=[*ID, "node", "n", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))], names=[*ID, "node", "n", "prefix", "parity", "fp"])
 
-    prints = _texts(docs).mapInArrow(run, "__id long, __no_id boolean, __th long, node long, n long, prefix binary, parity binary")
+    prints = _texts(docs).mapInArrow(run, "__id long, __no_id boolean, __th long, node long, n long, prefix binary, parity binary, fp long")
     first = F.min(F.struct("__no_id", "__id", "__th")).alias("first")
-    return held.stored(prints.groupBy("node").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "classes")
+    return held.stored(prints.groupBy("node").agg(first, F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("prefix", "parity", "fp"))), "classes")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(*identity(F.col("doc_id"), F.col("text")), text_or_empty().alias("text"))
 
 
+def _printed(classes: DataFrame, held: Held) -> DataFrame:
+    """Pairs (a, b), a < b, that join the nodes whose fingerprints lie within DISTANCE bits; equal ones by their smallest node."""
+    one = held.stored(classes.groupBy("fp").agg(F.min("node").alias("node")), "prints")
+    equal = classes.select("fp", F.col("node").alias("b")).join(one.withColumnRenamed("node", "a"), "fp").where("a < b").select("a", "b")
+    near = near_edges(one.select("fp", F.lit(0).cast("long").alias("fp2"), "node"), DISTANCE)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(equal)
+
+
 def _listed(classes: DataFrame) -> DataFrame:
     """(token, node, n, i): a row for each shingle of a prefix and its place there."""
 
@@ -278,8 +293,9 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.join(sent, ["token", "block"])
 
 
-def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, held: Held) -> DataFrame:
-    """The pairs (a, b) whose similarity, counted over the sets, is at least 4/5."""
+def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, results: Held) -> DataFrame:
+    """The pairs (a, b) whose similarity, counted over the sets, is at least 4/5; the sets are removed again."""
+    held = Held(docs.sparkSession)
     nodes = held.stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
     first = classes.join(nodes, "node", "left_semi").select("first.*")
 
@@ -302,17 +318,21 @@ def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(count, "a long, b long")
+    found = results.stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(count, "a long, b long"), "edges")
+    held.close()
+    return found
 
 
 def similar(docs: DataFrame, words: int, held: Held) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, components, links): classes_of(docs); node, component of those that have a similar one; the counted pairs."""
-    from pixelloom.llm.simhash import components
-
     classes = classes_of(docs, words, held)
+    edges = _counted(held.stored(_printed(classes, held), "printed"), docs, classes, words, held)
+    first = components(edges, held)
     found = held.stored(_near(_listed(classes)), "pairs")
-    pairs = held.stored(found.where("kind = 0").select("a", "b").distinct(), "distinct")
-    edges = held.stored(_counted(pairs, docs, classes, words, held), "edges")
+    of = lambda k: first.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
+    pairs = found.where("kind = 0").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    pairs = held.stored(pairs.where("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b"), "distinct")
+    edges = edges.unionByName(_counted(pairs, docs, classes, words, held))
     groups = components(edges, held)
     many = found.where("kind > 0").select("kind", F.col("b").alias("token"), "block", F.col("a").alias("node"), "n", "i")
     many = held.stored(many.join(groups, "node", "left").select("kind", "token", "block", "node", "n", "i", F.coalesce("component", "node").alias("component")), "many")
@@ -323,6 +343,6 @@ def similar(docs: DataFrame, words: int, held: Held) -> tuple[DataFrame, DataFra
     rest = _apart(rows.join(classes.select("node", "parity"), "node"))
     rest = held.stored(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     if rest.limit(1).count():
-        edges = edges.unionByName(held.stored(_counted(rest, docs, classes, words, held), "edges"))
+        edges = edges.unionByName(_counted(rest, docs, classes, words, held))
         groups = components(edges, held)
     return classes, groups, edges

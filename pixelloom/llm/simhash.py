@@ -19,7 +19,7 @@ repeated rows are rows of one class; other columns pass through; an empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -44,15 +44,18 @@ def shingles(text: str, words: int) -> list[bytes]:
     return w if words == 1 else list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
 
 
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of all hashes of the blocks set; zero without hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in blocks:
+        ones += np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(parts: list[bytes]) -> int:
     """The unsigned fingerprint; zero without shingles."""
-    if not parts:
-        return 0
-    ones = np.zeros(64, np.int64)
-    for a in range(0, len(parts), 1 << 16):
-        h = np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts[a : a + (1 << 16)]], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(parts), bitorder="little").view("<u8")[0])
+    return majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts[a : a + (1 << 16)]], "<u8") for a in range(0, len(parts), 1 << 16))
 
 
 def with_fingerprints(docs: DataFrame, words: int = 3, coarse: bool = False) -> DataFrame:
@@ -331,8 +334,9 @@ def simhash_report(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFr
 def one_per_group(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs without near copies: of each group the document with the smallest id stays (of those, the smallest text hash).
 
-    A link is a counted Jaccard similarity of at least 0.8 of the distinct shingles; fingerprints spread too far at 0.8 to
-    find all pairs, so jaccard.similar searches in their place. A document is its id and its text: two texts under one id
+    A link is a counted Jaccard similarity of at least 0.8 of the distinct shingles. Pairs come from the search of
+    fingerprints; as these spread too far at 0.8 to find them all, jaccard.similar then searches by prefixes among what they
+    left in different groups. A document is its id and its text: two texts under one id
     are two documents, and of rows that repeat both, one stays. Null ids come after all others. Texts of any length are
     compared whole; texts without words are equal to each other; an empty table gives an empty result.
     """

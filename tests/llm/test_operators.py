@@ -412,6 +412,23 @@ def test_near_copies_are_counted(spark, monkeypatch, most, block):
     assert sorted(r.doc_id for r in one_per_group(docs).collect()) == [i for i, r in enumerate(root) if i == r]
 
 
+def test_near_copies_come_from_fingerprints(spark, monkeypatch):
+    """The search of fingerprints finds close copies by itself; texts below 4/5 stay though their fingerprints are close."""
+    from pixelloom.llm import jaccard
+    from pixelloom.llm.simhash import one_per_group
+
+    nothing = spark.createDataFrame([], "kind int, a long, b long, n int, i int, block long")
+    monkeypatch.setattr(jaccard, "_near", lambda listed: nothing)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(40)]
+    rows = list(enumerate(texts)) + [(100 + i, t + " end") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in one_per_group(docs).collect()) == list(range(40))
+    monkeypatch.setattr(jaccard, "DISTANCE", 20)
+    apart = spark.createDataFrame([(0, texts[0]), (1, " ".join(texts[0].split()[:300]))], "doc_id long, text string")
+    assert one_per_group(apart).count() == 2
+
+
 def test_a_shingle_in_thousands_of_classes(spark, monkeypatch):
     """3,000 texts of a common passage: most of one group of near copies, the rest further apart than 4/5."""
     from pixelloom.llm import jaccard
