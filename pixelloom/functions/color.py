@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Rgb = tuple[Column, Column, Column]
 
@@ -86,24 +89,36 @@ def oklch_to_oklab(lch: Sequence[Column]) -> list[Column]:
 
 
 def out_of_gamut(lab: Sequence[Column]) -> Column:
-    """Each channel is written once, as a bisection evaluates this without sharing subexpressions."""
     far = [F.abs(x - 0.5) for x in oklab_to_linear(lab, clip=False)]
     return F.greatest(*far) > 0.5 + 1e-4
 
 
-def gamut_clip(lab: Sequence[Column], steps: int = 32) -> list[Column]:
-    """Lightness and hue stay; chroma is the largest in gamut found by bisection."""
-    l, c, h = oklab_to_oklch(lab)
+@F.pandas_udf(DoubleType())
+def _chroma_in_gamut(l: pd.Series, c: pd.Series, h: pd.Series, steps: pd.Series) -> pd.Series:
+    """The largest chroma in gamut by bisection of 0 to c, for a batch of rows; 0 where c is null."""
+    low = np.zeros(len(c))
+    at = np.flatnonzero(c.notna())
+    if len(at):
+        light, high, hue = (x.to_numpy(np.float64)[at] for x in (l, c, h))
+        cos, sin, least = np.cos(hue), np.sin(hue), np.zeros(len(at))
+        with np.errstate(all="ignore"):
+            for _ in range(int(steps.iloc[0])):
+                mid = (least + high) / 2
+                a, b = mid * cos, mid * sin
+                lms = [(light + i * a + j * b) ** 3 for _, i, j in FROM_LAB]
+                far = [np.abs(i * lms[0] + j * lms[1] + k * lms[2] - 0.5) for i, j, k in TO_RGB]
+                good = np.maximum(np.maximum(far[0], far[1]), far[2]) <= 0.5 + 1e-4  # not so for what is not a number
+                least, high = np.where(good, mid, least), np.where(good, high, mid)
+        low[at] = least
+    return pd.Series(low)
 
-    def halve(state, _):
-        mid = (state["low"] + state["high"]) / 2
-        bad = out_of_gamut(oklch_to_oklab([state["l"], mid, state["h"]]))
-        return F.struct(F.when(bad, state["low"]).otherwise(mid).alias("low"), F.when(bad, mid).otherwise(state["high"]).alias("high"), state["l"].alias("l"), state["h"].alias("h"))
 
-    start = F.struct(F.lit(0.0).alias("low"), c.alias("high"), l.alias("l"), h.alias("h"))
-    low = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["low"]
-    clipped = oklch_to_oklab([l, low, h])
+def gamut_clip(lab: Sequence[Column], steps: int = 32) -> list[Column]:
+    """Lightness and hue stay; chroma is the largest in gamut found by bisection, over batches of those out of gamut."""
+    l, c, h = oklab_to_oklch(lab)
     bad = out_of_gamut(lab)
+    low = _chroma_in_gamut(l, F.when(bad, c), h, F.lit(steps))
+    clipped = oklch_to_oklab([l, low, h])
     return [F.when(bad, y).otherwise(x) for x, y in zip(lab, clipped, strict=True)]
 
 
