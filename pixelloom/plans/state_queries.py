@@ -12,6 +12,7 @@ from pixelloom.operators import diffuse, palettes, params
 from pixelloom.plans import raster_sql as S
 from pixelloom.plans import viewport
 from pixelloom.plans.running import running_sum
+from pixelloom.plans.store import scratch
 from pixelloom.sources import palette_files, rasters
 from pixelloom.sources.presets import PRESETS
 from pixelloom.sources.rasters import PALETTE5, event_raster, table
@@ -107,14 +108,16 @@ _COLORS = f"""k AS (SELECT strftime(ts, '%Y-%m-%d') AS name, (row_number() OVER
 
 
 def _round_trip(kind: str):
-    """Palettes written in a format and parsed again, a day as files of as many colours as the format takes."""
+    """Palettes written in a format, kept, and parsed again, a day as files of as many colours as the format takes."""
 
     def run(spark, d):
         colors, most = event_colors(spark, d), palette_files.A_FILE
         block = F.floor(F.col("i") / most).cast("string")
         files = colors.select(F.concat_ws("/", "name", block).alias("name"), (F.col("i") % most).alias("i"), *RGB)
         at = F.split("name", "/")
-        found = palette_files.parsed(palette_files.encoded(files, kind))
+        path = scratch(spark, "palettes")
+        palette_files.encoded(files, kind).write.parquet(path)
+        found = palette_files.parsed(spark.read.parquet(path))
         return found.select(at[0].alias("name"), (at[1].cast("int") * most + F.col("i")).cast("int").alias("i"), *RGB)
 
     return run

@@ -47,6 +47,25 @@ def test_palettes_beyond_a_format_limit(spark, monkeypatch, name):
     assert sorted((r.i, r.b) for r in found) == [(i, i * 11 % 256) for i in range(70000)]
 
 
+@pytest.mark.parametrize("name", ["src8_palette_aco", "src12_palette_json"])
+def test_palettes_are_packed_and_parsed_in_turn(spark, name):
+    """One Python step a stage: the files lie between; parsing holds one file's colours, not a batch's."""
+    import json
+
+    import pyarrow as pa
+
+    from pixelloom.sources import palette_files as P
+
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    colors = [(1, 2, 3), (255, 0, 7)]
+    assert json.loads(P.to_json(colors)) == [{"r": 1, "g": 2, "b": 3}, {"r": 255, "g": 0, "b": 7}]
+    bodies = pa.record_batch({"name": ["x", None], "kind": ["json", "aco"], "body": [P.to_json(colors), P.to_aco(colors)]})
+    first, second = P._rows(iter([bodies]))
+    assert first.to_pylist() == [{"name": "x", "i": i, "r": r, "g": g, "b": b} for i, (r, g, b) in enumerate(colors)]
+    assert second.column("name").to_pylist() == [None, None] and second.column("r").to_pylist() == [1, 255]
+
+
 def test_canvas_beyond_a_side_limit(spark, monkeypatch):
     monkeypatch.setattr(state_queries, "event_raster", lambda spark, d: spark.createDataFrame([(1, 9000)], "gx int, gy int"))
     found = QUERIES["src2_blank"](spark, DATA)
