@@ -108,3 +108,18 @@ def test_median_cut_of_few(spark):
     df = spark.createDataFrame([(1, 0.1, 0.2, 0.3), (2, 0.1, 0.2, 0.3)], "idx long, r double, g double, b double")
     assert palettes.median_cut(df, 9).count() == 2
     assert palettes.median_cut(df.where(F.col("idx") < 0), 3).count() == 0
+
+
+def test_median_cut_walks_once(spark, monkeypatch):
+    """Boxes come from one Python step over batches; a UDF's column would be computed again for the filter above it."""
+    from pyspark.sql import functions as F
+
+    from pixelloom.operators.palettes import median_cut
+
+    def none(*a, **k):
+        raise AssertionError("a UDF a row")
+
+    monkeypatch.setattr(F, "pandas_udf", none)
+    pixels = spark.range(40).selectExpr("CAST(id AS INT) AS idx", "id / 40.0D AS r", "id % 3 / 3.0D AS g", "0.5D AS b")
+    found = sorted(r.r for r in median_cut(pixels, 2).collect())
+    assert [round(x, 6) for x in found] == [0.2375, 0.7375]
