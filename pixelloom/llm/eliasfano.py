@@ -21,17 +21,16 @@ def encode(values: np.ndarray, universe: int) -> bytes:
     """values: non-decreasing uint64 below universe."""
     n = len(values)
     low = max(0, min(56, (universe // max(1, n)).bit_length() - 1))
-    lows = []
+    words = (n + (universe >> low) + 2) // 64 + 1
+    lows, unary = [], np.zeros(words * 64, np.uint8)
     for a in range(0, n, 1 << 15):  # 32,768 values of any width fill whole bytes
         part = values[a : a + (1 << 15)]
         bits = (part[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)
         lows.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes())
+        unary[(part >> np.uint64(low)).astype(np.int64) + np.arange(a, a + len(part))] = 1
     lows.append(b"\0" * 8)
     low_bytes = b"".join(lows)
     low_bytes += b"\0" * (-len(low_bytes) % 8)
-    words = (n + (universe >> low) + 2) // 64 + 1
-    unary = np.zeros(words * 64, np.uint8)
-    unary[(values >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
     high = np.packbits(unary, bitorder="little").view("<u8")
     ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
     return _HEAD.pack(n, low, words, len(low_bytes)) + low_bytes + high.tobytes() + ones.astype("<i8").tobytes()

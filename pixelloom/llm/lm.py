@@ -8,7 +8,7 @@ holds the words that follow each pair in the same way; a pair's place in level 2
 weights of shorter contexts are quantised to 256 values a file. Levels 2 and 3 are cut into files of bounded size, in order
 of the mass that comes before a pair under independence, so that a frequent context takes as many files as its pairs need.
 Tasks map the files into memory (a store without local paths is read instead; at most OPEN_BYTES of it stay) and ask for
-their documents' pairs and triples in sorted batches.
+their documents' pairs and triples in sorted batches. A file's blocks of counts are summed by ranges of pairs, PIECE entries at a time.
 
 Smoothing is Bayesian with Dirichlet priors: p(w | v) = (c(v w) + mu p(w)) / (c(v) + mu), with p(w) = (c(w) + 0.5) /
 (N + 0.5 (V + 1)), and p(w | u v) = (c(u v w) + mu3 p(w | v)) / (c(u v) + mu3). The end token opens a text: its first word
@@ -41,7 +41,9 @@ END = b"\n"  # no word holds white space
 TOKENS_A_FILE = 4_000_000
 TOKENS_A_BATCH = 600_000
 OPEN_BYTES = 1 << 29
-CACHED_WORDS = 400_000
+COUNTED_WORDS = 400_000
+CACHED_WORDS = 200_000
+PIECE = 1 << 19
 SIGN = 1 << 63
 
 
@@ -77,9 +79,15 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(values):
         return np.zeros(256), np.zeros(0, np.uint8)
     least, most = values.min(), values.max()
-    codes = np.minimum(((values - least) * (256 / max(most - least, 1e-12))).astype(np.int64), 255)
-    sums, counts = np.bincount(codes, values, 256), np.bincount(codes, minlength=256)
-    return np.where(counts > 0, sums / np.maximum(counts, 1), 0.0), codes.astype(np.uint8)
+    scale, codes = 256 / max(most - least, 1e-12), np.empty(len(values), np.uint8)
+    sums, counts = np.zeros(256), np.zeros(256, np.int64)
+    for a in range(0, len(values), 1 << 18):
+        part = values[a : a + (1 << 18)]
+        code = np.minimum(((part - least) * scale).astype(np.int64), 255)
+        sums += np.bincount(code, part, 256)
+        counts += np.bincount(code, minlength=256)
+        codes[a : a + (1 << 18)] = code
+    return np.where(counts > 0, sums / np.maximum(counts, 1), 0.0), codes
 
 
 class Words:
@@ -142,14 +150,25 @@ class Words:
         return np.minimum(out, max(0, self.size - 1))
 
 
-def _rising(context: np.ndarray, word: np.ndarray, contexts: int) -> tuple[bytes, bytes]:
-    """A level out of (context, word), sorted: pointers to the contexts' ranges, and words above the range before."""
-    pointers = np.concatenate(([0], np.cumsum(np.bincount(context, minlength=contexts)))).astype(np.uint64)
-    ends = np.flatnonzero(np.append(context[1:] != context[:-1], True)) if len(context) else np.zeros(0, np.int64)
-    bases = np.concatenate(([0], np.cumsum(word[ends] + 1)))
-    new = np.concatenate(([0], (context[1:] != context[:-1]).cumsum())) if len(context) else context
-    rising = (bases[new] + word + 1).astype(np.uint64)
-    return eliasfano.encode(pointers, len(context) + 1), eliasfano.encode(rising, int(rising[-1]) + 1 if len(rising) else 1)
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the smallest unsigned type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _rising(sizes: np.ndarray, word: np.ndarray) -> tuple[bytes, bytes]:
+    """A level out of the contexts' numbers of words and these, sorted in each: pointers to ranges, and words above the range before."""
+    pointers, rising, base = np.zeros(len(sizes) + 1, np.uint64), np.empty(len(word), np.uint64), np.uint64(0)
+    np.cumsum(sizes, dtype=np.uint64, out=pointers[1:])
+    for a in range(0, len(sizes), 1 << 18):
+        some = a + np.flatnonzero(sizes[a : a + (1 << 18)])
+        if len(some):
+            end = pointers[some + 1].astype(np.int64)
+            piece = slice(int(pointers[some[0]]), int(end[-1]))
+            tops = word[end - 1].astype(np.uint64) + np.uint64(1)
+            ends = base + np.cumsum(tops)
+            rising[piece] = np.repeat(ends - tops, sizes[some]) + word[piece] + np.uint64(1)
+            base = ends[-1]
+    return eliasfano.encode(pointers, len(word) + 1), eliasfano.encode(rising, int(base) + 1)
 
 
 class Level:
@@ -208,21 +227,42 @@ class Grams:
         file -= first < self.bases[file]
         return file, (first - self.bases[file]).astype(np.uint64) * np.uint64(self.words.size) + second.astype(np.uint64)
 
-    def save(self, file: int, codes: np.ndarray, after: np.ndarray, counts: np.ndarray, mu: float, mu3: float) -> int:
-        """Writes both levels of a file from distinct, sorted (code of a pair, 1 + word after it or 0) and their counts."""
-        starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-        pairs, n2 = codes[starts], np.add.reduceat(counts, starts)
+    def save(self, file: int, pieces: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], mu: float, mu3: float) -> int:
+        """Writes both levels of a file from distinct, sorted (code of a pair, 1 + word after it or 0) and their counts.
+
+        They come in pieces, none of which ends within a pair.
+        """
         size = np.uint64(self.words.size)
-        relative, second = (pairs // size).astype(np.int64), (pairs % size).astype(np.int64)
-        some = np.unique(second)
-        p = 10 ** self.words.facts(some)[2][np.searchsorted(some, second)]
-        some = np.unique(relative)
-        context = self.words.facts(some + self.bases[file])[1][np.searchsorted(some, relative)]
-        own = np.repeat(np.arange(len(pairs)), np.diff(np.append(starts, len(codes))))[after > 0]
-        parts = [*_rising(relative, second, int(relative[-1]) + 1), *_bytes_of(np.log10((n2 + mu * p) / (context + mu))), *_bytes_of(np.log10(mu3 / (n2 + mu3)))]
-        parts += [*_rising(own, after[after > 0].astype(np.int64) - 1, len(pairs)), *_bytes_of(np.log10(counts[after > 0] / (n2[own] + mu3)))]
+        contexts, found = [], []
+        for codes, after, counts in pieces:
+            starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+            pairs, n2 = codes[starts], np.add.reduceat(counts, starts)
+            relative, second = (pairs // size).astype(np.int64), (pairs % size).astype(np.int64)
+            some, where = np.unique(second, return_inverse=True)
+            p = (10 ** self.words.facts(some)[2])[where]
+            some, times = np.unique(relative, return_counts=True)
+            context = np.repeat(self.words.facts(some + self.bases[file])[1], times)
+            contexts.append((some, times))
+            follows = after > 0
+            sizes = np.add.reduceat(follows.astype(np.int64), starts)
+            log_p = np.log10((n2 + mu * p) / (context + mu))
+            found.append([log_p, *map(_narrow, (second, n2, sizes, after[follows] - np.uint64(1), counts[follows]))])
+
+        def column(i: int) -> np.ndarray:
+            return np.concatenate([x.pop(i) for x in found])
+
+        counts, after, sizes, n2, second, log_p = (column(i) for i in range(5, -1, -1))
+        ranges = np.zeros(int(contexts[-1][0][-1]) + 1, np.int64)
+        for some, times in contexts:
+            ranges[some] += times
+        parts = [*_rising(ranges, second), *_bytes_of(log_p)]
+        del ranges, second, log_p
+        parts += [*_bytes_of(np.log10(mu3 / (n2 + mu3))), *_rising(sizes, after)]
+        share = np.repeat(n2 + float(mu3), sizes)
+        np.log10(np.divide(counts, share, out=share), out=share)
+        parts += _bytes_of(share)
         _save(self.path, f"grams-{file}", *parts)
-        return len(pairs)
+        return len(n2)
 
     def _file(self, file: int):
         if file not in self.open:
@@ -294,9 +334,9 @@ def _planes(x: np.ndarray) -> bytes:
     return struct.pack("<q", len(raw)) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
-def _from_planes(data: bytes, kind: str) -> np.ndarray:
+def _from_planes(data: pa.Buffer, kind: str) -> np.ndarray:
     size = struct.unpack_from("<q", data)[0]
-    raw = np.frombuffer(pa.Codec("zstd", 1).decompress(data[8:], size, asbytes=True), np.uint8)
+    raw = np.frombuffer(pa.Codec("zstd", 1).decompress(data.slice(8), size, asbytes=True), np.uint8)
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
@@ -324,33 +364,53 @@ def _summed(codes: np.ndarray, after: np.ndarray, counts: np.ndarray | None, wor
     return codes, after, np.diff(np.append(starts, len(key))) if counts is None else np.add.reduceat(counts, starts)
 
 
+def _pieces(table: pa.Table, words: int, most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct (code, after), sorted, and how often they occur in all blocks, by ranges of codes with about most entries."""
+    blocks = []
+    for code, after, counts in zip(*(table.column(x) for x in ("codes", "after", "counts")), strict=True):
+        codes = np.cumsum(_from_planes(code.as_buffer(), "<u8"), dtype=np.uint64)
+        blocks.append((codes, _narrow(_from_planes(after.as_buffer(), "<u8")), _narrow(_from_planes(counts.as_buffer(), "<u4"))))
+    n = -(-sum(len(b[0]) for b in blocks) // most)
+    some = np.sort(np.concatenate([b[0][::16] for b in blocks]))
+    cuts = np.unique(some[np.arange(1, n) * len(some) // n])
+    bounds = [[0, *np.searchsorted(b[0], cuts).tolist(), len(b[0])] for b in blocks]
+    for i in range(len(cuts) + 1):
+        codes, after, counts = (np.concatenate([b[k][at[i] : at[i + 1]] for b, at in zip(blocks, bounds, strict=True)]) for k in range(3))
+        if len(codes):
+            yield _summed(codes, after, counts.astype(np.int64), words)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]):
     """Lists of (other columns, words) of about TOKENS_A_BATCH tokens; a column of texts comes last."""
     rows, n = [], 0
     for batch in batches:
-        for *other, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = words_of(text)
-            rows.append((other, words))
-            n += len(words)
-            if n >= TOKENS_A_BATCH:
-                yield rows
-                rows, n = [], 0
+        for a in range(0, batch.num_rows, 256):
+            for *other, text in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True):
+                words = words_of(text)
+                rows.append((other, words))
+                n += len(words)
+                if n >= TOKENS_A_BATCH:
+                    yield rows
+                    rows, n = [], 0
     if rows:
         yield rows
 
 
 def _indexed(rows, words: Words):
-    """(ids of all tokens in a row, lengths, first tokens' places, distinct ids, place among them of each and of the one before).
+    """(other columns, ids of all tokens in a row, lengths, first tokens' places, distinct ids, place among them of each and of the one before).
 
-    The end token opens a text.
+    The end token opens a text. The rows are let go.
     """
-    lengths = np.array([len(w) for _, w in rows])
-    ids = words.ids([x for _, w in rows for x in w])
+    others, lengths = [o for o, _ in rows], np.array([len(w) for _, w in rows])
+    tokens = [x for _, w in rows for x in w]
+    rows.clear()
+    ids = words.ids(tokens)
+    del tokens
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     some, where = np.unique(ids, return_inverse=True)
     before = np.concatenate(([0], where[:-1]))
     before[first] = where[first + lengths - 1]
-    return ids, lengths, first, some, where, before
+    return others, ids, lengths, first, some, where, before
 
 
 def _by_file(file: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -380,7 +440,7 @@ def train(texts: DataFrame, path: str, mu: float, mu3: float):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(words_of(text))
-                if len(seen) > CACHED_WORDS:
+                if len(seen) > COUNTED_WORDS:
                     yield rows()
                     seen.clear()
         if seen:
@@ -417,7 +477,7 @@ def train(texts: DataFrame, path: str, mu: float, mu3: float):
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, level = _model(*opened)
         for rows in _texts(batches):
-            ids, lengths, first, some, where, before = _indexed(rows, words)
+            _, ids, lengths, first, some, where, before = _indexed(rows, words)
             mass, count, _ = words.facts(some)
             after = np.concatenate((ids[1:] + 1, [0])).astype(np.uint64)
             after[first + lengths - 1] = 0  # nothing follows the end
@@ -432,12 +492,9 @@ def train(texts: DataFrame, path: str, mu: float, mu3: float):
 
     def levels(table: pa.Table) -> pa.Table:
         words, level = _model(*opened)
-        codes = [np.cumsum(_from_planes(x, "<u8"), dtype=np.uint64) for x in table.column("codes").to_pylist()]
-        after = [_from_planes(x, "<u8") for x in table.column("after").to_pylist()]
-        n = [_from_planes(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
+        words.cache.clear()
         file = table.column("file")[0].as_py()
-        found = _summed(np.concatenate(codes), np.concatenate(after), np.concatenate(n), words.size)
-        return pa.table({"file": [file], "pairs": [level.save(file, *found, mu, mu3)]})
+        return pa.table({"file": [file], "pairs": [level.save(file, _pieces(table, words.size), mu, mu3)]})
 
     if total:
         blocks = texts.mapInArrow(grams, "file long, codes binary, after binary, counts binary")
@@ -464,7 +521,7 @@ def score(docs: DataFrame, opened, mu: float, columns: list[str]) -> DataFrame:
                 yield b
 
         for rows in _texts(typed(batches)):
-            ids, lengths, first, some, where, before = _indexed(rows, words)
+            others, ids, lengths, first, some, where, before = _indexed(rows, words)
             mass, count, log_p = words.facts(some)
             out = np.log10(mu / (count[before] + mu)) + log_p[where]
             both = np.flatnonzero((ids >= 0) & (some[before] >= 0))
@@ -488,8 +545,8 @@ def score(docs: DataFrame, opened, mu: float, columns: list[str]) -> DataFrame:
             out[token[known]] = np.log10(10**share + 10 ** out[token[known]])
             base = np.log10((count + 0.5) / scale)[where]
             known = np.add.reduceat((count[where] > 0).astype(np.int64), first)
-            lists = [pa.array([r[0][i] for r in rows], types.field(i).type) for i in range(len(columns))]
-            lists += [pa.array(lengths), pa.array(known), pa.array(np.full(len(rows), words.total)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(out, first))]
+            lists = [pa.array([o[i] for o in others], types.field(i).type) for i in range(len(columns))]
+            lists += [pa.array(lengths), pa.array(known), pa.array(np.full(len(others), words.total)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(out, first))]
             yield pa.RecordBatch.from_arrays(lists, names=arrow)
 
     for name in ("n_tokens", "n_known", "train_tokens"):

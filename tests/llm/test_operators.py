@@ -486,6 +486,84 @@ def test_language_model(spark, docs, nothing, monkeypatch):
     assert len(alone) == 1
 
 
+class SomeWords:
+    """Level 1 of a model without files: v words, each found 40 times."""
+
+    def __init__(self, v):
+        self.size, self.total = v, 40 * v
+
+    def facts(self, ids):
+        return 40 * ids, np.full(len(ids), 40), np.full(len(ids), -math.log10(self.size))
+
+    def at_mass(self, mass):
+        return mass // 40
+
+
+def blocks_of(pairs, after, words, n):
+    """A file's blocks as tasks send them: n parts of the tokens, each counted and sorted."""
+    import pyarrow as pa
+
+    from pixelloom.llm import lm
+
+    rows = []
+    for a in range(n):
+        c, w, k = lm._summed(pairs[a::n], after[a::n], None, words)
+        c[1:] -= c[:-1].copy()
+        rows.append([lm._planes(x) for x in (c, w, k.astype("<u4"))])
+    return pa.table({name: [r[i] for r in rows] for i, name in enumerate(("codes", "after", "counts"))})
+
+
+@pytest.mark.parametrize("v, tokens", [(60, 5000), (1 << 22, 3000)])
+def test_language_model_sums_blocks_by_ranges(tmp_path, v, tokens):
+    """Ranges of pairs give what all blocks at once give, also where a pair and a word don't fit into 64 bits."""
+    from pixelloom.llm import lm
+
+    rng = np.random.default_rng(11)
+    u, w, x = ((rng.integers(0, 60, tokens) ** 2 * v // 3600).astype(np.uint64) for _ in range(3))
+    w[: tokens // 3], u[: tokens // 3] = 7, 7  # a pair with more entries than a piece has
+    x = np.where(rng.random(tokens) < 0.1, 0, x + np.uint64(1)).astype(np.uint64)
+    codes = u * np.uint64(v) + w
+    want = collections.Counter(zip(codes.tolist(), x.tolist()))
+    found = list(lm._pieces(blocks_of(codes, x, v, 9), v, 200))
+    assert len(found) > 5 and all(a[0][-1] < b[0][0] for a, b in zip(found, found[1:]))
+    assert [((c, a), k) for f in found for c, a, k in zip(*(y.tolist() for y in f))] == sorted(want.items())
+
+    grams = lm.Grams(str(tmp_path), SomeWords(v))
+    grams.n, grams.bases = 1, np.zeros(1, np.int64)
+    assert grams.save(0, iter(found), 100.0, 20.0) == len(set(codes.tolist()))
+    pairs = np.unique(codes)
+    ask = np.sort(np.concatenate((pairs, pairs + np.uint64(1))))
+    place, p, weight = grams.pairs(np.zeros(len(ask), np.int64), ask)
+    n2 = collections.Counter(codes.tolist())
+    for c, at, a, b in zip(ask.tolist(), place.tolist(), p, weight):
+        assert (at >= 0) == (c in n2)
+        if at >= 0:
+            assert a == pytest.approx(math.log10((n2[c] + 100 / v) / 140), abs=0.03) and b == pytest.approx(math.log10(20 / (n2[c] + 20)), abs=0.02)
+    known = [(c, a, k) for (c, a), k in sorted(want.items()) if a]
+    at = np.searchsorted(pairs, np.array([c for c, _, _ in known], np.uint64))
+    share = grams.triples(np.zeros(len(at), np.int64), at, np.array([a - 1 for _, a, _ in known]))
+    assert share == pytest.approx([math.log10(k / (n2[c] + 20)) for c, _, k in known], abs=0.02)
+
+
+def test_language_model_builds_a_file_in_little_memory(tmp_path):
+    """81 bytes a token; 191 while all blocks were summed at once and a level's numbers were all made in 64 bits."""
+    import tracemalloc
+
+    from pixelloom.llm import lm
+
+    rng, v, tokens = np.random.default_rng(12), 1 << 19, 1_500_000
+    table = blocks_of((v ** rng.random(tokens)).astype(np.uint64) * np.uint64(v) + rng.integers(0, v, tokens, np.uint64), rng.integers(0, v, tokens, np.uint64), v, 40)
+    grams = lm.Grams(str(tmp_path), SomeWords(v))
+    grams.n, grams.bases = 1, np.zeros(1, np.int64)
+    tracemalloc.start()
+    try:
+        grams.save(0, lm._pieces(table, v), 100.0, 20.0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 110 * tokens
+
+
 def test_elias_fano():
     from pixelloom.llm import eliasfano
 
