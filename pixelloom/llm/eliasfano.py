@@ -1,7 +1,7 @@
 """Elias-Fano sequences over flat buffers, with vectorised access.
 
 A non-decreasing sequence of n numbers below u keeps the low log2(u / n) bits of each packed side by side and the high
-bits in unary; ranks of the 64-bit words of the unary part are kept beside it. All reads work on arrays of positions or
+bits in unary; ranks of the 64-bit words of the unary part, of ones and of zeros, are kept beside it. All reads work on arrays of positions or
 values and touch only the bytes they need, so the buffer may be a memory map.
 """
 
@@ -33,7 +33,8 @@ def encode(values: np.ndarray, universe: int) -> bytes:
     low_bytes += b"\0" * (-len(low_bytes) % 8)
     high = np.packbits(unary, bitorder="little").view("<u8")
     ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
-    return _HEAD.pack(n, low, words, len(low_bytes)) + low_bytes + high.tobytes() + ones.astype("<i8").tobytes()
+    zeros = np.arange(words + 1, dtype=np.int64) * 64 - ones
+    return _HEAD.pack(n, low, words, len(low_bytes)) + low_bytes + high.tobytes() + ones.astype("<i8").tobytes() + zeros.astype("<i8").tobytes()
 
 
 class Sequence:
@@ -45,8 +46,8 @@ class Sequence:
         self.lows = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (size - 7,), (1,))
         self.high = np.frombuffer(buffer, "<u8", words, at + size)
         self.ones = np.frombuffer(buffer, "<i8", words + 1, at + size + 8 * words)
-        self.zeros = np.arange(words + 1, dtype=np.int64) * 64 - self.ones
-        self.end = at + size + 16 * words + 8
+        self.zeros = np.frombuffer(buffer, "<i8", words + 1, at + size + 16 * words + 8)
+        self.end = at + size + 24 * words + 16
         self.mask = np.uint64((1 << self.low) - 1)
 
     def _select(self, ranks: np.ndarray, counts: np.ndarray, flip: bool) -> np.ndarray:

@@ -24,12 +24,12 @@ empty result.
 from __future__ import annotations
 
 import struct
-from collections import Counter
 from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,15 +41,22 @@ END = b"\n"  # no word holds white space
 TOKENS_A_FILE = 4_000_000
 TOKENS_A_BATCH = 600_000
 OPEN_BYTES = 1 << 29
-COUNTED_WORDS = 400_000
-CACHED_WORDS = 200_000
+BYTES_A_SLICE = 1 << 18
 PIECE = 1 << 19
 SIGN = 1 << 63
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words of [^\\x20\\x09-\\x0D] with A-Z lowered, then the end token."""
-    return [*text.encode().lower().split(), END]
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of words of each text, all words): [^\\x20\\x09-\\x0D] with A-Z lowered, without end tokens."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+    return np.diff(before[lists.offsets.to_numpy()]), words.filter(some)
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
 
 
 def _save(path: str, name: str, *parts: bytes) -> int:
@@ -105,7 +112,7 @@ class Words:
             sums = eliasfano.Sequence(buffer, hashes.end)
             table = np.frombuffer(buffer, "<f8", 256, sums.end)
             self.files.append((hashes, sums, table, np.frombuffer(buffer, np.uint8, hashes.n, sums.end + 2048)))
-        self.cache: dict[bytes, int] = {}
+        self.end = int(self.ids(pa.array([END]))[0])
         self.unseen = np.log10(0.5 / (total + 0.5 * (words + 1)))
 
     def _each(self, keys: np.ndarray, starts: np.ndarray):
@@ -114,12 +121,10 @@ class Words:
         for f in np.unique(at[at >= 0]):
             yield int(f), np.flatnonzero(at == f)
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        new = list(set(words).difference(self.cache))
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)
-        found = np.full(len(new), -1, np.int64)
+    def ids(self, words: pa.Array) -> np.ndarray:
+        """The ids of distinct words, -1 for unknown ones."""
+        hashes = _hashes(words)
+        found = np.full(len(words), -1, np.int64)
         order = np.argsort(hashes)
         for f, some in self._each(hashes[order], self.firsts):
             at, sequence = order[some], self.files[f][0]
@@ -127,8 +132,7 @@ class Words:
             hit = rank >= 0
             hit[hit] = sequence.get(rank[hit]) == hashes[at[hit]]
             found[at[hit]] = self.bases[f] + rank[hit]
-        self.cache.update(zip(new, found.tolist(), strict=True))
-        return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+        return found
 
     def facts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens of all smaller ids, count, quantised log10 p) of ids; an id of -1 is unknown."""
@@ -380,37 +384,45 @@ def _pieces(table: pa.Table, words: int, most: int = PIECE) -> Iterator[tuple[np
             yield _summed(codes, after, counts.astype(np.int64), words)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]):
-    """Lists of (other columns, words) of about TOKENS_A_BATCH tokens; a column of texts comes last."""
+def _texts(batches: Iterator[pa.RecordBatch], most: int):
+    """(other columns, numbers of words, words with a dictionary) of whole texts with about most tokens; a column of texts comes last."""
     rows, n = [], 0
+
+    def joined():
+        *other, counts, words = ([r[i] for r in rows] for i in range(len(rows[0])))
+        rows.clear()
+        return [pa.concat_arrays(x) for x in other], np.concatenate(counts), pa.concat_arrays(words).dictionary_encode()
+
     for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            for *other, text in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True):
-                words = words_of(text)
-                rows.append((other, words))
-                n += len(words)
-                if n >= TOKENS_A_BATCH:
-                    yield rows
-                    rows, n = [], 0
+        place = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy()) // BYTES_A_SLICE
+        cuts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                *other, texts = batch.slice(a, b - a).columns
+                counts, words = words_of(texts)
+                rows.append((*other, counts, words))
+                n += len(words) + len(counts)
+                if n >= most:
+                    yield joined()
+                    n = 0
     if rows:
-        yield rows
+        yield joined()
 
 
-def _indexed(rows, words: Words):
-    """(other columns, ids of all tokens in a row, lengths, first tokens' places, distinct ids, place among them of each and of the one before).
+def _indexed(counts: np.ndarray, tokens: pa.DictionaryArray, words: Words):
+    """(ids of all tokens in a row, lengths, first tokens' places, distinct ids, place among them of each and of the one before).
 
-    The end token opens a text. The rows are let go.
+    An end token closes a text, and opens it.
     """
-    others, lengths = [o for o, _ in rows], np.array([len(w) for _, w in rows])
-    tokens = [x for _, w in rows for x in w]
-    rows.clear()
-    ids = words.ids(tokens)
-    del tokens
+    lengths = counts + 1
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    ids, inner = np.full(int(lengths.sum()), words.end), np.ones(int(lengths.sum()), bool)
+    inner[first + counts] = False
+    ids[inner] = words.ids(tokens.dictionary)[tokens.indices.to_numpy()]
     some, where = np.unique(ids, return_inverse=True)
     before = np.concatenate(([0], where[:-1]))
-    before[first] = where[first + lengths - 1]
-    return others, ids, lengths, first, some, where, before
+    before[first] = where[first + counts]
+    return ids, lengths, first, some, where, before
 
 
 def _by_file(file: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -431,20 +443,10 @@ def train(texts: DataFrame, path: str, mu: float, mu3: float):
     texts = texts.select(text_or_empty().alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def rows():
-            h = np.array([xxhash.xxh64_intdigest(w) for w in seen], np.uint64) ^ np.uint64(SIGN)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], names=["h", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-                if len(seen) > COUNTED_WORDS:
-                    yield rows()
-                    seen.clear()
-        if seen:
-            yield rows()
+        for lengths, words in (x[1:] for x in _texts(batches, 3 * TOKENS_A_BATCH)):
+            h = np.append(_hashes(words.dictionary), np.uint64(xxhash.xxh64_intdigest(END))) ^ np.uint64(SIGN)
+            n = np.append(np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)), len(lengths))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     counts = stored(texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -476,8 +478,8 @@ def train(texts: DataFrame, path: str, mu: float, mu3: float):
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, level = _model(*opened)
-        for rows in _texts(batches):
-            _, ids, lengths, first, some, where, before = _indexed(rows, words)
+        for _, *texts in _texts(batches, TOKENS_A_BATCH):
+            ids, lengths, first, some, where, before = _indexed(*texts, words)
             mass, count, _ = words.facts(some)
             after = np.concatenate((ids[1:] + 1, [0])).astype(np.uint64)
             after[first + lengths - 1] = 0  # nothing follows the end
@@ -492,7 +494,6 @@ def train(texts: DataFrame, path: str, mu: float, mu3: float):
 
     def levels(table: pa.Table) -> pa.Table:
         words, level = _model(*opened)
-        words.cache.clear()
         file = table.column("file")[0].as_py()
         return pa.table({"file": [file], "pairs": [level.save(file, _pieces(table, words.size), mu, mu3)]})
 
@@ -511,17 +512,10 @@ def score(docs: DataFrame, opened, mu: float, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, level = _model(*opened)
-        types = None
         scale = words.total + 0.5 * (words.size + 1)
 
-        def typed(source):
-            nonlocal types
-            for b in source:
-                types = b.schema
-                yield b
-
-        for rows in _texts(typed(batches)):
-            others, ids, lengths, first, some, where, before = _indexed(rows, words)
+        for lists, *texts in _texts(batches, TOKENS_A_BATCH):
+            ids, lengths, first, some, where, before = _indexed(*texts, words)
             mass, count, log_p = words.facts(some)
             out = np.log10(mu / (count[before] + mu)) + log_p[where]
             both = np.flatnonzero((ids >= 0) & (some[before] >= 0))
@@ -545,8 +539,7 @@ def score(docs: DataFrame, opened, mu: float, columns: list[str]) -> DataFrame:
             out[token[known]] = np.log10(10**share + 10 ** out[token[known]])
             base = np.log10((count + 0.5) / scale)[where]
             known = np.add.reduceat((count[where] > 0).astype(np.int64), first)
-            lists = [pa.array([o[i] for o in others], types.field(i).type) for i in range(len(columns))]
-            lists += [pa.array(lengths), pa.array(known), pa.array(np.full(len(others), words.total)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(out, first))]
+            lists += [pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), words.total)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(out, first))]
             yield pa.RecordBatch.from_arrays(lists, names=arrow)
 
     for name in ("n_tokens", "n_known", "train_tokens"):

@@ -486,6 +486,22 @@ def test_language_model(spark, docs, nothing, monkeypatch):
     assert len(alone) == 1
 
 
+def test_language_model_reads_whole_texts_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from pixelloom.llm import lm
+
+    rng = np.random.default_rng(13)
+    marks = [chr(i) for i in range(128)] + list("\x85\xa0éÄ中😀İ") + list(BLANK) * 5
+    rows = ["", "", " ", "a", " A", "b ", "x" * 900, *("".join(rng.choice(marks, n)) for n in rng.integers(0, 60, 400))]
+    batches = pa.table({"doc_id": range(len(rows)), "text": rows}).to_batches(150)
+    monkeypatch.setattr(lm, "BYTES_A_SLICE", 500)
+    found = list(lm._texts(iter(batches), 300))
+    assert len(found) > 5 and [i for (ids,), *_ in found for i in ids.to_pylist()] == list(range(len(rows)))
+    assert [int(n) for _, counts, _ in found for n in counts] == [len(words(t)) for t in rows]
+    assert [w for *_, tokens in found for w in tokens.to_pylist()] == [w for t in rows for w in words(t)]
+
+
 class SomeWords:
     """Level 1 of a model without files: v words, each found 40 times."""
 
